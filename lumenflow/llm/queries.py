@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from lumenflow.llm import op4_minhash, op5_chat
 from lumenflow.llm.op3_wavelet import op3_wavelet
+from lumenflow.llm.op6_fingerprint import op6_fingerprint
 from lumenflow.llm.op7_packing import op7_packing
 
 QUERIES = {
     "op3_wavelet": op3_wavelet,
+    "op4_minhash": op4_minhash.op4_minhash,
+    "op5_chat": op5_chat.op5_chat,
+    "op6_fingerprint": op6_fingerprint,
     "op7_packing": op7_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_minhash": op4_minhash.ORACLE,
+    "op5_chat": op5_chat.ORACLE,
+}
