@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from lumenflow.llm import op4_minhash, op5_chat
+from lumenflow.llm import op4_minhash, op5_chat, op8_lines
+from lumenflow.llm.op1_language import op1_language
 from lumenflow.llm.op3_wavelet import op3_wavelet
 from lumenflow.llm.op6_fingerprint import op6_fingerprint
 from lumenflow.llm.op7_packing import op7_packing
+from lumenflow.llm.op9_secrets import op9_secrets
+from lumenflow.llm.op10_decontamination import op10_decontamination
 
 QUERIES = {
+    "op1_language": op1_language,
     "op3_wavelet": op3_wavelet,
     "op4_minhash": op4_minhash.op4_minhash,
     "op5_chat": op5_chat.op5_chat,
     "op6_fingerprint": op6_fingerprint,
     "op7_packing": op7_packing,
+    "op8_lines": op8_lines.op8_lines,
+    "op9_secrets": op9_secrets,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op4_minhash": op4_minhash.ORACLE,
     "op5_chat": op5_chat.ORACLE,
+    "op8_lines": op8_lines.ORACLE,
 }
