@@ -17,6 +17,9 @@ its own next one; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+from zlib import crc32
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,23 +31,22 @@ _VALUE_BITS = 48
 _SEED = 29
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of words, to be combined by ``hashed``."""
+def words(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
 def _probes() -> Column:
-    """For each bin the order in which it asks the others for a value; folded to a literal by the optimiser."""
-    bins = F.sequence(F.lit(0), F.lit(BINS - 1))
-    return F.transform(bins, lambda i: F.transform(F.array_sort(F.transform(bins, lambda j: F.struct(F.xxhash64(i, j, F.lit(_SEED)).alias("h"), j.alias("j")))), lambda x: x["j"]))
+    """For each bin the order in which it asks the others for a value, from a rule; a literal of the plan."""
+    orders = [sorted(range(BINS), key=lambda j, i=i: crc32(f"{_SEED}:{i}:{j}".encode())) for i in range(BINS)]
+    return F.from_json(F.lit(json.dumps(orders)), "array<array<int>>")
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds the fingerprint of a text column."""
-    words = shingles(F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn("_w", words)
+    split = words(F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn("_w", split)
     # each shingle once; one shingle of all words where there are fewer than five
-    sets = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("_w"), i, 5), " ")).bitwiseAND(F.lit((1 << 55) - 1)))
+    sets = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - 5, F.lit(0))), lambda i: F.xxhash64(*[F.get(F.col("_w"), i + k) for k in range(5)]).bitwiseAND(F.lit((1 << 55) - 1)))
     df = df.withColumn("_h", F.when(F.size("_w") > 0, F.sort_array(sets)).otherwise(F.array().cast("array<long>")))
     # bin: the upper 7 of 55 bits; the first of each run of a bin is its least value
     df = df.withColumn("_m", F.filter(F.col("_h"), lambda x, i: (i == 0) | (F.shiftright(x, _VALUE_BITS) != F.shiftright(F.get(F.col("_h"), i - 1), _VALUE_BITS))))
