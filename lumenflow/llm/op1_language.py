@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenflow.llm.common import map_batches, table
 from lumenflow.llm.textops import blocks
@@ -165,33 +166,34 @@ def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model
     return Model(languages, [ContextTree(c["gram"].to_numpy().astype(np.uint32), c["n"].to_numpy()) for _, c in counts.sort_values(["lang", "gram"]).groupby("lang", sort=True)])
 
 
+_FOUND = "lang_pred string, score double, bits_per_byte double"
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score, bits_per_byte of every whole text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    """The rows of ``docs`` with lang_pred, score and bits_per_byte of their whole texts."""
+    docs = docs.drop("lang_pred", "score", "bits_per_byte", "lettered")
+    kept = docs.columns
+    rows = docs.withColumn("lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     if model is None:
-        return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
+        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
+    names = np.array([*model.languages, "und"], dtype=object)
+    text = kept.index("text")
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lettered = batch.column(2).to_numpy(zero_copy_only=False)
-        names = np.array([*model.languages, "und"], dtype=object)
-        for a, b, data, offsets in blocks(batch.column(1)):
+        lettered = batch.column(len(kept)).to_numpy(zero_copy_only=False)
+        for a, b, data, offsets in blocks(batch.column(text)):
             bits = model.code_lengths(data, offsets)
             best = bits.argmin(axis=1)
             least = bits[np.arange(b - a), best]
             score = 1 / np.exp2(np.clip(least[:, None] - bits, -1000, 0)).sum(axis=1)
             ok = lettered[a:b]
             per = least / np.maximum(np.diff(offsets), 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names[np.where(ok, best, len(names) - 1)], type=pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(per)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
-
-    return map_batches(rows, work, "doc_id long, lang_pred string, score double, bits_per_byte double")
-
-
-
+            found = [pa.array(names[np.where(ok, best, len(names) - 1)], type=pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(per)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(a, b - a) for k in range(len(kept))], *found], names=[*kept, "lang_pred", "score", "bits_per_byte"])
 
-def identify(docs: DataFrame) -> DataFrame:
-    """Learns from the documents that aren't held out and predicts all."""
-    return predict(docs, learn(docs)).withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    return map_batches(rows, work, T.StructType([*docs.schema.fields, *T.StructType.fromDDL(_FOUND).fields]))
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return predict(docs.select("doc_id", "text"), learn(docs)).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lumenflow.llm import op4_minhash, op5_chat, op8_lines
 from lumenflow.llm.op1_language import op1_language
+from lumenflow.llm.op2_urls import op2_urls
 from lumenflow.llm.op3_wavelet import op3_wavelet
 from lumenflow.llm.op6_fingerprint import op6_fingerprint
 from lumenflow.llm.op7_packing import op7_packing
@@ -12,6 +13,7 @@ from lumenflow.llm.op10_decontamination import op10_decontamination
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_urls": op2_urls,
     "op3_wavelet": op3_wavelet,
     "op4_minhash": op4_minhash.op4_minhash,
     "op5_chat": op5_chat.op5_chat,
