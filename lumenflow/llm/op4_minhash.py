@@ -7,13 +7,15 @@
    or two, and a bin's minimum agrees between two sets with their similarity,
    concentrated as for t independent hashes.
 2. Equal sets fall together first: one class each, so exact copies cost nothing.
-3. Bands of coordinates are bucket keys. Within a bucket only the pairs with its
-   least member are candidates; they are verified on the full sets.
-4. Members of a bucket that this leaves in different components are compared
-   with each other: with them the result has every link of the candidates'
-   components, yet a large group of near copies never makes all its pairs. In
-   crowded buckets (many documents that share one passage) such a pair must
-   meet in a second band as well, which loses 5 in a million at the threshold.
+3. Bands of coordinates are bucket keys. In each bucket a pivot, the member that
+   shares most buckets, is compared with all others on the full sets. What is
+   linked to it is in its component; the others go on with a pivot of their own,
+   for a few rounds. So a large group of near copies never makes all its pairs.
+4. Documents of buckets that still hold several components may have links that
+   no pivot met. Among them all pairs of different components that can reach the
+   threshold are found by an exact prefix and position filter over the shingles,
+   rarest first, and are verified too. The filter's only shared data is a count
+   table of fixed size.
 5. Components of the verified links.
 
 Defined results: see ``near_duplicates``.
@@ -22,6 +24,7 @@ Defined results: see ``near_duplicates``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,10 @@ from lumenflow.operators.components import connected_components
 WORDS = 5
 #: 40 bands of 4 coordinates: a pair at 0.75 misses all with probability 2.5e-7.
 BANDS, ROWS = 40, 4
-#: Buckets with more components than this ask for a second common band.
-CROWDED = 32
+#: Rounds of pivots.
+ROUNDS = 2
+#: Slots of the table of shingle counts, in bits.
+COUNT_BITS = 20
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -92,59 +97,109 @@ def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs (u, v) those with 100 * intersection >= 75 * union of the full sets."""
+def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """u, v, linked: whether 100 * intersection >= 75 * union of the full sets."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keep, at = np.zeros(batch.num_rows, dtype=bool), 0
-        both = [(b - a, shingle_sets(data, offsets, WORDS)) for a, b, data, offsets in blocks(batch.column(2))]
-        left = [s for _, sets in both for s in sets]
-        for a, b, data, offsets in blocks(batch.column(3)):
+        linked, at = np.zeros(batch.num_rows, dtype=bool), 0
+        left = [s for _, _, data, offsets in blocks(batch.column(2)) for s in shingle_sets(data, offsets, WORDS)]
+        for _, _, data, offsets in blocks(batch.column(3)):
             for y in shingle_sets(data, offsets, WORDS):
                 x = left[at]
                 merged = np.sort(np.concatenate((x, y)), kind="stable")
                 common = int((merged[1:] == merged[:-1]).sum())
-                keep[at] = len(x) > 0 and 100 * common >= 75 * (len(x) + len(y) - common)
+                linked[at] = len(x) > 0 and 100 * common >= 75 * (len(x) + len(y) - common)
                 at += 1
-        mask = pa.array(keep)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], names=["u", "v", "linked"])
 
     left = texts.select(F.col("class_id").alias("u"), F.col("text").alias("text_u"))
     right = texts.select(F.col("class_id").alias("v"), F.col("text").alias("text_v"))
-    return map_batches(pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v"), work, "u long, v long").distinct()
+    return map_batches(pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v"), work, "u long, v long, linked boolean")
 
 
-_ALIKE = "4 * least(n_u, n_v) >= 3 * greatest(n_u, n_v)"  # else the sizes alone keep the similarity under 0.75
+def token_counts(texts: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle, by the upper bits of its hash: a table of fixed size, whatever the input."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+        for _, _, data, offsets in blocks(batch.column(0)):
+            for s in shingle_sets(data, offsets, WORDS):
+                np.add.at(n, (s >> _U(64 - COUNT_BITS)).astype(np.int64), 1)
+        slots = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(n[slots])], names=["slot", "n"])
+
+    found = map_batches(texts.select("text"), work, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
+    out[found["slot"].to_numpy(dtype=np.int64)] = np.minimum(found["n"].to_numpy(dtype=np.int64), (1 << 32) - 1)
+    return out
 
 
-def candidate_links(classes: DataFrame, docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
+def rare_prefixes(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """token, class_id, n, pos: of each set, in order of count, the shingles of which two sets at 0.75 share one."""
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n, names = shared.value, batch.column(0).to_numpy()
+        for a, _, data, offsets in blocks(batch.column(1)):
+            out = []
+            for k, s in enumerate(shingle_sets(data, offsets, WORDS)):
+                if len(s):
+                    often = n[(s >> _U(64 - COUNT_BITS)).astype(np.int64)]
+                    first = np.argsort(often, kind="stable")[: len(s) - (3 * len(s) + 3) // 4 + 1]  # equals by hash
+                    at = np.flatnonzero(often[first] > 1)
+                    out.append((s[first[at]].view(np.int64), np.full(len(at), names[a + k]), np.full(len(at), len(s)), at))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["token", "class_id", "n", "pos"])
+
+    return map_batches(texts.select("class_id", "text"), work, "token long, class_id long, n long, pos long")
+
+
+def unresolved_pairs(texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """All pairs (u, v) of different parts that can reach 0.75, by an exact prefix and position filter.
+
+    In one order of all shingles, the rarest first, the first common shingle of a
+    pair bounds its intersection by what follows it in either set. So copies of
+    one passage or distant variants of one text, which share their common
+    shingles only, make no pair.
+    """
+    rows = rare_prefixes(texts, token_counts(texts)).join(parts, "class_id")
+    sizes = rows.groupBy("token", "part").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("token").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", "main")
+    rows = stored(rows.join(main, "token"), "op4-prefixes")
+    one = rows.filter("part <> main").select("token", *[F.col(c).alias(f"{c}_u") for c in ("class_id", "n", "pos", "part")])
+    other = rows.select(F.col("token").alias("t"), "main", *[F.col(c).alias(f"{c}_v") for c in ("class_id", "n", "pos", "part")])
+    reach = F.expr("7 * (1 + least(n_u - 1 - pos_u, n_v - 1 - pos_v)) >= 3 * (n_u + n_v)")
+    met = (F.col("token") == F.col("t")) & (F.col("part_u") != F.col("part_v")) & reach & ((F.col("part_v") == F.col("main")) | (F.col("class_id_u") < F.col("class_id_v")))
+    pairs = one.join(other, met)
+    return pairs.select(F.least("class_id_u", "class_id_v").alias("u"), F.greatest("class_id_u", "class_id_v").alias("v")).distinct()
+
+
+def candidate_links(classes: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Verified links (u, v) of the classes (class_id, n_shingles, bands)."""
-    rows = classes.select("class_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("class_id").alias("first"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "first")
-    members = stored(rows.join(shared, "key").select("key", "class_id", "n", "first"), "op4-members")
-    wanted = members.select("class_id").distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("class_id"), "text").join(wanted, "class_id", "left_semi"), "op4-texts")
-    sizes = members.select(F.col("class_id").alias("first"), F.col("n").alias("n_u")).distinct()
-    star = members.filter("class_id <> first").select("first", "class_id", F.col("n").alias("n_v")).distinct()
-    star = stored(star.join(sizes, "first").filter(_ALIKE).select(F.col("first").alias("u"), F.col("class_id").alias("v")), "op4-star")
-    links = stored(verified(star, texts), "op4-links")
-    named = connected_components(links, stored)
-    parted = members.join(named.withColumnRenamed("node", "class_id"), "class_id", "left").select("key", "class_id", "n", F.coalesce("component", "class_id").alias("part"))
-    split = parted.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("key")
-    parted = stored(parted.join(split, "key"), "op4-parted")
-    parts = parted.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"))
-    main = parts.groupBy("key").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    ranked = parted.join(main, "key")
-    # a crowded bucket is dealt out anew by each of the members' other bands
-    wide = ranked.filter(F.col("parts") > crowded)
-    wide = wide.join(classes.select("class_id", "bands"), "class_id").select("class_id", "n", "part", "main", F.col("key").alias("own"), F.explode("bands").alias("other")).filter("own <> other")
-    wide = wide.select(F.xxhash64("own", "other").alias("key"), "class_id", "n", "part", "main")
-    dealt = ranked.filter(F.col("parts") <= crowded).select("key", "class_id", "n", "part", "main").unionByName(wide)
-    one = dealt.filter("part <> main").select("key", F.col("class_id").alias("u"), F.col("n").alias("n_u"), F.col("part").alias("part_u"))
-    other = dealt.select("key", F.col("class_id").alias("v"), F.col("n").alias("n_v"), F.col("part").alias("part_v"), "main")
-    rest = one.join(other, "key").filter("part_u <> part_v").filter(_ALIKE).filter("part_v = main or u < v")
-    rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
-    return links.unionByName(verified(stored(rest, "op4-rest"), texts))
+    rows = classes.select("class_id", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = stored(rows.join(shared, "key"), "op4-members")
+    weights = stored(members.groupBy("class_id").agg(F.sum("size").alias("weight")), "op4-weights")
+    texts = stored(docs.select(F.col("doc_id").cast("long").alias("class_id"), "text").join(weights.select("class_id"), "class_id", "left_semi"), "op4-texts")
+    active = members.select("key", "class_id").join(weights, "class_id")
+    tested = []
+    for _ in range(rounds):
+        pivots = active.groupBy("key").agg(F.max_by("class_id", F.struct("weight", -F.col("class_id"))).alias("center"))
+        pairs = stored(active.join(pivots, "key").filter("class_id <> center"), "op4-pairs")
+        found = stored(measured(pairs.select(F.col("center").alias("u"), F.col("class_id").alias("v")).distinct(), texts), "op4-tested")
+        tested.append(found)
+        active = stored(pairs.join(found.filter("linked").select(F.col("u").alias("center"), F.col("v").alias("class_id")), ["center", "class_id"], "left_anti").select("key", "class_id", "weight"), "op4-active")
+        if active.isEmpty():
+            break
+    links = stored(reduce(DataFrame.unionByName, tested).filter("linked").select("u", "v"), "op4-links")
+    named = stored(connected_components(links, stored), "op4-named").withColumnRenamed("node", "class_id")
+    parted = members.select("key", "class_id").join(named, "class_id", "left").select("key", "class_id", F.coalesce("component", "class_id").alias("part"))
+    mixed = parted.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("key")
+    open_ = stored(parted.join(mixed, "key").select("class_id", "part").distinct(), "op4-open")
+    pairs = unresolved_pairs(texts.join(open_.select("class_id"), "class_id", "left_semi"), open_)
+    done = reduce(DataFrame.unionByName, tested).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    more = measured(stored(pairs.join(done, ["u", "v"], "left_anti"), "op4-rest"), texts)
+    return links.unionByName(more.filter("linked").select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
