@@ -1,6 +1,25 @@
-"""All queries of the library with their SQL."""
+"""All queries of the library with their SQL, by the inventory's names."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query under a name."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+from lumenflow.plans import relational_queries, gallery_queries, tail_queries  # noqa: E402, F401, I001
