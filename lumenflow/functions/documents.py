@@ -109,6 +109,7 @@ def properties_text(properties) -> Column:
 def parsed_bound(value) -> Column:
     """struct<timed, ts, d> of a date or a date-time text; without an offset it is Korean time."""
     v = F.col(value) if isinstance(value, str) else value
+    v = F.regexp_replace(v, r"T(\d{2}:\d{2})($|[Z+-])", "T$1:00$2")
     timed = F.contains(v, F.lit("T"))
     offset = v.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
     ts = F.when(offset, F.try_to_timestamp(v)).otherwise(F.try_to_timestamp(F.concat(v, F.lit("+09:00"))))

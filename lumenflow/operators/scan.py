@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Kinds of admin jobs.
 JOB_TYPES = ["DERIVATIVE", "EMBEDDING"]
@@ -164,7 +163,7 @@ def route(payload: str) -> Column:
     )
 
 
-MESSAGE = T.StructType.fromDDL(
+MESSAGE = (
     "v int, galleryId long, embeddingModel string, photos array<struct<photoId long, storageKey string, previewKey string, vector string, metadata struct<takenAt string, cameraMake string, cameraModel string, exposureTime string, fNumber double, iso int, width int, height int, byteSize long>>>"
 )
 _LIMITS = {"storageKey": 500, "previewKey": 500}
