@@ -83,3 +83,17 @@ def one_active(models: DataFrame, by: str = "id") -> DataFrame:
     """Only the newest model is active."""
     newest = models.agg(F.max(by).alias("_newest"))
     return models.crossJoin(F.broadcast(newest)).withColumn("active", F.col(by) == F.col("_newest")).drop("_newest")
+
+
+def quality_patches(table: DataFrame, patches: DataFrame, locked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table with patches (photo_id, sub_scores) merged key-wise, and the ids that could not be written (unknown or locked)."""
+    free = patches.join(locked.select("photo_id"), "photo_id", "left_anti")
+    p = free.select("photo_id", F.col("sub_scores").alias("_s"))
+    out = table.join(p, "photo_id", "left").withColumn("sub_scores", F.when(F.col("_s").isNotNull(), merged_maps(F.col("sub_scores"), F.col("_s"))).otherwise(F.col("sub_scores"))).select(*table.columns)
+    return out, patches.select("photo_id").join(free.join(table.select("photo_id"), "photo_id", "left_semi").select("photo_id"), "photo_id", "left_anti")
+
+
+def failed_jobs(jobs: DataFrame, failures: DataFrame) -> DataFrame:
+    """Failures (job_id, attempt_count, error) mark a job's current attempt only; the error is cut at 4000 signs."""
+    f = failures.groupBy("job_id", "attempt_count").agg(F.max(F.substring("error", 1, 4000)).alias("_e"))
+    return jobs.join(f, ["job_id", "attempt_count"], "left").withColumns({"status": F.when(F.col("_e").isNotNull(), "FAILED").otherwise(F.col("status")), "error": F.coalesce("_e", "error")}).select(*jobs.columns)

@@ -245,3 +245,24 @@ def message_rows(messages: DataFrame, body: str = "body") -> DataFrame:
         F.col("_p.metadata.height").alias("height"),
         F.col("_p.metadata.byteSize").alias("byte_size"),
     )
+
+
+def verified_events(events: DataFrame, jobs: DataFrame, photos: DataFrame, galleries: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Admin events whose job, live photo, live gallery and revision all agree, the job's payload included."""
+    j = jobs.select("job_id", "attempt_count", "job_type", F.col("target_id").alias("photo_id"), "revision_id", "payload")
+    ok = events.join(j, ["job_id", "attempt_count", "job_type", "photo_id", "revision_id"])
+    ok = ok.filter((F.get_json_object("payload", "$.storageKey") == F.col("storage_key")) & (F.get_json_object("payload", "$.galleryId").try_cast("long") == F.col("gallery_id")))
+    ok = ok.join(photos.filter("deleted_at is null").select("photo_id", "gallery_id", "storage_key"), ["photo_id", "gallery_id", "storage_key"], "left_semi")
+    ok = ok.join(galleries.filter("deleted_at is null").select("gallery_id"), "gallery_id", "left_semi")
+    return ok.join(revisions.select("revision_id", "photo_id", "storage_key"), ["revision_id", "photo_id", "storage_key"], "left_semi").select(events.columns)
+
+
+def staged(fast: DataFrame, quality: DataFrame, n: int) -> DataFrame:
+    """The next n photos over two stages, the fast one first."""
+    both = fast.withColumn("stage", F.lit(0)).unionByName(quality.withColumn("stage", F.lit(1)))
+    return both.orderBy("stage", "photo_id").limit(n)
+
+
+def with_faults(df: DataFrame, rate: float, seed: int = 0) -> DataFrame:
+    """For tests: the rows that survive a fault at this rate."""
+    return df.filter(F.rand(seed) >= rate)

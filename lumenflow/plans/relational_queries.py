@@ -102,6 +102,28 @@ def a8(spark, sf):
     return scan.lease_claims(t["analysis"], t["photos"].filter("photo_id % 50 = 2"), now, 600, 64).select("photo_id", "claimed_at")
 
 
+@query("n6_staged_claims", TABLES_SQL + "SELECT photo_id, stage FROM (SELECT photo_id, 0 AS stage FROM an WHERE photo_id % 100 = 1 UNION ALL SELECT photo_id, 1 FROM an WHERE photo_id % 9 = 2) ORDER BY stage, photo_id LIMIT 40")
+def n6(spark, sf):
+    a = tables(spark, sf)["analysis"].select("photo_id")
+    return scan.staged(a.filter("photo_id % 100 = 1"), a.filter("photo_id % 9 = 2"), 40)
+
+
+@query("a20_document_search", "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'license') AND (lang = 'en' OR n_chars > 3000)")
+def a20(spark, sf):
+    from lumenflow.sources.files import predicate, search
+
+    d = search(read(spark, sf, "documents"), "text", "License")
+    return d.filter(predicate({"or": [{"property": "lang", "select": {"equals": "en"}}, {"property": "n_chars", "number": {"greater_than": 3000}}]})).select("doc_id", "lang")
+
+
+@query("a22_inventory", "SELECT CASE WHEN page_id % 3 = 0 THEN 'database' ELSE 'page' END AS kind, page_id AS id FROM pages WHERE page_id % 3 = 0 OR page_id % 4 <> 1")
+def a22(spark, sf):
+    from lumenflow.sources.files import inventory
+
+    p = read(spark, sf, "pages").select(F.when(F.col("page_id") % 3 == 0, "database").otherwise("page").alias("object"), F.when(F.col("page_id") % 4 == 1, "database_id").alias("parent_type"), F.col("page_id").alias("id"), F.col("url").alias("title"))
+    return inventory(p).select("kind", "id")
+
+
 @query("b1_live_photos", TABLES_SQL + "SELECT photo_id, gallery_id FROM live WHERE preview_key IS NOT NULL")
 def b1(spark, sf):
     t = tables(spark, sf)
@@ -171,6 +193,17 @@ def c7(spark, sf):
     return merge.accepted(_new(t), t["photos"], t["galleries"]).select("photo_id", "storage_key")
 
 
+@query("c8_verified_events", TABLES_SQL + "SELECT photo_id AS job_id, photo_id FROM live WHERE photo_id % 4 <> 0 AND photo_id % 6 <> 0 AND photo_id % 5 <> 0")
+def c8(spark, sf):
+    t = tables(spark, sf)
+    p = t["photos"]
+    base = p.select(F.col("photo_id").alias("job_id"), "photo_id", "gallery_id", "storage_key", (F.col("photo_id") % 3).alias("attempt_count"), F.lit("EMBEDDING").alias("job_type"), (F.col("photo_id") + 1).alias("revision_id"))
+    payload = F.to_json(F.struct(F.col("storage_key").alias("storageKey"), F.when(F.col("photo_id") % 5 == 0, -1).otherwise(F.col("gallery_id")).alias("galleryId")))
+    jobs = base.select("job_id", F.when(F.col("photo_id") % 4 == 0, 9).otherwise(F.col("attempt_count")).alias("attempt_count"), "job_type", F.col("photo_id").alias("target_id"), "revision_id", payload.alias("payload"))
+    revisions = base.filter("photo_id % 6 <> 0").select("revision_id", "photo_id", "storage_key")
+    return scan.verified_events(base, jobs, p, t["galleries"], revisions).select("job_id", "photo_id")
+
+
 @query("c9_selected_items", f"WITH {PHOTOS_SQL}, i AS (SELECT user_id AS selection_id, photo_id, CASE WHEN photo_id % 2 = 0 THEN 'MANUAL' ELSE 'AUTO' END AS source FROM photos WHERE selected), s AS (SELECT DISTINCT user_id AS selection_id FROM photos WHERE user_id % 5 <> 0) SELECT selection_id, photo_id FROM i JOIN s USING (selection_id) WHERE source = 'MANUAL'")
 def c9(spark, sf):
     p = photos(spark, sf)
@@ -217,6 +250,31 @@ def d4(spark, sf):
     return m.select("photo_id", *[F.try_element_at("m", F.lit(k)).alias(k) for k in "abc"])
 
 
+@query("d5_quality_patches", f"WITH {PHOTOS_SQL} SELECT photo_id, CASE WHEN photo_id % 3 = 0 AND photo_id % 5 <> 0 THEN 9.0 ELSE 1.0 END AS a FROM photos WHERE photo_id % 7 <> 0")
+def d5(spark, sf):
+    p = photos(spark, sf)
+    table = p.filter("photo_id % 7 <> 0").select("photo_id", F.create_map(F.lit("a"), F.lit(1.0)).alias("sub_scores"))
+    patches = p.filter("photo_id % 3 = 0").select("photo_id", F.create_map(F.lit("a"), F.lit(9.0)).alias("sub_scores"))
+    out, _ = merge.quality_patches(table, patches, p.filter("photo_id % 5 = 0"))
+    return out.select("photo_id", F.element_at("sub_scores", "a").alias("a"))
+
+
+@query("d5_unwritten", f"WITH {PHOTOS_SQL} SELECT photo_id FROM photos WHERE photo_id % 3 = 0 AND (photo_id % 5 = 0 OR photo_id % 7 = 0)")
+def d5_unwritten(spark, sf):
+    p = photos(spark, sf)
+    table = p.filter("photo_id % 7 <> 0").select("photo_id", F.create_map(F.lit("a"), F.lit(1.0)).alias("sub_scores"))
+    patches = p.filter("photo_id % 3 = 0").select("photo_id", F.create_map(F.lit("a"), F.lit(9.0)).alias("sub_scores"))
+    return merge.quality_patches(table, patches, p.filter("photo_id % 5 = 0"))[1]
+
+
+@query("d10_d12_failed_jobs", f"WITH {PHOTOS_SQL} SELECT photo_id AS job_id, CASE WHEN photo_id % 2 = 0 AND photo_id % 3 <> 0 THEN 'FAILED' ELSE 'RUNNING' END AS status, CASE WHEN photo_id % 2 = 0 AND photo_id % 3 <> 0 THEN 'boom' END AS error FROM photos")
+def d1012(spark, sf):
+    p = photos(spark, sf)
+    jobs = p.select(F.col("photo_id").alias("job_id"), F.lit(2).alias("attempt_count"), F.lit("RUNNING").alias("status"), F.lit(None).cast("string").alias("error"))
+    failures = p.filter("photo_id % 2 = 0").select(F.col("photo_id").alias("job_id"), F.when(F.col("photo_id") % 3 == 0, 1).otherwise(2).alias("attempt_count"), F.lit("boom").alias("error"))
+    return merge.failed_jobs(jobs, failures).select("job_id", "status", "error")
+
+
 @query("d6_group_patch", f"WITH {PHOTOS_SQL} SELECT photo_id, CASE WHEN photo_id % 2 = 0 THEN 7.0 END AS sharpness_pct, 1.0 AS technical_score FROM photos")
 def d6(spark, sf):
     old = F.create_map(F.lit("technical_score"), F.lit(1.0), F.lit("sharpness_pct"), F.lit(2.0))

@@ -126,3 +126,87 @@ def predicate(spec: dict) -> Column:
     ops = [v for k, v in spec.items() if k != "property"][0]
     (op, value), *_ = ops.items()
     return _OPS[op](column, value)
+
+
+def xlsx_golden(files: DataFrame) -> DataFrame:
+    """(path, pos, cut, file) of selection sheets (path, content): rows with a cut (A or B, perhaps with 컷) and a picture's name.
+
+    A sheet is one file of a few rows; a file without any such row fails.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import io
+        import re
+        import zipfile
+        from xml.etree import ElementTree
+
+        import pandas as pd
+
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                book = zipfile.ZipFile(io.BytesIO(content))
+                texts = lambda node: "".join(t.text or "" for t in node.iter() if t.tag.endswith("}t"))
+                shared = [texts(s) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in book.namelist() else []
+                rows = []
+                for name in sorted(n for n in book.namelist() if n.startswith("xl/worksheets/sheet")):
+                    for row in (r for r in ElementTree.fromstring(book.read(name)).iter() if r.tag.endswith("}row")):
+                        cells = []
+                        for c in row:
+                            value = next((v.text for v in c if v.tag.endswith("}v")), None)
+                            cells.append(shared[int(value)] if c.get("t") == "s" and value else texts(c) or value or "")
+                        cut = next((m[1].upper() for x in cells if (m := re.fullmatch(r"\s*([ABab])\s*(?:컷|cut)?\s*", x))), None)
+                        file = next((x.strip() for x in cells if re.search(IMAGE, x.strip())), None)
+                        if cut and file:
+                            rows.append((path, len(rows), cut, file))
+                if not rows:
+                    raise ValueError(f"no selection in {path}")
+                yield pd.DataFrame(rows, columns=["path", "pos", "cut", "file"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, pos long, cut string, file string")
+
+
+def fetched(refs: DataFrame, key: str, make: Callable[[], Callable[[str], bytes | None]], retries: int = 3) -> DataFrame:
+    """The refs with content and status (ok or missing) of an object store.
+
+    ``make`` builds a getter once in each task; it returns None for an object
+    that isn't there. Any other failure is tried again, then fails the task.
+    """
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*refs.schema.fields, *T.StructType.fromDDL("content binary, status string").fields])
+
+    def run(batches: Iterator) -> Iterator:
+        import time
+
+        get = make()
+        for pdf in batches:
+            found = []
+            for k in pdf[key]:
+                for attempt in range(retries):
+                    try:
+                        found.append(get(k))
+                        break
+                    except Exception:
+                        if attempt == retries - 1:
+                            raise
+                        time.sleep(0.5 * 2**attempt)
+            yield pdf.assign(content=found, status=["missing" if c is None else "ok" for c in found])
+
+    return refs.mapInPandas(run, schema)
+
+
+def put(objects: DataFrame, make: Callable[[], Callable[[str, bytes], None]]) -> None:
+    """Writes (key, content) rows; a task that runs again writes the same objects again."""
+
+    def run(rows: Iterator) -> None:
+        write = make()
+        for r in rows:
+            write(r.key, bytes(r.content))
+
+    objects.select("key", "content").foreachPartition(run)
+
+
+def inventory(objects: DataFrame) -> DataFrame:
+    """(kind, id, title): databases, and pages that are no database's rows."""
+    kind = F.when(F.col("object") == "database", "database").when((F.col("object") == "page") & ~F.col("parent_type").eqNullSafe("database_id"), "page")
+    return objects.select(kind.alias("kind"), "id", "title").filter("kind is not null")

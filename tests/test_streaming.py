@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from lumenflow.sources.files import golden_list, image_files, paged_source, predicate, result_messages
+from lumenflow.sources.files import fetched, golden_list, image_files, paged_source, predicate, put, result_messages, xlsx_golden
 from lumenflow.streaming import ingest as S
 
 
@@ -89,3 +89,49 @@ def test_result_messages(spark):
     df = spark.range(10).select(F.lit(7).cast("long").alias("gallery_id"), F.col("id").alias("photo_id"), F.col("id").alias("display_order"), F.lit("k").alias("storage_key"), F.lit("p").alias("preview_key"), F.lit("v").alias("vector"), F.lit("m").alias("embedding_model"))
     got = [json.loads(r.body) for r in result_messages(df).orderBy("chunk").collect()]
     assert [len(m["photos"]) for m in got] == [8, 2] and got[0]["v"] == 1
+
+
+def test_xlsx_golden(spark):
+    import io
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>A컷</t></si><si><t>IMG_1.JPG</t></si><si><t>title</t></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c t="s"><v>2</v></c></row><row><c t="s"><v>0</v></c><c t="s"><v>1</v></c></row><row><c t="inlineStr"><is><t>b</t></is></c><c t="inlineStr"><is><t>x.png</t></is></c></row></sheetData></worksheet>')
+    df = spark.createDataFrame([("p", bytearray(buffer.getvalue()))], "path string, content binary")
+    assert [(r.cut, r.file) for r in xlsx_golden(df).orderBy("pos").collect()] == [("A", "IMG_1.JPG"), ("B", "x.png")]
+
+
+def test_fetch_and_put(spark, tmp_path):
+    root = str(tmp_path)
+
+    def writer():
+        return lambda key, content: open(f"{root}/{key}", "wb").write(content)
+
+    def getter():
+        import os
+
+        return lambda key: open(f"{root}/{key}", "rb").read() if os.path.exists(f"{root}/{key}") else None
+
+    put(spark.createDataFrame([("a", bytearray(b"1"))], "key string, content binary"), writer)
+    got = {r.key: (r.content, r.status) for r in fetched(spark.createDataFrame([("a",), ("b",)], "key string"), "key", getter).collect()}
+    assert got == {"a": (b"1", "ok"), "b": (None, "missing")}
+
+
+def test_gate_and_leave_one_out(spark):
+    import numpy as np
+    import pandas as pd
+
+    from lumenflow.plans import preference as P
+
+    assert P.gate({1: pd.DataFrame()})["reasons"] == ["fewer than 2 galleries"]
+
+    def results(n, better):
+        return pd.DataFrame([(g, s, 0.5 + (0.1 * (g < better) if s == "fused" else 0)) for g in range(n) for s in ("prior", "fused")], columns=["gallery_id", "score", "recall_burst"])
+
+    assert P.gate({m: results(m, m) for m in range(5, 9)})["passed"]
+    bad = P.gate({m: results(m, 2) for m in range(5, 9)})
+    assert not bad["passed"] and "not significant" in bad["reasons"]
+    assert np.isclose(bad["mean_diff"], 0.025)
