@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -90,3 +92,71 @@ def pgm(content: bytes) -> np.ndarray:
         raise ValueError("not an 8-bit PGM")
     w, h = map(int, size.split())
     return np.frombuffer(data, np.uint8, w * h).reshape(h, w)
+
+
+# The EXIF tags that are read.
+_TAGS = {0x010F: "make", 0x0110: "model", 0x0112: "orientation", 0x8769: "more", 0x829A: "exposure", 0x829D: "f_number", 0x8827: "iso", 0x9003: "taken", 0x0132: "changed"}
+_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
+
+
+def _directory(tiff: bytes, at: int, order: str, found: dict) -> None:
+    (n,) = struct.unpack_from(order + "H", tiff, at)
+    for k in range(n):
+        tag, kind, count = struct.unpack_from(order + "HHI", tiff, at + 2 + 12 * k)
+        if tag not in _TAGS or kind not in _SIZES:
+            continue
+        size = _SIZES[kind] * count
+        where = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", tiff, at + 10 + 12 * k)[0]
+        raw = tiff[where : where + size]
+        if kind == 2:
+            value = raw.split(b"\0")[0].decode("utf-8", "replace").strip() or None
+        elif kind in (5, 10):
+            top, bottom = struct.unpack_from(order + ("II" if kind == 5 else "ii"), raw)
+            value = top / bottom if bottom else None
+        else:
+            value = struct.unpack_from(order + {1: "B", 3: "H", 4: "I", 7: "B", 9: "i"}[kind], raw)[0]
+        if tag == 0x8769:
+            _directory(tiff, value, order, found)
+        else:
+            found[_TAGS[tag]] = value
+
+
+def exif(content: bytes) -> dict:
+    """EXIF values and the size of a JPEG as stored; what is missing or broken is left out."""
+    found: dict = {}
+    at = 2
+    while content[:2] == b"\xff\xd8" and at + 4 <= len(content) and content[at] == 0xFF:
+        marker, size = content[at + 1], struct.unpack_from(">H", content, at + 2)[0]
+        body = content[at + 4 : at + 2 + size]
+        if marker == 0xE1 and body[:6] == b"Exif\0\0":
+            order = "<" if body[6:8] == b"II" else ">"
+            try:
+                _directory(body[6:], struct.unpack_from(order + "I", body, 10)[0], order, found)
+            except (struct.error, IndexError, TypeError, RecursionError):
+                pass
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            found["height"], found["width"] = struct.unpack_from(">HH", body, 1)
+            break
+        elif marker == 0xDA:
+            break
+        at += 2 + size
+    return found
+
+
+def exif_rows(images: DataFrame) -> DataFrame:
+    """(path, taken_at, camera_make, camera_model, exposure_time, f_number, iso, width, height, byte_size) of JPEG files."""
+    fields = {"taken": "string", "make": "string", "model": "string", "exposure": "double", "f_number": "double", "iso": "int", "orientation": "int", "width": "int", "height": "int"}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                x = exif(content)
+                x.setdefault("taken", x.get("changed"))
+                rows.append((path, len(content), *(x.get(k) for k in fields)))
+            out = pd.DataFrame(rows, columns=["path", "byte_size", *fields], dtype=object)
+            yield out
+
+    raw = images.select("path", "content").mapInPandas(run, "path string, byte_size long, " + ", ".join(f"{k} {t}" for k, t in fields.items()))
+    width, height = oriented("width", "height", "orientation")
+    return raw.select("path", exif_time("taken").alias("taken_at"), clean_text("make").alias("camera_make"), clean_text("model").alias("camera_model"), exposure_text("exposure").alias("exposure_time"), "f_number", "iso", width.alias("width"), height.alias("height"), "byte_size")

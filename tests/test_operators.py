@@ -282,3 +282,30 @@ def test_mixed_models_fail(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b")], "gallery_id long, embedding_model string")
     with pytest.raises(Exception, match="mixed embedding models"):
         scan.assert_single_model(df).collect()
+
+
+def jpeg_with_exif():
+    """A JPEG's head: EXIF with two directories, and a frame of 40 x 30."""
+    texts = [(0x010F, b"Canon\0"), (0x0110, b"R5 \0")]
+    head = 8 + 2 + 12 * 4 + 4
+    data, first = b"", []
+    for tag, raw in texts:
+        first.append(struct.pack("<HHII", tag, 2, len(raw), head + len(data)) if len(raw) > 4 else struct.pack("<HHI4s", tag, 2, len(raw), raw))
+        data += raw if len(raw) > 4 else b""
+    first.append(struct.pack("<HHIHH", 0x0112, 3, 1, 6, 0))
+    more = head + len(data)
+    first.append(struct.pack("<HHII", 0x8769, 4, 1, more))
+    tail = more + 2 + 12 * 3 + 4
+    stamp = b"2026:10:01 03:04:05\0"
+    second = [struct.pack("<HHII", 0x829A, 5, 1, tail), struct.pack("<HHIHH", 0x8827, 3, 1, 400, 0), struct.pack("<HHII", 0x9003, 2, len(stamp), tail + 8)]
+    tiff = struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", 4) + b"".join(first) + b"\0" * 4 + data + struct.pack("<H", 3) + b"".join(second) + b"\0" * 4 + struct.pack("<II", 1, 200) + stamp
+    app = b"Exif\0\0" + tiff
+    frame = struct.pack(">BHH", 8, 30, 40) + b"\1"
+    return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(app) + 2) + app + b"\xff\xc0" + struct.pack(">H", len(frame) + 2) + frame + b"\xff\xd9"
+
+
+def test_exif(spark):
+    df = spark.createDataFrame([("a", bytearray(jpeg_with_exif())), ("b", bytearray(b"junk")), ("c", bytearray(b"\xff\xd8\xff\xe1\x00\x10Exif\0\0II"))], "path string, content binary")
+    a, b, c = I.exif_rows(df).orderBy("path").collect()
+    assert (a.taken_at, a.camera_make, a.camera_model, a.exposure_time, a.iso, a.width, a.height) == (datetime(2026, 10, 1, 3, 4, 5), "Canon", "R5", "1/200", 400, 30, 40)
+    assert b.camera_make is None and b.byte_size == 4 and c.taken_at is None
