@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import struct
 from collections.abc import Callable, Iterator
 
