@@ -18,6 +18,7 @@ its own next one; other columns are ignored.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -64,31 +65,38 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (same / F.lit(float(BINS)) - F.lit(2.0**-BITS)) / F.lit(1 - 2.0**-BITS))
 
 
-def with_next(df: DataFrame, columns: list[str], ranges: int) -> DataFrame:
-    """Adds next_<column> of the row after each in descending doc_id order; after the last comes the first.
+def range_of(doc_id: Column, cuts: Column, step: int) -> Column:
+    """How many of the sorted cuts lie below, by every step-th cut first, so a row looks at few of them."""
+    below = lambda a: F.size(F.filter(a, lambda c: c < doc_id))
+    whole = F.greatest(below(F.filter(cuts, lambda _, i: i % step == 0)) - 1, F.lit(0)) * step
+    return whole + below(F.slice(cuts, whole + 1, step))
+
+
+def with_next(df: DataFrame, complete: Callable[[DataFrame], DataFrame], columns: list[str], ranges: int) -> DataFrame:
+    """``complete(df)`` with next_<column> of the row after each in descending doc_id order; after the last comes the first.
 
     Rows are dealt out to ``ranges`` ranges of doc_id; within one the next row is
-    a window's, and a range's last row gets the first of the range below.
+    a window's, and a range's last row gets the first of the range below. The
+    tables of cuts and of heads have a row for each range, and ``complete`` runs
+    once for each document and each head.
     """
     order = [F.desc_nulls_last("doc_id"), F.desc_nulls_last("text")]
-    cuts = df.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 100_000).alias("cuts")).select(F.array_distinct(F.coalesce("cuts", F.array().cast("array<long>"))).alias("cuts"))
-    ranged = df.crossJoin(F.broadcast(cuts)).withColumn("_r", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("doc_id"))), F.lit(-1))).drop("cuts")
-    w = Window.partitionBy("_r").orderBy(*order)
+    cuts = df.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 100_000).alias("cuts"))
+    cuts = cuts.select(F.array_sort(F.array_distinct(F.coalesce("cuts", F.array().cast("array<long>")))).alias("cuts")).first()["cuts"]
+    ranged = df.withColumn("_r", range_of(F.col("doc_id"), F.from_json(F.lit(json.dumps(cuts)), "array<long>"), max(1, int(len(cuts) ** 0.5))))
     following = F.struct(*[F.col(c) for c in columns])
-    rows = ranged.withColumn("_next", F.lead(following).over(w))
-    heads = ranged.groupBy("_r").agg(F.max_by(following, F.struct("doc_id", "text")).alias("_head"))
-    below = heads.select("_head", F.lead("_r").over(Window.orderBy("_r")).alias("_r"), F.max("_r").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_top"), F.col("_r").alias("_own"))
-    # the range whose last row this head follows: the one above, and the lowest for the top one
-    lowest = heads.agg(F.min("_r").alias("_least"))
-    below = below.crossJoin(lowest).select("_head", F.when(F.col("_own") == F.col("_top"), F.col("_least")).otherwise(F.col("_r")).alias("_of"))
-    rows = rows.join(below, F.col("_r") == F.col("_of"), "left").withColumn("_next", F.coalesce("_next", "_head"))
-    return rows.select(*df.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
+    rows = complete(ranged).withColumn("_next", F.lead(following).over(Window.partitionBy("_r").orderBy(*order)))
+    heads = complete(ranged.groupBy("_r").agg(F.max_by("text", F.struct("doc_id", "text")).alias("text"))).withColumn("_head", following)
+    # a head follows the last row of the range above it; the top one follows the lowest range's
+    after = F.coalesce(F.lead("_r").over(Window.orderBy("_r")), F.first("_r").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = rows.join(heads.select("_head", after.alias("_of")), F.col("_r") == F.col("_of"), "left").withColumn("_next", F.coalesce("_next", "_head"))
+    return rows.select("*", *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns]).drop("_r", "_of", "_next", "_head")
 
 
 def fingerprint_edits(docs: DataFrame, ranges: int) -> DataFrame:
     """Fingerprints of the documents and of their edited texts, with both likenesses."""
-    own = with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), "text", "fingerprint")
-    rows = with_next(own, ["text", "fingerprint"], ranges).withColumn("n_chars", F.length("text").cast("long"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = with_next(texts, lambda df: with_fingerprint(df, "text", "fingerprint"), ["text", "fingerprint"], ranges).withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - third), F.substring(F.col("next_text"), F.lit(1), third)))
     rows = rows.select("doc_id", "n_chars", "edited", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "next_fingerprint")
