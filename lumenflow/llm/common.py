@@ -35,10 +35,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession, path: str) -> None:
-    """Deletes a folder through Spark's own file systems."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+class Scratch:
+    """Tables of one job in a folder of their own, which goes as a whole once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.path, self.n = spark, scratch_path(spark, label), 0
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{self.n:03d}-{label}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Through Spark's own file systems, so any shared folder will do."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:

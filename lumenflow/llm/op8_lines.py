@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenflow.llm.common import stored, table
+from lumenflow.llm.common import Scratch, table
 
 MIN_SITES = 10
 MAX_SHARE = 0.5
@@ -28,12 +28,13 @@ LOG_SIZE = 12
 NEAR = 3 * 1.04 / 2 ** (LOG_SIZE / 2)
 
 
-def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def spread_lines(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -> DataFrame:
     """Hashes of the lines that at least ``min_sites`` sources carry."""
     lines = docs.filter("source is not null").select("source", F.explode(F.split("text", "\n")).alias("line")).select("source", F.trim("line").alias("line")).filter("line <> ''")
-    seen = lines.select(F.xxhash64("line").alias("h"), F.xxhash64("source").alias("site"))
+    # a row for each site and line before anything is grouped by line, so a common line is no hot key
+    seen = lines.select(F.xxhash64("line").alias("h"), F.xxhash64("source").alias("site")).distinct()
     several = seen.groupBy("h").agg(F.min("site").alias("a"), F.max("site").alias("b")).filter("a <> b").select("h")
-    shared = stored(seen.join(several, "h").groupBy("h", "site").agg(F.count(F.lit(1)).alias("n")).select("h", "site"), "op8-shared")
+    shared = scratch.stored(seen.join(several, "h"), "shared")
     sketches = shared.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LOG_SIZE)).alias("sketch"))
     rough = sketches.select("h", F.hll_sketch_estimate("sketch").alias("sites"))
     margin = max(1.0, NEAR * min_sites)
@@ -44,17 +45,23 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
     """The rows of ``docs`` with the lines taken out of ``text``, and n_lines, n_removed."""
-    spread = stored(spread_lines(docs, min_sites), "op8-spread")
+    kept, scratch = Scratch(docs.sparkSession, "op8"), Scratch(docs.sparkSession, "op8-work")
+    spread = kept.stored(spread_lines(docs, scratch, min_sites), "spread")
+    scratch.drop()
     own = docs.select("doc_id", F.explode(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(F.trim(x)))).alias("h"))
-    found = own.join(spread, "h").groupBy("doc_id").agg(F.collect_set("h").alias("_spread")).withColumnRenamed("doc_id", "_of")
-    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_of")), "left").drop("_of")
-    rows = rows.withColumn("_lines", F.split("text", "\n"))
-    left = F.when(F.col("_spread").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_spread"), F.xxhash64(F.trim(x)))))
-    rows = rows.withColumn("_left", left).withColumn("_text", F.array_join("_left", "\n"))
-    taken = (F.col("_spread").isNotNull()) & (F.length("text") - F.length("_text") <= F.length("text") * F.lit(max_share))
-    size = F.coalesce(F.size("_lines"), F.lit(0))
-    lines = F.when(F.col("text").isNull(), 0).otherwise(size).cast("long")
-    return rows.select(*[F.when(taken, F.col("_text")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")], lines.alias("n_lines"), F.when(taken, F.size("_lines") - F.size("_left")).otherwise(0).cast("long").alias("n_removed"))
+    found = own.join(spread, "h").groupBy("doc_id").agg(F.collect_set("h").alias("spread"))
+    # the row travels as one struct, so no column of it can clash with those made here
+    rows = docs.select(F.col("doc_id").alias("id"), F.struct(*docs.columns).alias("row"))
+    rows = rows.join(found, F.col("id").eqNullSafe(F.col("doc_id")), "left").select("row", "spread", F.split("row.text", "\n").alias("lines"))
+    left = F.when(F.col("spread").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("spread"), F.xxhash64(F.trim(x)))))
+    rows = rows.withColumn("left", left).withColumn("cleaned", F.array_join("left", "\n"))
+    size = F.length("row.text")
+    taken = F.col("spread").isNotNull() & (size - F.length("cleaned") <= size * F.lit(max_share))
+    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    text = F.when(taken, F.col("cleaned")).otherwise(F.col("row.text"))
+    n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    n_removed = F.when(taken, F.size("lines") - F.size("left")).otherwise(0).cast("long")
+    return rows.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in keep], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

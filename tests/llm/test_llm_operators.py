@@ -4,7 +4,6 @@ import hashlib
 import itertools
 import random
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from lumenflow.llm import op8_lines as op8  # noqa: E402
 from lumenflow.llm import op9_secrets as op9  # noqa: E402
 from lumenflow.llm import op10_decontamination as op10  # noqa: E402
 from lumenflow.llm.bpe import Encoder  # noqa: E402
-from lumenflow.llm.common import scratch_path  # noqa: E402
+from lumenflow.llm.common import Scratch, scratch_path  # noqa: E402
 from lumenflow.llm.textops import shingle_sets, words  # noqa: E402
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -377,7 +376,7 @@ def test_boilerplate_lines(spark, odd, empty):
 def test_near_threshold_lines_are_exact(spark):
     rows = [(f"line {k}", f"s{i}") for k in range(6, 15) for i in range(k)]
     df = spark.createDataFrame(rows, "text string, source string")
-    assert op8.spread_lines(df, 10).count() == 5
+    assert op8.spread_lines(df, Scratch(spark, "t"), 10).count() == 5
 
 
 # 9
@@ -469,7 +468,3 @@ def test_decontamination(spark, odd, empty):
     assert got == want
     assert op10.contaminated(odd, bench).count() == 0 and op10.contaminated(empty, bench).count() == 0
     assert op10.contaminated(odd, bench.filter("item_id > 1000")).count() == 0
-
-
-def test_ids_digest():
-    assert op7.ids_crc32(np.array([1, 2], dtype=np.uint32)) == zlib.crc32(b"\x01\0\0\0\x02\0\0\0")
