@@ -245,7 +245,7 @@ def grouped_gallery(df: DataFrame, keep, threshold: float, gap_seconds: float =
     """
     from lumenflow.operators.windows import time_segments
 
-    b = keep(bursts(df, threshold, keep), "bursts")
+    b = keep(bursts(keep(df, "gallery"), threshold, keep), "bursts")
     s = time_segments(b, gap_seconds)
     table = s.groupBy(BY, "segment").agg(F.count(F.lit(1)).alias("size"), F.max(F.when(F.col("gap_s") > gap_seconds, F.col("gap_s"))).alias("gap_s"))
     table = table.withColumn("n", F.sum("size").over(Window.partitionBy(BY)))
