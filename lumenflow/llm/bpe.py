@@ -24,7 +24,7 @@ _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 _CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 _APOSTROPHE = 0x27
 #: Code points that are worked on at a time in very long texts.
-_SPAN = 1 << 21
+_SPAN = 1 << 20
 
 
 @lru_cache(1)
@@ -92,7 +92,7 @@ def pieces(cps: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes columns of texts; one for each worker process and tokenizer file."""
 
-    def __init__(self, path: str, bits: int = 22, room: int = 1 << 25):
+    def __init__(self, path: str, bits: int = 21, room: int = 1 << 23):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -101,7 +101,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.keys = np.zeros(1 << self.bits, dtype=_U)
-        self.at = np.zeros(1 << self.bits, dtype=np.int64)
+        self.at = np.zeros(1 << self.bits, dtype=np.int32)
         self.size = np.zeros(1 << self.bits, dtype=np.int32)
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
@@ -114,7 +114,7 @@ class Encoder:
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.ids[self.used : self.used + len(flat)] = flat
-        at = self.used + np.cumsum(size, dtype=np.int64) - size
+        at = (self.used + np.cumsum(size, dtype=np.int64) - size).astype(np.int32)
         self.used += len(flat)
         return at, size
 

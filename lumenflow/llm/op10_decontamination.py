@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenflow.llm import textops
-from lumenflow.llm.common import map_batches, stored, table
+from lumenflow.llm.common import Scratch, map_batches, table
 from lumenflow.llm.textops import blocks, shingle_hashes, span_hashes
 
 SEED_WORDS = 3
@@ -168,14 +168,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """doc_id, item_id, score, item_words, ends_at of every pair whose best alignment reaches the threshold."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
-    grams = stored(item_seeds(items), "op10-items")
-    hits = stored(occurrences(docs, grams), "op10-hits")
+    kept, scratch = Scratch(docs.sparkSession, "op10"), Scratch(docs.sparkSession, "op10-work")
+    grams = scratch.stored(item_seeds(items), "items")
+    hits = scratch.stored(occurrences(docs, grams), "hits")
     counted = grams.select("gram").distinct().join(hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram")
     known = grams.join(counted, "gram")
     half = known.groupBy("item_id").agg(F.expr("percentile_disc(0.5) within group (order by n)").alias("most"))
     rare = known.join(half, "item_id").filter(F.col("n") <= F.col("most")).select("gram", "item_id", "item_at")
     windows = hits.join(rare, "gram").select("doc_id", "item_id", F.floor((F.col("doc_at") - F.col("item_at")) / DIAGONALS).alias("window")).distinct()
-    best = aligned(stored(windows, "op10-windows"), docs, items).filter(F.col("score") >= threshold)
+    windows = kept.stored(windows, "windows")
+    scratch.drop()
+    best = aligned(windows, docs, items).filter(F.col("score") >= threshold)
     return best.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "item_words", "ends_at")).alias("x")).select("doc_id", "item_id", "x.*")
 
 

@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenflow.llm.common import lower_ascii, table
+from lumenflow.llm.common import lower_ascii, stored, table
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 MAX_RULES = 500
@@ -119,7 +119,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> UrlModel:
     else:
         model.model = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, seed=7).fit(features)
     features.unpersist()
-    model.statistics = {s: labelled.sparkSession.createDataFrame(d.collect(), d.schema) for s, d in statistics.items()}
+    model.statistics = {s: stored(d, f"op2-{s}") for s, d in statistics.items()}
     sample.unpersist()
     return model
 

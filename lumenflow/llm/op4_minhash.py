@@ -28,11 +28,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenflow.llm.common import map_batches, stored, table
-from lumenflow.llm.textops import blocks, mix, seeds, shingle_sets
+from lumenflow.llm.common import Scratch, map_batches, table
+from lumenflow.llm.textops import BLOCK, blocks, mix, seeds, shingle_sets
 from lumenflow.operators.components import connected_components
 
 WORDS = 5
@@ -101,16 +102,18 @@ def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """u, v, linked: whether 100 * intersection >= 75 * union of the full sets."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        linked, at = np.zeros(batch.num_rows, dtype=bool), 0
-        left = [s for _, _, data, offsets in blocks(batch.column(2)) for s in shingle_sets(data, offsets, WORDS)]
-        for _, _, data, offsets in blocks(batch.column(3)):
-            for y in shingle_sets(data, offsets, WORDS):
-                x = left[at]
+        size = np.cumsum([0, *(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False) + pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False))])
+        a = 0
+        while a < batch.num_rows:  # so many pairs at a time as make a block of text
+            b = max(a + 1, int(np.searchsorted(size, size[a] + BLOCK, side="right")) - 1)
+            part, linked = batch.slice(a, b - a), []
+            sides = [[s for _, _, data, offsets in blocks(part.column(k)) for s in shingle_sets(data, offsets, WORDS)] for k in (2, 3)]
+            for x, y in zip(*sides, strict=True):
                 merged = np.sort(np.concatenate((x, y)), kind="stable")
                 common = int((merged[1:] == merged[:-1]).sum())
-                linked[at] = len(x) > 0 and 100 * common >= 75 * (len(x) + len(y) - common)
-                at += 1
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked)], names=["u", "v", "linked"])
+                linked.append(len(x) > 0 and 100 * common >= 75 * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked)], names=["u", "v", "linked"])
+            a = b
 
     left = texts.select(F.col("class_id").alias("u"), F.col("text").alias("text_u"))
     right = texts.select(F.col("class_id").alias("v"), F.col("text").alias("text_v"))
@@ -118,19 +121,30 @@ def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def token_counts(texts: DataFrame) -> np.ndarray:
-    """How many sets hold a shingle, by the upper bits of its hash: a table of fixed size, whatever the input."""
+    """How many sets hold a shingle, by the upper bits of its hash: a table of fixed size, whatever the input.
+
+    A task adds up its own table, tables are summed by part, and the parts come
+    to the driver as bytes.
+    """
+    parts, size = 1 << (COUNT_BITS - 12), 1 << 12
+    schema = pa.schema([("part", pa.int64()), ("counts", pa.binary())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
+        for batch in batches:
+            for _, _, data, offsets in blocks(batch.column(0)):
+                for s in shingle_sets(data, offsets, WORDS):
+                    np.add.at(n, (s >> _U(64 - COUNT_BITS)).astype(np.int64), np.uint32(1))
+        full = np.flatnonzero(n.reshape(parts, size).any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([n[k * size : (k + 1) * size].tobytes() for k in full.tolist()], type=pa.binary())], schema=schema)
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), dtype=np.uint32).astype(np.int64) for x in table.column("counts"))
+        return pa.table({"part": table.column("part")[:1], "counts": [np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()]}, schema=schema)
 
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << COUNT_BITS, dtype=np.int64)
-        for _, _, data, offsets in blocks(batch.column(0)):
-            for s in shingle_sets(data, offsets, WORDS):
-                np.add.at(n, (s >> _U(64 - COUNT_BITS)).astype(np.int64), 1)
-        slots = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(n[slots])], names=["slot", "n"])
-
-    found = map_batches(texts.select("text"), work, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
-    out[found["slot"].to_numpy(dtype=np.int64)] = np.minimum(found["n"].to_numpy(dtype=np.int64), (1 << 32) - 1)
+    for row in texts.select("text").mapInArrow(count, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary").collect():
+        out[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["counts"], dtype=np.uint32)
     return out
 
 
@@ -154,7 +168,7 @@ def rare_prefixes(texts: DataFrame, counts: np.ndarray) -> DataFrame:
     return map_batches(texts.select("class_id", "text"), work, "token long, class_id long, n long, pos long")
 
 
-def unresolved_pairs(texts: DataFrame, parts: DataFrame) -> DataFrame:
+def unresolved_pairs(texts: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
     """All pairs (u, v) of different parts that can reach 0.75, by an exact prefix and position filter.
 
     In one order of all shingles, the rarest first, the first common shingle of a
@@ -165,7 +179,7 @@ def unresolved_pairs(texts: DataFrame, parts: DataFrame) -> DataFrame:
     rows = rare_prefixes(texts, token_counts(texts)).join(parts, "class_id")
     sizes = rows.groupBy("token", "part").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("token").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", "main")
-    rows = stored(rows.join(main, "token"), "op4-prefixes")
+    rows = scratch.stored(rows.join(main, "token"), "prefixes")
     one = rows.filter("part <> main").select("token", *[F.col(c).alias(f"{c}_u") for c in ("class_id", "n", "pos", "part")])
     other = rows.select(F.col("token").alias("t"), "main", *[F.col(c).alias(f"{c}_v") for c in ("class_id", "n", "pos", "part")])
     reach = F.expr("7 * (1 + least(n_u - 1 - pos_u, n_v - 1 - pos_v)) >= 3 * (n_u + n_v)")
@@ -174,31 +188,31 @@ def unresolved_pairs(texts: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.select(F.least("class_id_u", "class_id_v").alias("u"), F.greatest("class_id_u", "class_id_v").alias("v")).distinct()
 
 
-def candidate_links(classes: DataFrame, docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def candidate_links(classes: DataFrame, docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
     """Verified links (u, v) of the classes (class_id, n_shingles, bands)."""
     rows = classes.select("class_id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = stored(rows.join(shared, "key"), "op4-members")
-    weights = stored(members.groupBy("class_id").agg(F.sum("size").alias("weight")), "op4-weights")
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("class_id"), "text").join(weights.select("class_id"), "class_id", "left_semi"), "op4-texts")
+    members = scratch.stored(rows.join(shared, "key"), "members")
+    weights = scratch.stored(members.groupBy("class_id").agg(F.sum("size").alias("weight")), "weights")
+    texts = scratch.stored(docs.select(F.col("doc_id").cast("long").alias("class_id"), "text").join(weights.select("class_id"), "class_id", "left_semi"), "texts")
     active = members.select("key", "class_id").join(weights, "class_id")
     tested = []
     for _ in range(rounds):
         pivots = active.groupBy("key").agg(F.max_by("class_id", F.struct("weight", -F.col("class_id"))).alias("center"))
-        pairs = stored(active.join(pivots, "key").filter("class_id <> center"), "op4-pairs")
-        found = stored(measured(pairs.select(F.col("center").alias("u"), F.col("class_id").alias("v")).distinct(), texts), "op4-tested")
+        pairs = scratch.stored(active.join(pivots, "key").filter("class_id <> center"), "pairs")
+        found = scratch.stored(measured(pairs.select(F.col("center").alias("u"), F.col("class_id").alias("v")).distinct(), texts), "tested")
         tested.append(found)
-        active = stored(pairs.join(found.filter("linked").select(F.col("u").alias("center"), F.col("v").alias("class_id")), ["center", "class_id"], "left_anti").select("key", "class_id", "weight"), "op4-active")
+        active = scratch.stored(pairs.join(found.filter("linked").select(F.col("u").alias("center"), F.col("v").alias("class_id")), ["center", "class_id"], "left_anti").select("key", "class_id", "weight"), "active")
         if active.isEmpty():
             break
-    links = stored(reduce(DataFrame.unionByName, tested).filter("linked").select("u", "v"), "op4-links")
-    named = stored(connected_components(links, stored), "op4-named").withColumnRenamed("node", "class_id")
+    links = scratch.stored(reduce(DataFrame.unionByName, tested).filter("linked").select("u", "v"), "links")
+    named = scratch.stored(connected_components(links, scratch.stored), "named").withColumnRenamed("node", "class_id")
     parted = members.select("key", "class_id").join(named, "class_id", "left").select("key", "class_id", F.coalesce("component", "class_id").alias("part"))
     mixed = parted.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("key")
-    open_ = stored(parted.join(mixed, "key").select("class_id", "part").distinct(), "op4-open")
-    pairs = unresolved_pairs(texts.join(open_.select("class_id"), "class_id", "left_semi"), open_)
+    open_ = scratch.stored(parted.join(mixed, "key").select("class_id", "part").distinct(), "open")
+    pairs = unresolved_pairs(texts.join(open_.select("class_id"), "class_id", "left_semi"), open_, scratch)
     done = reduce(DataFrame.unionByName, tested).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = measured(stored(pairs.join(done, ["u", "v"], "left_anti"), "op4-rest"), texts)
+    more = measured(scratch.stored(pairs.join(done, ["u", "v"], "left_anti"), "rest"), texts)
     return links.unionByName(more.filter("linked").select("u", "v"))
 
 
@@ -212,12 +226,14 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     component of their text. A null doc_id is linked with nothing. Other columns
     are ignored; an empty table gives no rows.
     """
-    every = stored(sketched(docs, bands, rows), "op4-sketches")
+    kept, scratch = Scratch(docs.sparkSession, "op4"), Scratch(docs.sparkSession, "op4-work")
+    every = kept.stored(sketched(docs, bands, rows), "sketches")
     full = every.filter("n_shingles > 0 and doc_id is not null")
     names = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"))
-    classes = stored(full.join(names.withColumnsRenamed({"h1": "g1", "h2": "g2"}), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("doc_id") == F.col("class_id"))).select("class_id", "n_shingles", "bands", "h1", "h2").dropDuplicates(["h1", "h2"]), "op4-classes")
-    links = candidate_links(classes, docs)
-    found = connected_components(links, stored).withColumnRenamed("node", "class_id")
+    classes = kept.stored(full.join(names.withColumnsRenamed({"h1": "g1", "h2": "g2"}), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("doc_id") == F.col("class_id"))).select("class_id", "n_shingles", "bands", "h1", "h2").dropDuplicates(["h1", "h2"]), "classes")
+    links = scratch.stored(candidate_links(classes, docs, scratch), "all-links")
+    found = kept.stored(connected_components(links, scratch.stored), "components").withColumnRenamed("node", "class_id")
+    scratch.drop()
     components = classes.select("h1", "h2", "class_id").join(found, "class_id", "left").select("h1", "h2", F.coalesce("component", "class_id").alias("component_id"))
     linked = full.select("doc_id", "n_shingles", "h1", "h2").join(components, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
     alone = every.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

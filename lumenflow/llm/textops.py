@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at a time.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SHINGLE = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=_U)
