@@ -1,18 +1,23 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. The test items' word trigrams go into a bitmap of fixed size (``BITMAP_BITS``
-   bits, the only thing that is broadcast), and one pass over the texts writes
-   the occurrences that the bitmap lets through.
-2. Occurrences are counted over all documents. Of each item the rarer half of
-   its trigrams, ties included, are its seeds.
-3. Seeds that share a diagonal range (position in the text minus position in the
-   item) make one window to align, so a passage gives one or two of them however
-   many of its trigrams hit.
-4. Each window is aligned with its item (match 1, mismatch and gap -1), which
-   finds edited and paraphrased copies; the score is divided by the item's words.
+"""Benchmark decontamination: an exact prefix of rare n-gram seeds, then Smith-Waterman alignment.
+
+1. The test items' word pairs go into a bitmap of fixed size (``BITMAP_BITS``
+   bits, the only thing that is broadcast), and one pass over the texts counts
+   those that the bitmap lets through.
+2. An alignment of m matches and e errors (score m - e) has at most e + 1 runs of
+   matches, so it holds at least score - 1 of the item's pairs. An item of n words
+   that needs the score t therefore shares at least one of any n - t + 1 of its
+   n - 1 pairs: the n - t + 1 rarest are its seeds, and no alignment is lost
+   however often a passage is copied. Counts only save work.
+3. A second pass writes where seeds occur. Seeds that share a diagonal range
+   (position in the text minus position in the item) make one window to align.
+   It reaches n / 2 words beyond the range, as far as the errors of a score of
+   half the words can shift an alignment.
+4. Windows with fewer than t - 1 of the item's pairs go. The others are aligned
+   with their item (match 1, mismatch and gap -1), which finds edited and
+   paraphrased copies; the score is divided by the item's words.
 
 Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. Items
-under three words have no seed and are never found.
+under three words are never found.
 
 Defined results: null and empty texts and items match nothing; rows that repeat,
 and items that repeat, are reported once; a null doc_id or item_id is never
@@ -25,14 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenflow.llm import textops
 from lumenflow.llm.common import Scratch, map_batches, table
 from lumenflow.llm.textops import blocks, shingle_hashes, span_hashes
 
-SEED_WORDS = 3
+SEED_WORDS = 2
+#: Items of fewer words are never found.
+LEAST_WORDS = 3
 BITMAP_BITS = 24
 #: Least score for contamination, as a share of the item's words.
 THRESHOLD = 0.5
@@ -62,23 +69,26 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def seed_rows(hashes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, position, hash) of all trigrams."""
+    """(row, position, hash) of all word pairs."""
     every = shingle_hashes(hashes, SEED_WORDS)
     row = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
     whole = np.flatnonzero(row[: len(every)] == row[SEED_WORDS - 1 :]) if len(every) else np.zeros(0, dtype=np.int64)
     return row[whole], whole - begins[row[whole]], every[whole]
 
 
-def item_seeds(items: DataFrame) -> DataFrame:
-    """item_id, item_at, gram, item_words."""
+def item_grams(items: DataFrame) -> DataFrame:
+    """item_id, item_key (one for each of its texts), item_at, gram, item_words."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for a, _, data, offsets in blocks(batch.column(1)):
+        for a, _, data, offsets in blocks(batch.column(2)):
             hashes, begins = word_hashes(data, offsets)
             row, at, gram = seed_rows(hashes, begins)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(at), pa.array(gram.view(np.int64)), pa.array(np.diff(begins)[row])], names=["item_id", "item_at", "gram", "item_words"])
+            size = np.diff(begins)[row]
+            own = size >= LEAST_WORDS
+            rows = pa.array(row[own] + a)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at[own]), pa.array(gram[own].view(np.int64)), pa.array(size[own])], names=["item_id", "item_key", "item_at", "gram", "item_words"])
 
-    return map_batches(items, work, "item_id long, item_at long, gram long, item_words long")
+    return map_batches(items.select("item_id", F.xxhash64("text").alias("item_key"), "text"), work, "item_id long, item_key long, item_at long, gram long, item_words long")
 
 
 def bitmap(grams: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
@@ -90,8 +100,8 @@ def bitmap(grams: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
 
 
-def occurrences(docs: DataFrame, grams: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
-    """doc_id, doc_at, gram of all places whose trigram the items' bitmap holds."""
+def _passed(docs: DataFrame, grams: DataFrame, emit, schema: str, bits: int = BITMAP_BITS) -> DataFrame:
+    """What ``emit`` makes of (batch, row, position, gram) of the places whose gram the bitmap of ``grams`` holds, block by block."""
     cells = np.packbits(bitmap(grams, bits), bitorder="little")
     shared = docs.sparkSession.sparkContext.broadcast(cells)
 
@@ -102,9 +112,27 @@ def occurrences(docs: DataFrame, grams: DataFrame, bits: int = BITMAP_BITS) -> D
             hashes, begins = word_hashes(data, offsets)
             row, at, gram = seed_rows(hashes, begins)
             hit = held[gram >> _U(64 - bits)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[hit] + a)), pa.array(at[hit]), pa.array(gram[hit].view(np.int64))], names=["doc_id", "doc_at", "gram"])
+            yield emit(batch, row[hit] + a, at[hit], gram[hit].view(np.int64))
+
+    return map_batches(docs, work, schema)
+
 
-    return map_batches(docs, work, "doc_id long, doc_at long, gram long")
+def gram_counts(docs: DataFrame, grams: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+    """gram, n: occurrences over all texts, added up within a block first."""
+
+    def emit(batch, row, at, gram):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(gram, return_counts=True)], names=["gram", "n"])
+
+    return _passed(docs, grams, emit, "gram long, n long", bits).groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def occurrences(docs: DataFrame, grams: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+    """doc_id, doc_at, gram of all places whose gram the bitmap of ``grams`` holds."""
+
+    def emit(batch, row, at, gram):
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at), pa.array(gram)], names=["doc_id", "doc_at", "gram"])
+
+    return _passed(docs, grams, emit, "doc_id long, doc_at long, gram long", bits)
 
 
 _kept: dict = {}
@@ -134,8 +162,13 @@ def best_scores(texts: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.nd
     return best, end
 
 
-def aligned(candidates: DataFrame, docs: DataFrame, items: DataFrame, pairs: int = 256) -> DataFrame:
-    """doc_id, item_id, score, item_words, ends_at (word of the text) for windows (doc_id, item_id, window)."""
+def needed(size, threshold: float):
+    """Least whole score of items of ``size`` words that reaches the threshold."""
+    return np.ceil(np.asarray(size) * threshold - 1e-9).astype(np.int64)
+
+
+def aligned(candidates: DataFrame, docs: DataFrame, items: DataFrame, pairs: int = 256, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, item_id, score, item_words, ends_at (word of the text) for windows (doc_id, item_id, window) that can reach the threshold."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         item_words = []
@@ -148,17 +181,20 @@ def aligned(candidates: DataFrame, docs: DataFrame, items: DataFrame, pairs: int
             hashes, begins = word_hashes(data, offsets)
             for k in range(a, b):
                 own = hashes[begins[k - a] : begins[k - a + 1]]
-                slack = DIAGONALS // 2 + len(item_words[k]) // 4
+                slack = int(len(item_words[k]) * (1 - threshold)) + 1
                 lo = max(0, windows[k] * DIAGONALS - slack)
                 begin.append(lo)
                 cut.append(own[lo : max(lo, (windows[k] + 1) * DIAGONALS + len(item_words[k]) + slack)])
-        order = sorted(range(len(cut)), key=lambda k: (len(item_words[k]), len(cut[k])))
+        size = np.array([len(x) for x in item_words], dtype=np.int64)
+        shared = [np.isin(shingle_hashes(x, SEED_WORDS), shingle_hashes(y, SEED_WORDS)).sum() for x, y in zip(item_words, cut, strict=True)]
+        can = (np.array(shared, dtype=np.int64) >= needed(size, threshold) - 1) & (size > 0)
+        order = sorted(np.flatnonzero(can).tolist(), key=lambda k: (size[k], len(cut[k])))
         score, end = np.zeros(len(cut), dtype=np.int32), np.zeros(len(cut), dtype=np.int64)
         for k in range(0, len(order), pairs):
             own = order[k : k + pairs]
             score[own], end[own] = best_scores([cut[i] for i in own], [item_words[i] for i in own])
-        size = np.array([len(x) for x in item_words], dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score / np.maximum(size, 1)), pa.array(size), pa.array(end + np.array(begin, dtype=np.int64))], names=["doc_id", "item_id", "score", "item_words", "ends_at"])
+        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score / np.maximum(size, 1)), pa.array(size), pa.array(end + np.array(begin, dtype=np.int64))], names=["doc_id", "item_id", "score", "item_words", "ends_at"])
+        yield out.filter(pa.array(can))
 
     rows = candidates.join(docs, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id").select("doc_id", "item_id", "window", "text", "item")
     return map_batches(rows, work, "doc_id long, item_id long, score double, item_words long, ends_at long")
@@ -169,16 +205,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
     kept, scratch = Scratch(docs.sparkSession, "op10"), Scratch(docs.sparkSession, "op10-work")
-    grams = scratch.stored(item_seeds(items), "items")
-    hits = scratch.stored(occurrences(docs, grams), "hits")
-    counted = grams.select("gram").distinct().join(hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram")
-    known = grams.join(counted, "gram")
-    half = known.groupBy("item_id").agg(F.expr("percentile_disc(0.5) within group (order by n)").alias("most"))
-    rare = known.join(half, "item_id").filter(F.col("n") <= F.col("most")).select("gram", "item_id", "item_at")
+    grams = scratch.stored(item_grams(items), "items")
+    counted = scratch.stored(grams.join(gram_counts(docs, grams), "gram", "left").na.fill(0, ["n"]), "counted")
+    rank = F.row_number().over(Window.partitionBy("item_id", "item_key").orderBy("n", "gram", "item_at"))
+    seeds = F.col("item_words") - F.ceil(F.col("item_words") * F.lit(threshold) - F.lit(1e-9)) + 1
+    rare = counted.withColumn("rank", rank).filter((F.col("rank") <= seeds) & (F.col("n") > 0)).select("gram", "item_id", "item_at")
+    rare = scratch.stored(rare, "seeds")
+    hits = scratch.stored(occurrences(docs, rare), "hits")
     windows = hits.join(rare, "gram").select("doc_id", "item_id", F.floor((F.col("doc_at") - F.col("item_at")) / DIAGONALS).alias("window")).distinct()
     windows = kept.stored(windows, "windows")
     scratch.drop()
-    best = aligned(windows, docs, items).filter(F.col("score") >= threshold)
+    best = aligned(windows, docs, items, threshold=threshold).filter(F.col("score") >= threshold)
     return best.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "item_words", "ends_at")).alias("x")).select("doc_id", "item_id", "x.*")
 
 

@@ -468,3 +468,14 @@ def test_decontamination(spark, odd, empty):
     assert got == want
     assert op10.contaminated(odd, bench).count() == 0 and op10.contaminated(empty, bench).count() == 0
     assert op10.contaminated(odd, bench.filter("item_id > 1000")).count() == 0
+
+
+def test_decontamination_of_a_passage_quoted_by_many(spark):
+    item = [f"w{i}" for i in range(40)]
+    spaced = " ".join(x + (" between" if k % 2 else "") for k, x in enumerate(item))  # 40 matches, 20 gaps, no three words in a row
+    texts = [" ".join(item), *(f"page {i} says " + " ".join(item[:21]) + f" and ends {i}" for i in range(1000)), *(f"part {i} " + " ".join(item[:19]) for i in range(50)), spaced]
+    long = [f"v{i}" for i in range(200)]
+    texts.append(" ".join(x + (" between" if k < 190 and k % 2 else "") for k, x in enumerate(long)))
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(long)), (8, "another text of the same item that no document has")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.score, 3) for r in op10.contaminated(docs(spark, texts), bench).collect()}
+    assert got == {(0, 7): 1.0, **{(i, 7): 0.525 for i in range(1, 1001)}, (1051, 7): 0.525, (1052, 8): 0.525}
