@@ -4,10 +4,13 @@ The library's own pre-tokeniser is the slow part and most pieces repeat, so the
 pieces are found with numpy, and the library encodes each distinct piece once
 per worker process; a fixed-size direct-mapped table keeps the ids of pieces.
 Byte-level BPE never joins two pieces, so the ids equal those of the whole text.
+With ``added``, the strings of added tokens (``<|endoftext|>``) are split off
+first, as the library does by default, and give the token's own id.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -90,13 +93,21 @@ def pieces(cps: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes columns of texts; one for each worker process and tokenizer file."""
+    """Encodes columns of texts; one for each worker process and tokenizer file.
 
-    def __init__(self, path: str, bits: int = 21, room: int = 1 << 23):
+    Without ``added`` the strings of added tokens are ordinary text, as with the
+    library's ``encode_special_tokens``.
+    """
+
+    def __init__(self, path: str, bits: int = 21, room: int = 1 << 23, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.bits, self.room = bits, room
+        self.added = {x.content: i for i, x in self.tokenizer.get_added_tokens_decoder().items()} if added else {}
+        if added and any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens that strip, need word bounds or are normalized are not matched here")
+        self.pattern = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
         self._clear()
 
     def _clear(self) -> None:
@@ -142,25 +153,56 @@ class Encoder:
             self._clear()
         return out, before[np.searchsorted(starts, offsets)]
 
-    def encode(self, column: pa.Array):
-        """Yields (first row, row after the last, ids of all these rows, offsets of the rows among the ids)."""
-        for a, b, data, offsets in blocks(column):
-            text, cps, at = code_points(data, offsets)
-            if len(cps) <= 2 * _SPAN:
-                yield a, b, *self._span(text, cps, at)
-                continue
-            found, lo, n = [], 0, 0  # a block over its size is one text
-            while lo < len(cps):
-                hi = min(len(cps), lo + _SPAN)
-                while hi < len(cps) and not (cps[hi] == 0x20 and not chr(cps[hi - 1]).isspace() and not chr(cps[min(hi + 1, len(cps) - 1)]).isspace()):
+    def _whole(self, text: str, cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As _span; very long rows are worked on in spans that end at a lone space."""
+        if len(cps) <= 2 * _SPAN:
+            return self._span(text, cps, offsets)
+        found, before, n = [np.zeros(0, dtype=np.uint32)], [0], 0
+        for lo, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            while lo < end:
+                hi = min(end, lo + _SPAN)
+                while hi < end and not (cps[hi] == 0x20 and not chr(cps[hi - 1]).isspace() and not chr(cps[min(hi + 1, end - 1)]).isspace()):
                     hi += 1
                 found.append(self._span(text[lo:hi], cps[lo:hi], np.array([0, hi - lo]))[0])
                 n += len(found[-1])
                 lo = hi
-            yield a, b, np.concatenate(found), np.array([0, n])
+            before.append(n)
+        return np.concatenate(found), np.array(before)
+
+    def _marks(self, text: str, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+        """(start, end, id) of the added tokens within rows."""
+        if not any(x in text for x in self.added):
+            return []
+        return [(*m.span(), self.added[m.group()]) for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) for m in self.pattern.finditer(text, lo, hi)]
+
+    def _with_added(self, text: str, cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As _whole, with the ids of added tokens for their strings."""
+        marks = self._marks(text, offsets)
+        if not marks:
+            return self._whole(text, cps, offsets)
+        starts, ends, own = (np.array(x, dtype=np.int64) for x in zip(*marks, strict=True))
+        cuts = np.sort(np.concatenate((offsets, starts, ends)))
+        ids, before = self._whole(text, cps, cuts)
+        size = np.diff(before)
+        at = np.searchsorted(cuts, starts, side="right") - 1
+        token = np.zeros(len(size), dtype=bool)
+        token[at] = True
+        after = np.zeros(len(before), dtype=np.int64)
+        np.cumsum(np.where(token, 1, size), out=after[1:])
+        part = np.repeat(np.arange(len(size)), size)
+        plain = np.flatnonzero(~token[part])
+        out = np.zeros(after[-1], dtype=np.uint32)
+        out[plain - before[part[plain]] + after[part[plain]]] = ids[plain]
+        out[after[at]] = own
+        return out, after[np.searchsorted(cuts, offsets)]
+
+    def encode(self, column: pa.Array):
+        """Yields (first row, row after the last, ids of all these rows, offsets of the rows among the ids)."""
+        for a, b, data, offsets in blocks(column):
+            yield a, b, *self._with_added(*code_points(data, offsets))
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool = False) -> Encoder:
     """The encoder of this worker process."""
-    return Encoder(path)
+    return Encoder(path, added=added)

@@ -156,13 +156,13 @@ class WaveletMatrix:
         return values.astype(np.uint32)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
-    """Encodes all documents in ascending doc_id order and writes the shards as a table at ``path``."""
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, added: bool = False) -> None:
+    """Encodes all documents in ascending doc_id order and writes the shards as a table at ``path``; ``added`` as in bpe."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lumenflow.llm.bpe import encoder
 
-        codec, part = encoder(tokenizer_path), TaskContext.get().partitionId()
+        codec, part = encoder(tokenizer_path, added), TaskContext.get().partitionId()
         state = {"shard": 0, "start": 0}
         names, sizes, held, n = [], [], [], 0
         end = np.array([end_id], dtype=np.uint32)
@@ -216,5 +216,5 @@ def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = scratch_path(spark, "op3-files")
-    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), added=True)
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

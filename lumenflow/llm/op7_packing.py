@@ -106,13 +106,13 @@ class SumOfSquares:
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, max_open: int = MAX_OPEN) -> DataFrame:
-    """One row for each piece: its ids (little-endian unsigned 32-bit), its document, its sequence and its offset there."""
+def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, max_open: int = MAX_OPEN, added: bool = False) -> DataFrame:
+    """One row for each piece: its ids (little-endian unsigned 32-bit), its document, its sequence and its offset there; ``added`` as in bpe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from lumenflow.llm.bpe import encoder
 
-        codec = encoder(tokenizer_path)
+        codec = encoder(tokenizer_path, added)
         packer = SumOfSquares(window, TaskContext.get().partitionId() << 40, max_open)
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
@@ -134,5 +134,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

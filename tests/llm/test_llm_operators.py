@@ -23,7 +23,7 @@ from lumenflow.llm import op7_packing as op7  # noqa: E402
 from lumenflow.llm import op8_lines as op8  # noqa: E402
 from lumenflow.llm import op9_secrets as op9  # noqa: E402
 from lumenflow.llm import op10_decontamination as op10  # noqa: E402
-from lumenflow.llm.bpe import Encoder  # noqa: E402
+from lumenflow.llm.bpe import Encoder, encoder  # noqa: E402
 from lumenflow.llm.common import Scratch, scratch_path  # noqa: E402
 from lumenflow.llm.textops import shingle_sets, words  # noqa: E402
 
@@ -80,6 +80,32 @@ def test_encoder_of_a_very_long_text(tokenizer, monkeypatch):
     assert not rest and at.tolist() == [0, len(ids)] and ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_as_the_library(monkeypatch):
+    plain, rng = Tokenizer.from_file(BPE), random.Random(6)
+    signs = [*"aB1 \n'sd!.é漢", "'re", "<|endoftext|>", "<|endof", "text|>", "<|", "  "]
+    texts = ["a <|endoftext|> b", "<|endof", "text|>", "", "<|endoftext|>", *("".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(3000))]
+    want = [plain.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    for a, b, ids, at in encoder(BPE, True).encode(pa.array(texts)):
+        for i in range(a, b):
+            assert ids[at[i - a] : at[i - a + 1]].tolist() == want[i]
+    monkeypatch.setattr("lumenflow.llm.bpe._SPAN", 1000)
+    text = " <|endoftext|>\n".join(prose(rng, n) for n in (4000, 3, 2000, 0, 10))
+    (_, _, ids, at), *rest = encoder(BPE, True).encode(pa.array([text]))
+    assert not rest and at.tolist() == [0, len(ids)] and ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_in_queries(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = docs(spark, ["a <|endoftext|> b", "no token"])
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    for found in (op3.op3_wavelet(spark, str(tmp_path)), op7.op7_packing(spark, str(tmp_path)).withColumnRenamed("doc_tokens", "n_tokens")):
+        assert {r.doc_id: r.n_tokens for r in found.collect()} == {0: 5, 1: len(Tokenizer.from_file(BPE).encode("no token").ids) + 1}
+    own = corpus_pipeline.packing(spark, rows, str(tmp_path)).filter("doc_id = 0").orderBy("start").collect()
+    assert [x for r in own for x in np.frombuffer(r.ids, "<u4").tolist()][:-1] == [64, 220, 50256, 275]
+
+
 def test_words_in_pieces():
     text = prose(random.Random(5), 3000).encode()
     data, at = np.frombuffer(text, np.uint8), np.array([0, 100, 100, len(text)])
