@@ -29,8 +29,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes cross-site boilerplate lines out of the texts; n_chars follows. A text left without any sign is dropped."""
-    cleaned = clean_lines(docs)
+    """Takes cross-site boilerplate lines out of the texts; n_chars follows.
+
+    Of a class of near copies one document counts, so lines of a copied page are
+    no boilerplate and a carrier is cleaned whatever the share of such lines. A
+    text of nothing else stays whole.
+    """
+    classes = stored(near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct(), "line-classes")
+    counted = docs.join(classes, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    cleaned = clean_lines(docs, max_share=None, counted=counted)
     taken = F.col("n_removed") > 0
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(taken, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

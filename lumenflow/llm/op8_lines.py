@@ -43,10 +43,15 @@ def spread_lines(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES)
     return rough.filter(F.col("sites") > min_sites + margin).select("h").unionByName(exact)
 
 
-def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
-    """The rows of ``docs`` with the lines taken out of ``text``, and n_lines, n_removed."""
+def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float | None = MAX_SHARE, counted: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` with the lines taken out of ``text``, and n_lines, n_removed.
+
+    Sites are counted over ``counted`` (all of ``docs`` where None): one document
+    for each class of near copies makes a copied page one site. Without a
+    ``max_share`` every carrier is cleaned; only a text of nothing else stays.
+    """
     kept, scratch = Scratch(docs.sparkSession, "op8"), Scratch(docs.sparkSession, "op8-work")
-    spread = kept.stored(spread_lines(docs, scratch, min_sites), "spread")
+    spread = kept.stored(spread_lines(docs if counted is None else counted, scratch, min_sites), "spread")
     scratch.drop()
     own = docs.select("doc_id", F.explode(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(F.trim(x)))).alias("h"))
     found = own.join(spread, "h").groupBy("doc_id").agg(F.collect_set("h").alias("spread"))
@@ -56,7 +61,8 @@ def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float =
     left = F.when(F.col("spread").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("spread"), F.xxhash64(F.trim(x)))))
     rows = rows.withColumn("left", left).withColumn("cleaned", F.array_join("left", "\n"))
     size = F.length("row.text")
-    taken = F.col("spread").isNotNull() & (size - F.length("cleaned") <= size * F.lit(max_share))
+    some = F.exists("left", lambda x: F.trim(x) != "") if max_share is None else size - F.length("cleaned") <= size * F.lit(max_share)
+    taken = F.col("spread").isNotNull() & some
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     text = F.when(taken, F.col("cleaned")).otherwise(F.col("row.text"))
     n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size("lines")).cast("long")

@@ -61,3 +61,16 @@ def test_pipeline_of_an_empty_table(spark):
 
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_line_dedup_tells_carriers_from_copies(spark):
+    banner = "We use cookies to give you the best experience on all of our many web pages ok"
+    page = [f"line {k} of a page that many sites copy with number {k * 37}" for k in range(20)]
+    rows = [(i, f"{banner}\nnews{i} of{i} the{i} town{i} and{i} more{i}", f"s{i}") for i in range(12)]
+    rows += [(100 + i, "\n".join([*page, f"copied by site {i}"]), f"s{i}") for i in range(12)]
+    rows += [(None, f"{banner}\nno id", "s1"), (300, banner, "s2"), (301, None, "s3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, DATA).collect()}
+    assert all(got[i] == f"news{i} of{i} the{i} town{i} and{i} more{i}" for i in range(12))
+    assert all(got[100 + i] == "\n".join([*page, f"copied by site {i}"]) for i in range(12))
+    assert got[None] == "no id" and got[300] == banner and got[301] is None and len(got) == len(rows)
