@@ -23,8 +23,15 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (``und``: null or letterless); a missing lang is filled in."""
-    kept = predict(docs, learn(docs)).filter("lang_pred <> 'und'")
+    """Drops documents without a language (``und``: null or letterless); a missing lang is filled in.
+
+    A prediction that contradicts lang has no effect. Where nothing can be learned
+    from, lettered documents stay and a missing lang stays missing.
+    """
+    model = learn(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    kept = predict(docs, model).filter("lang_pred <> 'und'")
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -74,3 +74,9 @@ def test_line_dedup_tells_carriers_from_copies(spark):
     assert all(got[i] == f"news{i} of{i} the{i} town{i} and{i} more{i}" for i in range(12))
     assert all(got[100 + i] == "\n".join([*page, f"copied by site {i}"]) for i in range(12))
     assert got[None] == "no id" and got[300] == banner and got[301] is None and len(got) == len(rows)
+
+
+def test_language_id_without_labels_keeps_lettered_texts(spark):
+    rows = [(1, "some text", None), (2, "123 ...", None), (3, None, None), (4, "漢字", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, DATA).collect()} == {1: None, 4: None}
