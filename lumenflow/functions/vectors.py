@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bound(value, use) -> Column:
+    """``use(value)`` with the value worked out once: inside a lambda Spark works out an outer expression anew for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -22,7 +27,7 @@ def norm(v) -> Column:
 
 def normalised(v, eps: float = 1e-8) -> Column:
     v = F.col(v) if isinstance(v, str) else v
-    return F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(eps)))
+    return bound(v, lambda u: bound(F.greatest(norm(u), F.lit(eps)), lambda n: F.transform(u, lambda x: x / n)))
 
 
 def cosine(a, b, eps: float = 1e-8) -> Column:

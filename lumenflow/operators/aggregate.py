@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenflow.functions.vectors import centroids, dot, norm
+from lumenflow.functions.vectors import centroids, dot, normalised
 from lumenflow.operators.windows import BY, ORDER
 
 
@@ -27,20 +27,22 @@ def group_profile(df: DataFrame, label: str, by: str = BY) -> DataFrame:
 def window_pairs(df: DataFrame, order: list, vector: str, window: int = 8, keys: tuple[str, ...] = (BY,)) -> DataFrame:
     """Pairs of rows up to ``window`` places apart, with their cosine: one shifted copy for each distance, never a cross join."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    v = F.transform(vector, lambda x: x / F.greatest(norm(vector), F.lit(1e-8)))
-    base = df.select(*keys, "photo_id", *[c for c in ORDER if c != "photo_id"], *[c for c in order if isinstance(c, str) and c not in (*keys, *ORDER)], v.alias("_v"))
+    base = df.select(*keys, "photo_id", *[c for c in ORDER if c != "photo_id"], *[c for c in order if isinstance(c, str) and c not in (*keys, *ORDER)], normalised(vector).alias("_v"))
     later = F.array(*[F.lead(F.struct("photo_id", "_v"), k).over(w) for k in range(1, window + 1)])
-    return base.withColumn("_l", later).select(*keys, "photo_id", "_v", F.explode("_l").alias("_o")).filter("_o is not null").select(*keys, F.col("photo_id").alias("a"), F.col("_o.photo_id").alias("b"), dot("_v", "_o._v").alias("cosine"))
+    # the cosines are worked out before rows are multiplied, so vectors are never copied to pairs
+    met = F.transform(F.filter("_l", lambda o: o.isNotNull()), lambda o: F.struct(o["photo_id"].alias("b"), dot("_v", o["_v"]).alias("cosine")))
+    return base.withColumn("_l", later).select(*keys, F.col("photo_id").alias("a"), F.explode(met).alias("_o")).select(*keys, "a", "_o.b", "_o.cosine")
 
 
 def similarity_profile(pairs: DataFrame, by: str = BY, points: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)) -> DataFrame:
-    return pairs.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[F.percentile("cosine", p).alias(f"p{round(100 * p)}") for p in points])
+    found = pairs.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.percentile("cosine", list(points)).alias("_p"))
+    return found.select(by, "n", *[F.get("_p", i).alias(f"p{round(100 * p)}") for i, p in enumerate(points)])
 
 
 def representatives(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """Nearest and farthest member to the group's normalised centroid, and the spread mean(1 - cosine)."""
     c = centroids(df, keys, vector)
-    c = c.withColumn("centroid", F.transform("centroid", lambda x: x / F.greatest(norm("centroid"), F.lit(1e-8))))
+    c = c.withColumn("centroid", normalised("centroid"))
     sim = df.join(c, keys).select(*keys, "photo_id", F.round(dot(vector, "centroid"), 9).alias("sim"))
     first = F.struct(F.col("sim"), (-F.col("photo_id")).alias("o"))
     last = F.struct(-F.col("sim"), (-F.col("photo_id")).alias("o"))
@@ -61,11 +63,26 @@ def folder_summary(df: DataFrame, folder: str, detail: str, by: str = BY) -> Dat
     return first.groupBy(by, folder).agg(F.array_join(details, ",").alias("details"), F.sum("vlm").alias("vlm"), F.sum("nearest").alias("nearest"))
 
 
+def average_ranks(df: DataFrame, column: str, name: str, ranges: int = 200) -> DataFrame:
+    """(column, name): the mean rank of each value over the whole table.
+
+    Values are counted first, so a common one is one row; the distinct ones are
+    dealt out to ranges by approximate quantiles, summed up within a range by a
+    window, and only one number for each range is summed up over ranges.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = counts.agg(F.array_distinct(F.percentile_approx(column, [k / ranges for k in range(1, ranges)], 10_000)).alias("_cuts"))  # one row
+    ranged = counts.crossJoin(F.broadcast(cuts)).select(column, "_n", F.size(F.filter("_cuts", lambda c: c < F.col(column))).alias("_range"))
+    totals = ranged.groupBy("_range").agg(F.sum("_n").alias("_all"))  # a row for each range
+    before = totals.select("_range", (F.sum("_all").over(Window.orderBy("_range")) - F.col("_all")).alias("_before"))
+    up_to = F.sum("_n").over(Window.partitionBy("_range").orderBy(column))
+    return ranged.join(F.broadcast(before), "_range").select(column, (F.col("_before") + up_to - (F.col("_n") - 1) / 2.0).alias(name))
+
+
 def snapshot_metrics(a: DataFrame, b: DataFrame, key: str, value: str, label: str, top: int = 50) -> DataFrame:
     """Spearman correlation, differences, label agreement and top-k overlap of two runs."""
     j = a.select(key, F.col(value).alias("x"), F.col(label).alias("la")).join(b.select(key, F.col(value).alias("y"), F.col(label).alias("lb")), key)
-    rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2.0
-    stats = j.withColumns({"rx": rank("x"), "ry": rank("y")}).agg(F.corr("rx", "ry").alias("spearman"), F.max(F.abs(F.col("x") - F.col("y"))).alias("max_diff"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mean_diff"), F.avg((F.col("la") == F.col("lb")).cast("int")).alias("agreement"))
+    stats = j.join(average_ranks(j, "x", "rx"), "x", "left").join(average_ranks(j, "y", "ry"), "y", "left").agg(F.corr("rx", "ry").alias("spearman"), F.max(F.abs(F.col("x") - F.col("y"))).alias("max_diff"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mean_diff"), F.avg((F.col("la") == F.col("lb")).cast("int")).alias("agreement"))
     best = lambda df: df.orderBy(F.desc(value), key).limit(top).select(key)
     return stats.crossJoin(best(a).intersect(best(b)).agg(F.count(F.lit(1)).alias("top_overlap")))
 
@@ -80,5 +97,5 @@ def run_differences(a: DataFrame, b: DataFrame, key: str, value: str, tolerance:
 
 def usage_summary(df: DataFrame, value: str, by: str) -> DataFrame:
     """avg, the upper median, max, and the share of samples of 80 and more."""
-    middle = F.get(F.array_sort(F.collect_list(value)), F.floor(F.count(value) / 2).cast("int"))
+    middle = F.expr(f"percentile_disc(0.5) within group (order by `{value}` desc)")
     return df.groupBy(by).agg(F.avg(value).alias("avg"), middle.alias("p50"), F.max(value).alias("max"), F.avg((F.col(value) >= 80).cast("int")).alias("busy_share"))

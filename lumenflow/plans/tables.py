@@ -5,16 +5,37 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Work folders this driver has made, the oldest first.
+made: list[str] = []
 
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """The rows as Parquet under ``spark.checkpoint.dir`` (a folder of its own only where that is unset): cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares (``spark.checkpoint.dir``); a session on one machine without it gets a folder of its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="lumenflow-")
         spark.sparkContext.setCheckpointDir(shared)
-    path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return shared.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    made.append(f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return made[-1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Through Spark's own file systems, so any shared folder will do."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def durable(df: DataFrame, label: str) -> DataFrame:
+    """The rows as Parquet in the shared folder: computed once, column-pruned when read, safe when an executor is lost; cuts the lineage."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
