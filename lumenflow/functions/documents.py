@@ -122,13 +122,18 @@ def weekday_label(d) -> Column:
     return F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("("), F.substring(F.lit(WEEKDAYS), F.weekday(d) + 1, F.lit(1)), F.lit(")"))
 
 
+def _utc(text: str | Column) -> Column:
+    """A moment written in UTC, whatever the session's time zone."""
+    return F.to_utc_timestamp((F.lit(text) if isinstance(text, str) else text).cast("timestamp_ntz").cast("timestamp"), F.current_timezone())
+
+
 def upcoming(events: DataFrame, now: str, keyword: str | None = None, limit: int = 30, grace_hours: int = 1) -> DataFrame:
     """Events (title, start, end, detail, url) not over at ``now`` (UTC text), with when, relative and their place.
 
     Open-ended timed events last ``grace_hours``, all-day ones through their day;
     an all-day event counts from midnight.
     """
-    t = F.to_timestamp(F.lit(now))
+    t = _utc(now)
     today = F.to_date(F.from_utc_timestamp(t, KST))
     e = events.withColumns({"s": parsed_bound("start"), "e": parsed_bound("end")}).filter("s is not null and s.d is not null")
     last = F.coalesce("e", "s")
@@ -148,9 +153,9 @@ def upcoming(events: DataFrame, now: str, keyword: str | None = None, limit: int
     return e.drop("s", "e").orderBy("at", "title").limit(max(1, min(limit, 30)))
 
 
-def week_bounds(now: str) -> tuple[Column, Column, Column]:
+def week_bounds(now: str | Column) -> tuple[Column, Column, Column]:
     """Monday, Saturday and Sunday of the week (Monday first) of a UTC time, in Korea."""
-    today = F.to_date(F.from_utc_timestamp(F.to_timestamp(F.lit(now)), KST))
+    today = F.to_date(F.from_utc_timestamp(_utc(now), KST))
     monday = F.date_sub(today, F.weekday(today))
     return monday, F.date_add(monday, 5), F.date_add(monday, 6)
 

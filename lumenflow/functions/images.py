@@ -18,7 +18,10 @@ def exif_time(text) -> Column:
 def exposure_text(seconds) -> Column:
     """1/200 under a second, else up to six significant digits; null up to zero."""
     s = F.col(seconds) if isinstance(seconds, str) else seconds
-    long = F.regexp_replace(F.format_string("%.5f", s), r"\.?0+$", "")
+    places = lambda k: F.regexp_replace(F.format_string(f"%.{k}f", s), r"\.?0+$", "") if k else F.format_string("%.0f", s)
+    long = F.regexp_replace(F.format_string("%.5e", s), r"\.?0+e", "e")
+    for k in range(6):  # so many decimals leave six significant digits
+        long = F.when(s < 10 ** (6 - k) - 0.5 * 10**-k, places(k)).otherwise(long)
     return F.substring(F.when(s <= 0, None).when(s >= 1, long).otherwise(F.concat(F.lit("1/"), F.bround(1 / s, 0).cast("long").cast("string"))), 1, 30)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,10 +12,10 @@ from pyspark.sql import functions as F
 from lumenflow.functions.vectors import centroids, dot
 from lumenflow.operators.aggregate import window_pairs
 from lumenflow.operators.components import connected_components
-from lumenflow.operators.windows import BY, ORDER, partition_order
+from lumenflow.operators.windows import BY, ORDER, partition_order, time_segments
 
-#: A concept with more photos than this is not clustered by one distance matrix.
-MAX_GROUP = 20_000
+#: Distances of a group are held as one matrix up to this size; beyond it they are worked out from the clusters' means.
+MATRIX_BYTES = 1 << 28
 
 
 def burst_edges(df: DataFrame, threshold: float, window: int = 8, vector: str = "embedding", time: str = "taken_at") -> DataFrame:
@@ -36,36 +38,54 @@ def bursts(df: DataFrame, threshold: float, keep, window: int = 8, vector: str =
     return out.withColumn("burst_id", F.dense_rank().over(Window.partitionBy(BY).orderBy("part", "_first")) - 1).drop("component", "_c", "_first")
 
 
-def _absorbed(sizes: list[int], gaps: list[float], least: float, cap: int) -> list[int]:
-    """The final segment of each time segment: small ones go to the nearer neighbour, then the shortest gaps close until ``cap`` are left."""
-    units, between = [[i] for i in range(len(sizes))], list(gaps)
-    size = list(sizes)
-
-    def join(a: int) -> None:
-        units[a : a + 2] = [units[a] + units[a + 1]]
-        size[a : a + 2] = [size[a] + size[a + 1]]
-        del between[a]
+def _kept_boundaries(size: np.ndarray, gap: np.ndarray, least: float) -> np.ndarray:
+    """Whether the boundary before each segment stays once all units under ``least`` have been absorbed.
 
-    while len(units) > 1 and min(size) < least:
-        k = size.index(min(size))
-        before = between[k - 1] if k else np.inf
-        after = between[k] if k < len(between) else np.inf
-        join(k - 1 if before <= after else k)
-    while len(units) > cap:
-        join(int(np.argmin(between)))
-    of = {i: u for u, members in enumerate(units) for i in members}
-    return [of[i] for i in range(len(sizes))]
+    The smallest unit goes first (of equals the earliest), across its shorter
+    boundary. A unit is known by its first segment; a heap holds (photos, first)
+    of all units, and entries that a merge has outdated are skipped.
+    """
+    n = len(size)
+    total, stays = size.astype(np.int64), np.ones(n, dtype=bool)
+    last, first = np.arange(n), np.arange(n)  # of the unit that begins, or ends, at a segment
+    gaps = np.append(gap.astype(float), np.inf)
+    gaps[0] = np.inf
+    waiting = [(int(x), k) for k, x in enumerate(total)]
+    heapify(waiting)
+    for _ in range(n - 1):
+        while not stays[waiting[0][1]] or total[waiting[0][1]] != waiting[0][0]:
+            heappop(waiting)
+        photos, unit = heappop(waiting)
+        if photos >= least:
+            break
+        boundary = min((unit, last[unit] + 1), key=lambda at: (gaps[at], at))
+        into = first[boundary - 1]
+        stays[boundary] = False
+        total[into] += total[boundary]
+        last[into] = last[boundary]
+        first[last[into]] = into
+        heappush(waiting, (int(total[into]), int(into)))
+    return stays
 
 
 def absorbed_segments(segments: DataFrame, share: float = 0.005, cap: int = 40, by: str = BY) -> DataFrame:
-    """(gallery, segment, unit) of a segment table (size, gap_s before it, n photos of the gallery): a few rows for each gallery."""
+    """(gallery, segment, unit) of a segment table (size, gap_s before it, n photos of the gallery): a few rows for each gallery.
+
+    Small segments are absorbed; of the boundaries that stay, the ``cap`` - 1
+    with the longest gaps do (of equals the later).
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("segment")
-        unit = _absorbed(pdf["size"].tolist(), pdf["gap_s"].tolist()[1:], share * pdf["n"].iloc[0], cap)
-        return pd.DataFrame({by: pdf[by], "segment": pdf["segment"], "unit": unit})
+        stays = _kept_boundaries(pdf["size"].to_numpy(), pdf["gap_s"].to_numpy(dtype=float), share * pdf["n"].iloc[0])
+        return pd.DataFrame({by: pdf[by], "segment": pdf["segment"], "gap_s": pdf["gap_s"], "stays": stays})
 
-    return segments.groupBy(by).applyInPandas(one, f"{by} long, segment long, unit long")
+    w = Window.partitionBy(by)
+    first = F.col("segment") == F.min("segment").over(w)
+    kept = segments.groupBy(by).applyInPandas(one, f"{by} long, segment long, gap_s double, stays boolean").withColumn("stays", F.col("stays") & ~first)
+    rank = F.row_number().over(w.orderBy(F.desc("stays"), F.desc("gap_s"), F.desc("segment")))
+    begins = kept.withColumn("begins", (F.col("stays") & (rank < cap)).cast("long"))
+    return begins.select(by, "segment", F.sum("begins").over(w.orderBy("segment").rowsBetween(Window.unboundedPreceding, 0)).alias("unit"))
 
 
 def segment_mode(df: DataFrame, time: str = "taken_at", coverage: float = 0.9, by: str = BY) -> DataFrame:
@@ -93,33 +113,62 @@ def untimed_assigned(df: DataFrame, unit: str = "unit", time: str = "taken_at",
     return timed.select(by, "photo_id", unit).unionByName(found)
 
 
-def _merge(distance: np.ndarray, size: np.ndarray, update) -> list[tuple[int, int, float]]:
-    """Agglomerates by nearest-neighbour chains: (slot kept, slot gone, height), heights not sorted."""
-    n = len(size)
-    d = distance.copy()
-    np.fill_diagonal(d, np.inf)
+class _Matrix:
+    """Distances of all clusters as one matrix, updated in place by a rule of the linkage."""
+
+    def __init__(self, distance: np.ndarray, update):
+        self.d, self.update, self.size = distance, update, np.ones(len(distance))
+        np.fill_diagonal(self.d, np.inf)
+
+    def row(self, x: int) -> np.ndarray:
+        return self.d[x]
+
+    def join(self, a: int, b: int) -> None:
+        new = self.update(self.d[a], self.d[b], self.d[a, b], self.size[a], self.size[b], self.size)
+        self.d[a], self.d[:, a] = new, new
+        self.d[a, a] = np.inf
+        self.d[b], self.d[:, b] = np.inf, np.inf
+        self.size[a] += self.size[b]
+
+
+class _Means:
+    """Distances from the clusters' means and sizes alone: memory in proportion to the vectors, for groups of any size."""
+
+    def __init__(self, vectors: np.ndarray, distance):
+        self.mean, self.distance, self.size = vectors.copy(), distance, np.ones(len(vectors))
+        self.gone = np.zeros(len(vectors), dtype=bool)
+
+    def row(self, x: int) -> np.ndarray:
+        out = self.distance(self.mean, self.mean[x], self.size, self.size[x])
+        out[self.gone] = np.inf
+        out[x] = np.inf
+        return out
+
+    def join(self, a: int, b: int) -> None:
+        n = self.size[a] + self.size[b]
+        self.mean[a] = (self.size[a] * self.mean[a] + self.size[b] * self.mean[b]) / n
+        self.size[a], self.gone[b] = n, True
+
+
+def _merges(clusters: _Matrix | _Means, n: int) -> list[tuple[int, int, float]]:
+    """Agglomerates by nearest-neighbour chains: (slot kept, slot gone, height), by height."""
     alive, chain, out = np.ones(n, dtype=bool), [], []
     while len(out) < n - 1:
         if not chain:
             chain = [int(np.argmax(alive))]
         while True:
-            x = chain[-1]
-            y = int(np.argmin(d[x]))
-            if len(chain) > 1 and d[x, chain[-2]] <= d[x, y]:
+            row = clusters.row(chain[-1])
+            y = int(np.argmin(row))
+            if len(chain) > 1 and row[chain[-2]] <= row[y]:
                 y = chain[-2]
                 break
             chain.append(y)
+        a, b = sorted((chain[-1], y))
         chain = chain[:-2]
-        a, b = min(x, y), max(x, y)
-        height = d[a, b]
-        new = update(d[a], d[b], height, size[a], size[b], size)
-        d[a], d[:, a] = new, new
-        d[a, a] = np.inf
-        d[b], d[:, b] = np.inf, np.inf
+        out.append((a, b, float(row[y])))
+        clusters.join(a, b)
         alive[b] = False
-        size[a] += size[b]
-        out.append((a, b, float(height)))
-    return out
+    return sorted(out, key=lambda m: m[2])
 
 
 def _labels(n: int, merges: list[tuple[int, int, float]]) -> np.ndarray:
@@ -138,16 +187,19 @@ def _labels(n: int, merges: list[tuple[int, int, float]]) -> np.ndarray:
     return np.array([first.setdefault(root(i), len(first)) for i in range(n)])
 
 
-def average_linkage(vectors: np.ndarray) -> list[tuple[int, int, float]]:
-    """Average-linkage merges over 1 - cosine, by height."""
+def average_linkage(vectors: np.ndarray, matrix_bytes: int = MATRIX_BYTES) -> list[tuple[int, int, float]]:
+    """Average-linkage merges over 1 - cosine, by height. The mean of 1 - a.b over two clusters is 1 less the product of their means."""
     x = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-8)
-    d = np.clip(1 - x @ x.T, 0, 2)
+    if 8 * len(x) ** 2 > matrix_bytes:
+        return _merges(_Means(x, lambda means, own, _, __: np.clip(1 - means @ own, 0, 2)), len(x))
     mean = lambda da, db, _, na, nb, __: (na * da + nb * db) / (na + nb)
-    return sorted(_merge(d, np.ones(len(x)), mean), key=lambda m: m[2])
+    return _merges(_Matrix(np.clip(1 - x @ x.T, 0, 2), mean), len(x))
 
 
-def ward_linkage(vectors: np.ndarray) -> list[tuple[int, int, float]]:
+def ward_linkage(vectors: np.ndarray, matrix_bytes: int = MATRIX_BYTES) -> list[tuple[int, int, float]]:
     """Ward merges over Euclidean distance, by height."""
+    if 8 * len(vectors) ** 2 > matrix_bytes:
+        return _merges(_Means(vectors, lambda means, own, size, n: np.sqrt(2 * size * n / (size + n) * ((means - own) ** 2).sum(axis=1))), len(vectors))
     s = (vectors**2).sum(axis=1)
     d = np.sqrt(np.maximum(s[:, None] + s[None, :] - 2 * vectors @ vectors.T, 0))
 
@@ -155,49 +207,39 @@ def ward_linkage(vectors: np.ndarray) -> list[tuple[int, int, float]]:
         with np.errstate(invalid="ignore"):
             return np.sqrt(np.maximum(((na + size) * da**2 + (nb + size) * db**2 - size * dab**2) / (na + nb + size), 0))
 
-    return sorted(_merge(d, np.ones(len(vectors)), update), key=lambda m: m[2])
+    return _merges(_Matrix(d, update), len(vectors))
 
 
 def cut_groups(vectors: np.ndarray, distance: float = 0.2, share: float = 0.35, raise_cap: float = 0.15) -> np.ndarray:
-    """Groups under ``distance``; it is raised by 0.05 while there are more than max(1, share * n) of them."""
-    n = len(vectors)
-    if n <= 1:
-        return np.zeros(n, dtype=int)
-    merges, d = average_linkage(vectors), distance
-    while True:
-        labels = _labels(n, [m for m in merges if m[2] <= d])
-        if labels.max() + 1 <= max(1, n * share) or d >= round(distance + raise_cap, 2):
-            return labels
-        d = round(d + 0.05, 2)
-
-
-def detail_groups(df: DataFrame, concept: str = "concept", vector: str = "x", distance: float = 0.2, by: str = BY, max_group: int = MAX_GROUP) -> DataFrame:
+    """Groups at the first of the distances ``distance``, + 0.05, … + ``raise_cap`` that leaves at most max(1, share * n) of them, else at the last."""
+    merges = average_linkage(vectors)
+    cuts = np.round(distance + 0.05 * np.arange(round(raise_cap / 0.05) + 1), 2)
+    done = np.searchsorted([height for *_, height in merges], cuts, side="right")  # merges under each cut
+    few = np.flatnonzero(len(vectors) - done <= max(1, len(vectors) * share))
+    return _labels(len(vectors), merges[: done[few[0] if len(few) else -1]])
+
+
+def detail_groups(df: DataFrame, concept: str = "concept", vector: str = "x", distance: float = 0.2, by: str = BY) -> DataFrame:
     """embed_group_id over the gallery: groups of each concept, concepts in order, groups by first photo.
 
-    A concept is clustered by one distance matrix, so its size is checked: beyond
-    ``max_group`` photos the job fails rather than filling a task's memory.
+    A concept of one gallery is clustered by one task, with memory in proportion to its photos.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ORDER)
         return pdf.drop(columns=[vector]).assign(local=cut_groups(np.stack(pdf[vector].to_numpy()), distance))
 
-    n = F.count(F.lit(1)).over(Window.partitionBy(by, concept))
-    checked = df.select(by, concept, *ORDER, vector).withColumn("_n", n).filter(F.when(F.col("_n") <= max_group, True).otherwise(F.raise_error(F.lit(f"a concept has more than {max_group} photos")).cast("boolean"))).drop("_n")
-    local = checked.groupBy(by, concept).applyInPandas(one, f"{by} long, {concept} long, display_order long, photo_id long, local long")
+    local = df.select(by, concept, *ORDER, vector).groupBy(by, concept).applyInPandas(one, f"{by} long, {concept} long, display_order long, photo_id long, local long")
     return local.withColumn("embed_group_id", F.dense_rank().over(Window.partitionBy(by).orderBy(concept, "local")) - 1).drop("local")
 
 
-def visual_units(df: DataFrame, k: int = 36, vector: str = "embedding", by: str = BY, max_group: int = MAX_GROUP) -> DataFrame:
-    """unit of each photo by Ward clustering into min(k, n), the largest unit first."""
+def visual_units(df: DataFrame, k: int = 36, vector: str = "embedding", by: str = BY) -> DataFrame:
+    """unit of each photo by Ward clustering into min(k, n), the largest unit first; a gallery is clustered by one task."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_group:
-            raise ValueError(f"a gallery has more than {max_group} photos")
         pdf = pdf.sort_values(ORDER)
         x = np.stack(pdf[vector].to_numpy())
-        merges = ward_linkage(x)
-        labels = _labels(len(x), merges[: max(0, len(x) - min(k, len(x)))])
+        labels = _labels(len(x), ward_linkage(x)[: max(0, len(x) - k)])
         sizes = np.bincount(labels)
         rank = np.empty(len(sizes), dtype=int)
         rank[np.lexsort((np.arange(len(sizes)), -sizes))] = np.arange(len(sizes))
@@ -206,6 +248,13 @@ def visual_units(df: DataFrame, k: int = 36, vector: str = "embedding", by: str
     return df.select(by, *ORDER, vector).groupBy(by).applyInPandas(one, f"{by} long, photo_id long, unit long")
 
 
+def members_by_closeness(df: DataFrame, unit: str = "unit", vector: str = "embedding", by: str = BY) -> DataFrame:
+    """(gallery, photo_id, unit, place): a unit's photos from the nearest to its mean vector (by product) to the farthest."""
+    means = centroids(df, [by, unit], vector)
+    near = df.select(by, unit, *ORDER, vector).join(means, [by, unit]).withColumn("_s", F.round(dot(vector, "centroid"), 9))
+    return near.select(by, "photo_id", unit, (F.row_number().over(Window.partitionBy(by, unit).orderBy(F.desc("_s"), *ORDER)) - 1).alias("place"))
+
+
 def claimed_concepts(claims: DataFrame, segments: DataFrame, by: str = BY) -> DataFrame:
     """Concept of each segment: the first claim wins, unknown segments are ignored, gaps take the segment before.
 
@@ -237,23 +286,31 @@ def propagated_names(groups: DataFrame, named: DataFrame, by: str = BY) -> DataF
     return out.select(by, "concept", "group_id", F.when(F.col("_n") == 1, "전체").otherwise(F.coalesce("detail", "_near")).alias("detail"), F.when((F.col("_n") == 1) | F.col("detail").isNotNull(), "vlm").otherwise("nearest").alias("assigned_by"), F.when((F.col("_n") == 1) | F.col("detail").isNotNull(), 1.0).otherwise(F.round(F.greatest(F.lit(0.0), F.col("_sim")), 3)).alias("confidence"))
 
 
+def segmented(df: DataFrame, gap_seconds: float = 300, share: float = 0.005, cap: int = 40, k: int = 36, coverage: float = 0.9) -> DataFrame:
+    """mode, segment and unit of each photo of all galleries (with burst_id, taken_at, embedding), bursts whole.
+
+    Where most photos have a time, units are stretches of time without a long
+    gap, and photos without one join the most similar unit; elsewhere units come
+    from the images alone (segment is null). One plan covers both kinds.
+    """
+    df = df.join(segment_mode(df, coverage=coverage), BY).withColumn("_photos", F.count(F.lit(1)).over(Window.partitionBy(BY)))
+    by_time = df.filter("mode = 'time'")
+    timed = time_segments(by_time.filter("taken_at is not null").select(BY, *ORDER, "taken_at", "_photos"), gap_seconds)
+    table = timed.groupBy(BY, "segment").agg(F.count(F.lit(1)).alias("size"), F.max(F.when(F.col("gap_s") > gap_seconds, F.col("gap_s"))).alias("gap_s"), F.first("_photos").alias("n"))
+    placed = timed.join(absorbed_segments(table, share, cap), [BY, "segment"]).select(BY, "photo_id", "segment", "unit")
+    known = by_time.select(BY, "photo_id", "embedding", "taken_at").join(placed, [BY, "photo_id"], "left")
+    units = untimed_assigned(known).unionByName(visual_units(df.filter("mode = 'visual'"), min(k, cap)))
+    rows = df.drop("_photos").join(placed.select(BY, "photo_id", "segment"), [BY, "photo_id"], "left").join(units, [BY, "photo_id"])
+    return bursts_whole(rows)
+
+
 def grouped_gallery(df: DataFrame, keep, threshold: float, gap_seconds: float = 300, namer=None) -> DataFrame:
     """Bursts, segments, concepts and detail groups of all galleries in one plan.
 
     ``df`` has the photo columns, embedding and x (the joint vector). ``namer``
-    maps (gallery, unit) to a concept; without one, a segment is its own concept.
+    maps (gallery, unit) to a concept; without one, a unit is its own concept.
     """
-    from lumenflow.operators.windows import time_segments
-
-    b = keep(bursts(keep(df, "gallery"), threshold, keep), "bursts")
-    s = time_segments(b, gap_seconds)
-    table = s.groupBy(BY, "segment").agg(F.count(F.lit(1)).alias("size"), F.max(F.when(F.col("gap_s") > gap_seconds, F.col("gap_s"))).alias("gap_s"))
-    table = table.withColumn("n", F.sum("size").over(Window.partitionBy(BY)))
-    units = bursts_whole(s.join(absorbed_segments(table), [BY, "segment"]))
-    concepts = units.select(BY, "unit").distinct() if namer is None else namer(units.select(BY, "unit").distinct())
-    if namer is None:
-        concepts = concepts.withColumn("concept", F.col("unit"))
-    units = units.join(concepts, [BY, "unit"])
+    units = keep(segmented(keep(bursts(keep(df, "gallery"), threshold, keep), "bursts"), gap_seconds), "units")
+    concepts = units.select(BY, "unit").distinct()
+    units = units.join(concepts.withColumn("concept", F.col("unit")) if namer is None else namer(concepts), [BY, "unit"])
     return units.join(detail_groups(units).select("photo_id", "embed_group_id"), "photo_id")
-
-

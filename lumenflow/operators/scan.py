@@ -41,7 +41,7 @@ def photo_listing(photos: DataFrame, gallery_id, limit: int | None = None) -> Da
     """Live photos of a gallery that have a preview, in display order."""
     df = photos.filter((F.col("gallery_id") == gallery_id) & F.col("deleted_at").isNull() & F.col("preview_key").isNotNull())
     df = df.withColumn("camera", camera_name("camera_make", "camera_model")).orderBy("display_order", "photo_id")
-    return df.limit(limit) if limit else df
+    return df if limit is None else df.limit(limit)
 
 
 def by_ids(df: DataFrame, ids: DataFrame) -> DataFrame:

@@ -213,6 +213,24 @@ def i12(spark, sf):
     return out.select("photo_id", "gallery_id", *[F.col(c).cast("long").alias(c) for c in ("burst_id", "segment", "unit", "concept", "embed_group_id")])
 
 
+@query("i12_mode_grouping")
+def i12_modes(spark, sf):
+    """Galleries of both modes, and photos without a time in those that go by time."""
+    timed = ~((F.col("gallery_id") % 4 == 0) & (F.col("photo_id") % 2 == 0))
+    p = photos(spark, sf).drop("burst_id").withColumn("taken_at", F.when(timed, F.col("taken_at_gaps")))
+    p = with_vectors(p, spark, sf).withColumn("x", V.concat_space(F.col("embedding"), F.col("clip")))
+    out = cluster.grouped_gallery(p, durable, 0.2, 200)
+    return out.select("photo_id", "gallery_id", "mode", *[F.col(c).cast("long").alias(c) for c in ("burst_id", "segment", "unit", "concept", "embed_group_id")])
+
+
+@query("g6_member_order", """WITH PHOTOS, VECTORS, u AS (SELECT gallery_id, user_id % 6 AS g, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM pv), m AS (SELECT gallery_id, g, i, avg(x) AS x FROM u GROUP BY ALL),
+ce AS (SELECT gallery_id, g, list(x ORDER BY i) AS v FROM m GROUP BY ALL)
+SELECT photo_id, user_id % 6 AS unit, row_number() OVER (PARTITION BY pv.gallery_id, user_id % 6 ORDER BY round(list_dot_product(embedding, v), 9) DESC, display_order, photo_id) - 1 AS place FROM pv JOIN ce ON ce.gallery_id = pv.gallery_id AND ce.g = user_id % 6""".replace("PHOTOS", PHOTOS_SQL).replace("VECTORS", VECTORS_SQL))
+def g6(spark, sf):
+    p = with_vectors(photos(spark, sf), spark, sf).withColumn("unit", F.col("user_id") % 6)
+    return cluster.members_by_closeness(p).select("photo_id", "unit", F.col("place").cast("long").alias("place"))
+
+
 @query("j1_j3_concat_space", f"""WITH {PHOTOS_SQL}, {VECTORS_SQL}, n AS (SELECT photo_id, embedding, clip, sqrt(list_dot_product(embedding, embedding)) AS ne, sqrt(list_dot_product(clip, clip)) AS nc FROM pv)
 SELECT photo_id, round((list_dot_product(embedding, clip) / ne / nc + 1) / 2, 6) AS joint, round(list_dot_product(embedding, clip) / ne / nc, 6) AS cosine FROM n""")
 def j13(spark, sf):

@@ -157,45 +157,49 @@ def scored(df: DataFrame, model: Preference, by: str = BY) -> DataFrame:
 
 
 def leave_one_out(df: DataFrame, rows: DataFrame, galleries: list, by: str = BY) -> pd.DataFrame:
-    """Each gallery judged by a model of the others; a fit is a Spark job. Under two galleries nothing."""
+    """Each gallery judged by a model of the others; a fit is a Spark job over one cached sample. Under two galleries nothing."""
     found = []
     if len(galleries) < 2:
         return pd.DataFrame(columns=[by, "score", "recall_strict", "recall_burst", "auc"])
+    sample = rows.filter(F.col(by).isin(galleries)).cache()
     for g in galleries:
-        model = fit(rows.filter(F.col(by).isin([x for x in galleries if x != g])), by=by)
-        own = scored(df.filter(F.col(by) == g), model, by)
-        kept = rows.filter(F.col(by) == g).select(by, "photo_id", "y")
+        own = scored(df.filter(F.col(by) == g), fit(sample.filter(F.col(by) != g), by=by), by)
+        kept = sample.filter(F.col(by) == g).select(by, "photo_id", "y")
         found.append(evaluate(own, own.join(kept, [by, "photo_id"]), ["prior", "pref", "fused"], by).toPandas())
+    sample.unpersist()
     return pd.concat(found, ignore_index=True)
 
 
+def gains(results: dict[int, pd.DataFrame], metric: str, by: str = BY) -> pd.DataFrame:
+    """(galleries, gallery, gain of fused over prior) of all leave-one-out results."""
+    rows = pd.concat([t.assign(galleries=n) for n, t in results.items()], ignore_index=True)
+    wide = rows.pivot(index=["galleries", by], columns="score", values=metric)
+    return (wide["fused"] - wide["prior"]).rename("gain").reset_index()
+
+
 def gate(results: dict[int, pd.DataFrame], metric: str = "recall_burst", p_max: float = 0.05, worse_max: float = 0.3, window: int = 3, tolerance: float = 0.05, by: str = BY) -> dict:
     """Whether fused beats prior: significant, rarely worse, and not shrinking over the last galleries.
 
-    ``results`` has leave-one-out results by number of galleries: of all n, and of the prefixes n - window … n.
+    ``results`` has leave-one-out results by number of galleries: of all n, and
+    of the prefixes n - window … n. The verdict is a table of criteria, each with
+    its value and limit; ``reasons`` are those that don't hold.
     """
     n = max(results, default=0)
-    out: dict = {"galleries": n, "passed": False, "reasons": []}
     if n < 2:
-        out["reasons"].append("fewer than 2 galleries")
-        return out
-
-    def diff(m: int) -> np.ndarray:
-        t = results[m].pivot(index=by, columns="score", values=metric)
-        return (t["fused"] - t["prior"]).to_numpy()
-
-    d = diff(n)
-    out |= {"p_value": sign_test(int((d > 0).sum()), int((d < 0).sum())), "worse_ratio": float((d < 0).mean()), "mean_diff": float(d.mean())}
-    if out["p_value"] >= p_max:
-        out["reasons"].append("not significant")
-    if out["worse_ratio"] > worse_max:
-        out["reasons"].append("worse too often")
-    if n < window + 2:
-        out["reasons"].append("too few galleries to judge stability")
-    else:
-        curve = [float(diff(m).mean()) for m in range(n - window, n + 1)]
-        out["curve"] = curve
-        if any(b - a < -tolerance for a, b in zip(curve, curve[1:], strict=False)):
-            out["reasons"].append("the mean difference fell")
-    out["passed"] = not out["reasons"]
-    return out
+        return {"galleries": n, "passed": False, "reasons": ["fewer than 2 galleries"]}
+    table = gains(results, metric, by)
+    last = table.loc[table["galleries"] == n, "gain"]
+    curve = table[table["galleries"] >= n - window].groupby("galleries")["gain"].mean()
+    p_value, worse = sign_test(int((last > 0).sum()), int((last < 0).sum())), float((last < 0).mean())
+    criteria = pd.DataFrame(
+        [
+            ("not significant", p_value, p_max, p_value < p_max),
+            ("worse too often", worse, worse_max, worse <= worse_max),
+            ("too few galleries to judge stability", n, window + 2, n >= window + 2),
+            ("the mean difference fell", -curve.diff().min(), tolerance, n < window + 2 or not (curve.diff() < -tolerance).any()),
+        ],
+        columns=["reason", "value", "limit", "ok"],
+    )
+    reasons = criteria.loc[~criteria["ok"].astype(bool), "reason"].tolist()
+    out = {"galleries": n, "passed": not reasons, "reasons": reasons, "p_value": p_value, "worse_ratio": worse, "mean_diff": float(last.mean())}
+    return out | ({"curve": curve.tolist()} if n >= window + 2 else {})

@@ -23,6 +23,17 @@ def k24(spark, sf):
     return e.select("event_id", F.date_format(I.exif_time("exif"), "yyyy:MM:dd HH:mm:ss").alias("stamp"), I.number("pair").alias("number"), I.oriented("w", "h", "o")[0].alias("width"))
 
 
+@query("k3_exposure", "SELECT event_id, CASE WHEN value <= 0 OR value IS NULL THEN NULL WHEN value >= 1 THEN regexp_replace(regexp_replace(printf('%.*f', CASE WHEN value < 9.999995 THEN 5 WHEN value < 99.99995 THEN 4 WHEN value < 999.9995 THEN 3 WHEN value < 9999.995 THEN 2 ELSE 1 END, value), '0+$', ''), '\\.$', '') ELSE '1/' || CAST(CAST(round_even(1 / value, 0) AS BIGINT) AS VARCHAR) END AS exposure FROM events")
+def k3(spark, sf):
+    return read(spark, sf, "events").select("event_id", I.exposure_text("value").alias("exposure"))
+
+
+@query("l7_week_bounds", "SELECT event_id, strftime(m, '%Y-%m-%d') AS monday, strftime(m + INTERVAL 5 DAY, '%Y-%m-%d') AS saturday, strftime(m + INTERVAL 6 DAY, '%Y-%m-%d') AS sunday FROM (SELECT event_id, date_trunc('week', ts + INTERVAL 9 HOUR) AS m FROM events)")
+def l7w(spark, sf):
+    days = zip(("monday", "saturday", "sunday"), D.week_bounds(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), strict=True)
+    return read(spark, sf, "events").select("event_id", *[F.date_format(d, "yyyy-MM-dd").alias(n) for n, d in days])
+
+
 @query("l1_l4_markdown", """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM d),
 t AS (SELECT *, CASE pos % 5 WHEN 0 THEN 'heading_2' WHEN 3 THEN 'quote' WHEN 4 THEN 'bulleted_list_item' ELSE 'numbered_list_item' END AS type FROM l)
 SELECT doc_id, string_agg(CASE type WHEN 'heading_2' THEN '## ' || line WHEN 'quote' THEN '> ' || line WHEN 'bulleted_list_item' THEN '- ' || line ELSE (pos % 5) || '. ' || line END, chr(10) ORDER BY pos) AS markdown FROM t GROUP BY 1""")

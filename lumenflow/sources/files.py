@@ -22,12 +22,16 @@ def image_files(spark: SparkSession, root: str, jpg_only: bool = False, content:
 
 
 def golden_list(spark: SparkSession, path: str) -> DataFrame:
-    """(cut, file) of a JSON selection: a list, or an object with ``files``; items are names or {cut, file}; the cut is A by default."""
+    """(cut, file) of a JSON selection: a list, or an object with ``files``; items are names or {cut, file}.
+
+    The cut is the first letter in upper case, A by default. A selection without any file fails.
+    """
     raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     items = F.coalesce(F.try_variant_get("v", "$.files", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
-    item = raw.select(F.posexplode(items).alias("pos", "i"))
+    some = F.when(F.size(items) > 0, items).otherwise(F.raise_error(F.lit(f"no selection in {path}")))
+    item = raw.select(F.posexplode(some).alias("pos", "i"))
     name = F.coalesce(F.try_variant_get("i", "$.file", "string"), F.try_variant_get("i", "$", "string"))
-    return item.select("pos", F.coalesce(F.try_variant_get("i", "$.cut", "string"), F.lit("A")).alias("cut"), name.alias("file"))
+    return item.select("pos", F.substring(F.upper(F.coalesce(F.try_variant_get("i", "$.cut", "string"), F.lit("A"))), 1, 1).alias("cut"), name.alias("file"))
 
 
 def golden_ids(photos: DataFrame, golden: DataFrame, name: str = "original_file_name") -> tuple[DataFrame, DataFrame]:
@@ -63,26 +67,35 @@ class PageRange(InputPartition):
 
 
 class PagedReader(DataSourceReader):
-    """Follows cursors of each collection, up to ``max_pages``; a collection is one partition."""
+    """Follows cursors of each collection, which is one partition.
+
+    ``pages`` is the caller's own limit; without one, more than ``max_pages``
+    fail rather than return a part.
+    """
 
-    def __init__(self, fetch: Callable, collections: list[str], max_pages: int):
-        self.fetch, self.collections, self.max_pages = fetch, collections, max_pages
+    def __init__(self, fetch: Callable, collections: list[str], pages: int | None, max_pages: int):
+        self.fetch, self.collections, self.pages, self.max_pages = fetch, collections, pages, max_pages
 
     def partitions(self) -> list[InputPartition]:
         return [PageRange(c) for c in self.collections]
 
     def read(self, partition: PageRange) -> Iterator[tuple]:
         cursor = None
-        for _ in range(self.max_pages):
+        for _ in range(self.max_pages if self.pages is None else self.pages):
             rows, cursor = self.fetch(partition.collection, cursor)
             for pos, row in enumerate(rows):
                 yield (partition.collection, pos, row)
             if cursor is None:
                 return
+        if self.pages is None:
+            raise RuntimeError(f"{partition.collection} has more than {self.max_pages} pages")
 
 
 def paged_source(name: str, fetch: Callable, max_pages: int = 1000) -> type[DataSource]:
-    """A Spark data source of a cursor-paged API; ``fetch(collection, cursor) -> (JSON rows, next cursor or None)``."""
+    """A Spark data source of a cursor-paged API; ``fetch(collection, cursor) -> (JSON rows, next cursor or None)``.
+
+    The option ``maxpages`` takes the first pages only.
+    """
 
     class Paged(DataSource):
         @classmethod
@@ -93,7 +106,7 @@ def paged_source(name: str, fetch: Callable, max_pages: int = 1000) -> type[Data
             return "collection string, pos int, body string"
 
         def reader(self, schema) -> DataSourceReader:
-            return PagedReader(fetch, self.options["collections"].split(","), int(self.options.get("maxpages", max_pages)))
+            return PagedReader(fetch, self.options["collections"].split(","), int(self.options["maxpages"]) if "maxpages" in self.options else None, max_pages)
 
     return Paged
 
@@ -128,11 +141,13 @@ def predicate(spec: dict) -> Column:
     return _OPS[op](column, value)
 
 
-def xlsx_golden(files: DataFrame) -> DataFrame:
-    """(path, pos, cut, file) of selection sheets (path, content): rows with a cut (A or B, perhaps with 컷) and a picture's name.
+def xlsx_golden(files: DataFrame, marked_only: bool = False) -> DataFrame:
+    """(path, pos, cut, file) of selection sheets (path, content): rows with a cut (A컷 or B컷) and a picture's name.
 
-    A sheet is one file of a few rows; a file without any such row fails.
+    A bare letter counts too, but not with ``marked_only``.
+    The first sheet of a file counts, of a few rows; a file without any such row fails.
     """
+    mark = r"([ABab])컷" if marked_only else r"([ABab])\s*(?:컷|cut)?"
 
     def run(batches: Iterator) -> Iterator:
         import io
@@ -148,13 +163,13 @@ def xlsx_golden(files: DataFrame) -> DataFrame:
                 texts = lambda node: "".join(t.text or "" for t in node.iter() if t.tag.endswith("}t"))
                 shared = [texts(s) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in book.namelist() else []
                 rows = []
-                for name in sorted(n for n in book.namelist() if n.startswith("xl/worksheets/sheet")):
+                for name in sorted(n for n in book.namelist() if n.startswith("xl/worksheets/sheet"))[:1]:
                     for row in (r for r in ElementTree.fromstring(book.read(name)).iter() if r.tag.endswith("}row")):
                         cells = []
                         for c in row:
                             value = next((v.text for v in c if v.tag.endswith("}v")), None)
                             cells.append(shared[int(value)] if c.get("t") == "s" and value else texts(c) or value or "")
-                        cut = next((m[1].upper() for x in cells if (m := re.fullmatch(r"\s*([ABab])\s*(?:컷|cut)?\s*", x))), None)
+                        cut = next((m[1].upper() for x in cells if (m := re.fullmatch(mark, x.strip()))), None)
                         file = next((x.strip() for x in cells if re.search(IMAGE, x.strip())), None)
                         if cut and file:
                             rows.append((path, len(rows), cut, file))

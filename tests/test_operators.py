@@ -56,6 +56,66 @@ def test_absorption_and_cap(spark):
     assert units(spark, [4, 4, 4, 4], [900, 400, 1200], 0.0, 3) == [4, 8, 4]
 
 
+def step_by_step(size, gap, least):
+    """The same absorption, one neighbour at a time over a list of units."""
+    left, cut = [[x] for x in size], list(gap)
+    while len(left) > 1:
+        k = min(range(len(left)), key=lambda i: (sum(left[i]), i))
+        if sum(left[k]) >= least:
+            break
+        before, after = (cut[k - 1] if k else np.inf), (cut[k] if k < len(cut) else np.inf)
+        a = k - 1 if before <= after else k
+        left = left[:a] + [left[a] + left[a + 1]] + left[a + 2 :]
+        cut = cut[:a] + cut[a + 1 :]
+    return [sum(x) for x in left]
+
+
+def test_absorption_against_single_steps():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(1, 25))
+        size, gap = rng.integers(1, 9, n), rng.integers(300, 320, n - 1).astype(float)
+        stays = cluster._kept_boundaries(size, np.append(np.nan, gap), least := int(rng.integers(0, 20)))
+        begins = np.flatnonzero(stays | (np.arange(n) == 0))
+        assert np.add.reduceat(size, begins).tolist() == step_by_step(size.tolist(), gap.tolist(), least)
+
+
+def test_linkages_from_means_alone_make_the_same_merges():
+    x = np.random.default_rng(6).normal(size=(60, 768))
+    for linkage in (cluster.average_linkage, cluster.ward_linkage):
+        by_matrix, by_means = linkage(x), linkage(x, matrix_bytes=0)
+        assert [m[:2] for m in by_matrix] == [m[:2] for m in by_means]
+        np.testing.assert_allclose([m[2] for m in by_matrix], [m[2] for m in by_means], atol=1e-9)
+
+
+def test_segmentation_by_time_and_by_images(spark):
+    e, f = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, i, i, at(i) if i < 6 else at(600 + i), i, e if i < 6 else f) for i in range(12)]  # two stretches
+    rows += [(1, 12, 12, None, 12, f)]  # no time: like the second
+    rows += [(2, 20 + i, i, None, i, e if i % 3 else f) for i in range(9)]  # no times at all
+    rows += [(3, 40 + i, i, at(0), i, e if i < 4 else f) for i in range(6)]  # all the same time
+    df = spark.createDataFrame(rows, "gallery_id long, photo_id long, display_order long, taken_at timestamp_ntz, burst_id long, embedding array<double>")
+    got = {r.photo_id: (r.mode, r.unit) for r in cluster.segmented(df, 300, k=2).collect()}
+    assert [got[i] for i in range(13)] == [("time", 0)] * 6 + [("time", 1)] * 7
+    assert {got[20 + i] for i in range(9) if i % 3} == {("visual", 0)} and {got[20 + i] for i in (0, 3, 6)} == {("visual", 1)}
+    assert {got[40 + i] for i in range(4)} == {("visual", 0)} and len(got) == 28
+
+
+def test_joint_space_of_wide_vectors(spark):
+    x = np.random.default_rng(7).normal(size=(20, 768))
+    df = spark.createDataFrame([(x[i].tolist(), x[-i - 1].tolist()) for i in range(20)], "a array<double>, b array<double>")
+    got = df.select(V.dot(V.normalised("a"), V.normalised("b")).alias("c")).toPandas()["c"]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    np.testing.assert_allclose(got, (u * u[::-1]).sum(axis=1), atol=1e-12)
+
+
+def test_exposures(spark):
+    given = {0.005: "1/200", 1.0: "1", 2.5: "2.5", 30.123456: "30.1235", 9.999999: "10", 120.0: "120", 1234567.0: "1.23457e+06", 999999.7: "1e+06", 0.0: None}
+    df = spark.createDataFrame([(k,) for k in given], "s double")
+    assert {r.s: r.x for r in df.select("s", I.exposure_text("s").alias("x")).collect()} == given
+    assert all(v == f"{k:g}" for k, v in given.items() if k >= 1)
+
+
 def test_bursts_interleave(spark):
     e = [[1.0, 0.0], [0.0, 1.0]]
     df = gallery(spark, [("A", at(i), e[i % 2]) for i in range(6)], "camera string, taken_at timestamp_ntz, embedding array<double>")
