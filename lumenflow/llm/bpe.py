@@ -27,7 +27,7 @@ _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 _CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 _APOSTROPHE = 0x27
 #: Code points that are worked on at a time in very long texts.
-_SPAN = 1 << 20
+_SPAN = 1 << 19
 
 
 @lru_cache(1)
@@ -99,7 +99,7 @@ class Encoder:
     library's ``encode_special_tokens``.
     """
 
-    def __init__(self, path: str, bits: int = 21, room: int = 1 << 23, added: bool = False):
+    def __init__(self, path: str, bits: int = 20, room: int = 1 << 22, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -6,15 +6,23 @@ longest context that has seen it, and an escape (method C: distinct over total
 plus distinct) for each longer one; a byte that no context has seen costs 8 bits
 after the last escape. A text gets the language with the shortest exact code.
 
-As statistics are frozen, the cost of each byte after each three-byte context
-that the sample holds is worked out once for all languages; the others are worked
-out from the trees when they turn up. Before coding, A-Z are lower-cased and all
-other ASCII but letters counts as a space.
+As statistics are frozen, the cost of each byte after the commonest three-byte
+contexts of the sample is worked out once for all languages (a table of at most
+``TABLE_BYTES``); the others are worked out from the trees when they turn up.
+Before coding, A-Z are lower-cased and all other ASCII but letters counts as a
+space.
+
+The sample: about ``DOCS_PER_LANGUAGE`` documents of each language, at most the
+``MAX_LANGUAGES`` commonest; of a text over ``DOC_BYTES`` bytes a stretch of so
+many from its middle. Of a language's four-byte strings the commonest are kept, at
+most ``GRAMS`` over all languages. Predictions code every whole text.
 
 Defined results: null or letterless texts are ``und`` with score 0; a tie goes to
 the language first in alphabetical order; without any learned language all are
 ``und``. Rows that repeat are predicted each; a null doc_id is predicted, and is
-never learned from; other columns are ignored; an empty table gives no rows.
+never learned from; an empty table gives no rows. ``predict`` replaces input
+columns named lang_pred, score or bits_per_byte and carries all others;
+``predicted`` carries every row whole, as a struct.
 """
 
 from __future__ import annotations
@@ -23,18 +31,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenflow.llm.common import map_batches, table
+from lumenflow.llm.common import map_batches, quoted, row_struct, table
 from lumenflow.llm.textops import blocks
 
 ORDER = 3
-#: The bounds of the sample: documents of a language (expected), and bytes of one document.
+#: The bounds of the sample: documents of a language (expected), bytes of one document, languages, and four-byte strings of all languages.
 DOCS_PER_LANGUAGE = 400
 DOC_BYTES = 1 << 16
-MAX_LANGUAGES = 512
+MAX_LANGUAGES = 1024
+GRAMS = 1 << 22
+#: Bytes of the table of costs.
+TABLE_BYTES = 1 << 25
 _FOLD = np.full(256, 32, dtype=np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -94,8 +106,11 @@ class Model:
 
     def __init__(self, languages: list[str], trees: list[ContextTree]):
         self.languages, self.trees = languages, trees
-        self.keys = np.unique(np.concatenate([t.orders[0][0] for t in trees]))
-        self.costs = np.stack([t.bits(self.keys) for t in trees], axis=1).astype(np.float32)
+        self.keys, where = np.unique(np.concatenate([t.orders[0][0] for t in trees]), return_inverse=True)
+        if len(self.keys) > (most := TABLE_BYTES // (8 * len(trees))):
+            often = np.bincount(where, weights=np.concatenate([t.orders[0][1] for t in trees]))
+            self.keys = np.sort(self.keys[np.argsort(-often, kind="stable")[:most]])
+        self.costs = np.stack([t.bits(self.keys) for t in trees], axis=1)
         self.slots = np.zeros(1 << _SLOTS, dtype=np.int32)
         self.slots[self._slot(self.keys)] = np.arange(len(self.keys))
 
@@ -134,54 +149,59 @@ def held_out(doc_id) -> F.Column:
 
 
 def learn(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model | None:
-    """Trees from about ``docs_per_language`` documents of each language, chosen by a hash of doc_id.
+    """Trees from about ``docs_per_language`` documents of each language, chosen by a hash of doc_id; None without any.
 
-    Only texts of up to DOC_BYTES bytes are learned from, so the counts that come
-    to the driver are bounded by the sample, whatever the size of the corpus.
+    What comes to the driver are at most GRAMS counts, whatever the size of the corpus.
     """
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= DOC_BYTES)).select("doc_id", "text", "lang")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return None
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & (draw < int(min(1.0, docs_per_language / n) * (1 << 30))))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, docs_per_language / r["n"]) * (1 << 30))) for r in sizes], "lang string, share long")
+    sample = known.join(F.broadcast(shares), "lang").filter(draw < F.col("share")).select("text", "lang")
+    each = max(256, min(1 << 17, GRAMS // len(sizes)))
+
+    def stretches(column: pa.Array) -> pa.Array:
+        """The texts as bytes, of long ones a stretch from the middle."""
+        if pc.max(pc.binary_length(column)).as_py() <= DOC_BYTES:
+            return column.cast(pa.binary())
+        raw = [x.as_buffer() for x in column.cast(pa.binary())]
+        return pa.array([x[(x.size - DOC_BYTES) // 2 :][:DOC_BYTES].to_pybytes() if x.size > DOC_BYTES else x.to_pybytes() for x in raw], type=pa.binary())
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         langs = batch.column(1).to_pylist()
-        for a, b, data, offsets in blocks(batch.column(0)):
+        for a, b, data, offsets in blocks(stretches(batch.column(0))):
             keys = grams(data, offsets)
             for lang in sorted(set(langs[a:b])):
                 own = [keys[offsets[i - a] : offsets[i - a + 1]] for i in range(a, b) if langs[i] == lang]
                 known, n = np.unique(np.concatenate(own), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(known)), pa.array(known.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counts = map_batches(known.filter(chosen).select("text", "lang"), count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = map_batches(sample, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    counts = counts.withColumn("rank", rank).filter(F.col("rank") <= each).select("lang", "gram", "n").toPandas()
     languages = sorted(counts["lang"].unique())
     if not languages:
         return None
     return Model(languages, [ContextTree(c["gram"].to_numpy().astype(np.uint32), c["n"].to_numpy()) for _, c in counts.sort_values(["lang", "gram"]).groupby("lang", sort=True)])
 
 
-_FOUND = "lang_pred string, score double, bits_per_byte double"
+_FOUND = ["lang_pred", "score", "bits_per_byte"]
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of ``docs`` with lang_pred, score and bits_per_byte of their whole texts."""
-    docs = docs.drop("lang_pred", "score", "bits_per_byte", "lettered")
-    kept = docs.columns
-    rows = docs.withColumn("lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """row (the row of ``docs``, a struct), lang_pred, score and bits_per_byte of the whole texts."""
+    lettered = F.coalesce(quoted("text").rlike(r"\p{L}"), F.lit(False))
+    rows = docs.select(row_struct(docs).alias("row"), lettered.alias("lettered"))
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
+        return rows.select("row", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
     names = np.array([*model.languages, "und"], dtype=object)
-    text = kept.index("text")
+    text = docs.columns.index("text")
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lettered = batch.column(len(kept)).to_numpy(zero_copy_only=False)
-        for a, b, data, offsets in blocks(batch.column(text)):
+        lettered = batch.column(1).to_numpy(zero_copy_only=False)
+        for a, b, data, offsets in blocks(batch.column(0).field(text)):
             bits = model.code_lengths(data, offsets)
             best = bits.argmin(axis=1)
             least = bits[np.arange(b - a), best]
@@ -189,9 +209,14 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             ok = lettered[a:b]
             per = least / np.maximum(np.diff(offsets), 1)
             found = [pa.array(names[np.where(ok, best, len(names) - 1)], type=pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(per)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(a, b - a) for k in range(len(kept))], *found], names=[*kept, "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *found], names=["row", *_FOUND])
 
-    return map_batches(rows, work, T.StructType([*docs.schema.fields, *T.StructType.fromDDL(_FOUND).fields]))
+    return map_batches(rows, work, T.StructType([rows.schema["row"], *T.StructType.fromDDL("lang_pred string, score double, bits_per_byte double").fields]))
+
+
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` with lang_pred, score and bits_per_byte of their whole texts."""
+    return predicted(docs, model).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in _FOUND], *_FOUND)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,14 +43,17 @@ _powers: list[np.ndarray] = [np.ones(1, dtype=_U), np.ones(1, dtype=_U)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least n of each."""
-    if len(_powers[0]) < n:
-        inverse = pow(_BASE, -1, 1 << 64)
-        for k, b in enumerate((_BASE, inverse)):
-            steps = np.full(n, b, dtype=_U)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+    """Powers of the hash base and of its inverse modulo 2**64, at least n of each; no more than BLOCK of them are kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    found = []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n, b, dtype=_U)
+        steps[0] = 1
+        found.append(np.multiply.accumulate(steps))
+    if n <= BLOCK + 1:
+        _powers[:] = found
+    return found[0], found[1]
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -92,7 +95,7 @@ def _word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return starts, ends
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, size: int = 2 * BLOCK) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all rows, and where each row's words begin among them.
 
     Texts over ``size`` bytes are worked on in pieces that end at white space.
