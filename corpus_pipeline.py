@@ -12,11 +12,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenflow.llm.common import stored, table
-from lumenflow.llm.op1_language import learn, predict
+from lumenflow.llm.common import made, quoted, remove, stored, table
+from lumenflow.llm.op1_language import learn, predicted
 from lumenflow.llm.op4_minhash import near_duplicates
 from lumenflow.llm.op7_packing import pack_documents
-from lumenflow.llm.op8_lines import clean_lines
+from lumenflow.llm.op8_lines import cleaned
 from lumenflow.llm.op10_decontamination import contaminated
 
 ORACLE_SQL = None
@@ -31,8 +31,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = learn(docs)
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    kept = predict(docs, model).filter("lang_pred <> 'und'")
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    kept = predicted(docs, model).filter("lang_pred <> 'und'")
+    return kept.select(*[(F.coalesce("row.lang", "lang_pred") if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,26 +42,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     no boilerplate and a carrier is cleaned whatever the share of such lines. A
     text of nothing else stays whole.
     """
-    classes = stored(near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct(), "line-classes")
-    counted = docs.join(classes, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
-    cleaned = clean_lines(docs, max_share=None, counted=counted)
-    taken = F.col("n_removed") > 0
-    if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(taken, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cleaned.filter(~taken | (F.trim("text") != "")).select(*docs.columns)
+    kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    classes = stored(kept, "line-classes")
+    counted = docs.join(classes, "doc_id", "left_semi").select("source", "text").unionByName(docs.filter("doc_id is null").select("source", "text"))
+    out = cleaned(docs, counted=counted)
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("text")}
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the least doc_id; of repeated rows one."""
     kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
     stays = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return stays.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    return stays.select(*map(quoted, docs.columns)).unionByName(docs.filter("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a test item or an edited copy of one."""
     leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(leaks, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +72,14 @@ STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents, each written and read again; what a stage worked with goes once it is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        mark = len(made)
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        out = made.pop()
+        for path in [*made[mark:], *([before] if before else [])]:
+            remove(spark, path)
+        del made[mark:]
+        before = out
     return docs
