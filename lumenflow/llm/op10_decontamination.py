@@ -1,8 +1,8 @@
 """Benchmark decontamination: an exact prefix of rare n-gram seeds, then Smith-Waterman alignment.
 
-1. The test items' word pairs go into a bitmap of fixed size (``BITMAP_BITS``
-   bits, the only thing that is broadcast), and one pass over the texts counts
-   those that the bitmap lets through.
+1. The test items' word pairs go into a bitmap of 16 bits for each pair, at most
+   2**``BITMAP_BITS`` bits (the only thing that is broadcast unchecked), and one
+   pass over the texts counts those that the bitmap lets through.
 2. An alignment of m matches and e errors (score m - e) has at most e + 1 runs of
    matches, so it holds at least score - 1 of the item's pairs. An item of n words
    that needs the score t therefore shares at least one of any n - t + 1 of its
@@ -12,7 +12,8 @@
    (position in the text minus position in the item) make one window to align.
    It reaches n / 2 words beyond the range, as far as the errors of a score of
    half the words can shift an alignment.
-4. Windows with fewer than t - 1 of the item's pairs go. The others are aligned
+4. A third pass reads each text with windows once and cuts their word hashes out.
+5. Windows with fewer than t - 1 of the item's pairs go. The others are aligned
    with their item (match 1, mismatch and gap -1), which finds edited and
    paraphrased copies; the score is divided by the item's words.
 
@@ -30,17 +31,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenflow.llm import textops
-from lumenflow.llm.common import Scratch, map_batches, table
+from lumenflow.llm.common import Scratch, map_batches, small, table
 from lumenflow.llm.textops import blocks, shingle_hashes, span_hashes
 
 SEED_WORDS = 2
 #: Items of fewer words are never found.
 LEAST_WORDS = 3
-BITMAP_BITS = 24
+BITMAP_BITS = 28
+#: Windows of a document that one row carries.
+WINDOWS = 4096
 #: Least score for contamination, as a share of the item's words.
 THRESHOLD = 0.5
 #: Diagonals that fall into one window.
@@ -91,51 +95,52 @@ def item_grams(items: DataFrame) -> DataFrame:
     return map_batches(items.select("item_id", F.xxhash64("text").alias("item_key"), "text"), work, "item_id long, item_key long, item_at long, gram long, item_words long")
 
 
-def bitmap(grams: DataFrame, bits: int = BITMAP_BITS) -> np.ndarray:
-    """A bitmap of the grams' upper bits; what comes to the driver is at most 2**bits bits, whatever the items."""
+def bitmap_bits(n_grams: int) -> int:
+    return min(BITMAP_BITS, max(16, (16 * n_grams).bit_length()))
+
+
+def bitmap(grams: DataFrame, bits: int) -> np.ndarray:
+    """A packed bitmap of the grams' upper bits; what comes to the driver is at most 2**bits bits, whatever the items."""
     slot = F.shiftrightunsigned("gram", 64 - bits)
     cells = grams.select(F.shiftright(slot, 6).alias("cell"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {64 - bits}) & 63 as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    out = np.zeros(1 << (bits - 6), dtype="<i8")
     out[cells["cell"].to_numpy(dtype=np.int64)] = cells["bits"].to_numpy(dtype=np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    return out.view(np.uint8)
 
 
-def _passed(docs: DataFrame, grams: DataFrame, emit, schema: str, bits: int = BITMAP_BITS) -> DataFrame:
+def _passed(docs: DataFrame, grams: DataFrame, emit, schema: str) -> DataFrame:
     """What ``emit`` makes of (batch, row, position, gram) of the places whose gram the bitmap of ``grams`` holds, block by block."""
-    cells = np.packbits(bitmap(grams, bits), bitorder="little")
-    shared = docs.sparkSession.sparkContext.broadcast(cells)
+    bits = bitmap_bits(grams.count())
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(grams, bits))
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(shared.value, bitorder="little").view(bool) if "held" not in _kept or _kept.get("of") is not shared.value else _kept["held"]
-        _kept.update(held=held, of=shared.value)
+        held = shared.value
         for a, _, data, offsets in blocks(batch.column(1)):
             hashes, begins = word_hashes(data, offsets)
             row, at, gram = seed_rows(hashes, begins)
-            hit = held[gram >> _U(64 - bits)]
+            slot = gram >> _U(64 - bits)
+            hit = np.flatnonzero(held[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8) & 1)
             yield emit(batch, row[hit] + a, at[hit], gram[hit].view(np.int64))
 
     return map_batches(docs, work, schema)
 
 
-def gram_counts(docs: DataFrame, grams: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+def gram_counts(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """gram, n: occurrences over all texts, added up within a block first."""
 
     def emit(batch, row, at, gram):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(gram, return_counts=True)], names=["gram", "n"])
 
-    return _passed(docs, grams, emit, "gram long, n long", bits).groupBy("gram").agg(F.sum("n").alias("n"))
+    return _passed(docs, grams, emit, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def occurrences(docs: DataFrame, grams: DataFrame, bits: int = BITMAP_BITS) -> DataFrame:
+def occurrences(docs: DataFrame, grams: DataFrame) -> DataFrame:
     """doc_id, doc_at, gram of all places whose gram the bitmap of ``grams`` holds."""
 
     def emit(batch, row, at, gram):
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at), pa.array(gram)], names=["doc_id", "doc_at", "gram"])
 
-    return _passed(docs, grams, emit, "doc_id long, doc_at long, gram long", bits)
-
-
-_kept: dict = {}
+    return _passed(docs, grams, emit, "doc_id long, doc_at long, gram long")
 
 
 def best_scores(texts: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -167,37 +172,67 @@ def needed(size, threshold: float):
     return np.ceil(np.asarray(size) * threshold - 1e-9).astype(np.int64)
 
 
-def aligned(candidates: DataFrame, docs: DataFrame, items: DataFrame, pairs: int = 256, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, score, item_words, ends_at (word of the text) for windows (doc_id, item_id, window) that can reach the threshold."""
+_WINDOW = "item_id long, item_key long, window long, item_words long"
+
+
+def cut_windows(windows: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, item_id, item_key, begin, hashes (of the window's words): each text is read once for up to WINDOWS windows."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        item_words = []
-        for _, _, data, offsets in blocks(batch.column(4)):
+        for a, b, data, offsets in blocks(batch.column(1)):
             hashes, begins = word_hashes(data, offsets)
-            item_words += [hashes[x:y] for x, y in zip(begins[:-1], begins[1:], strict=True)]
-        windows = batch.column(2).to_pylist()
-        cut, begin = [], []
-        for a, b, data, offsets in blocks(batch.column(3)):
+            rows = batch.column(2).slice(a, b - a)
+            own = rows.flatten()
+            item, key, window, size = (own.field(k).to_numpy() for k in range(4))
+            doc = np.repeat(np.arange(b - a), pc.list_value_length(rows).to_numpy())
+            slack = (size * (1 - threshold)).astype(np.int64) + 1
+            length = np.diff(begins)[doc]
+            lo = np.minimum(np.maximum(0, window * DIAGONALS - slack), length)
+            hi = np.minimum(np.maximum(lo, (window + 1) * DIAGONALS + size + slack), length)
+            raw = hashes.tobytes()
+            at = begins[:-1][doc]
+            for k in range(0, len(doc), 1024):
+                part = slice(k, k + 1024)
+                cut = [raw[8 * x : 8 * y] for x, y in zip((at + lo)[part].tolist(), (at + hi)[part].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[part] + a)), pa.array(item[part]), pa.array(key[part]), pa.array(lo[part]), pa.array(cut, type=pa.binary())], names=["doc_id", "item_id", "item_key", "begin", "hashes"])
+
+    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    part = F.pmod(F.xxhash64("item_key", "window"), F.ceil(n / WINDOWS))
+    lists = windows.withColumn("part", part).groupBy("doc_id", "part").agg(F.collect_list(F.struct("item_id", "item_key", "window", "item_words")).alias("windows"))
+    rows = lists.join(docs, "doc_id").select("doc_id", "text", F.col("windows").cast(f"array<struct<{_WINDOW.replace(' ', ':').replace(',:', ',')}>>").alias("windows"))
+    return map_batches(rows, work, "doc_id long, item_id long, item_key long, begin long, hashes binary")
+
+
+def hashed_items(items: DataFrame) -> DataFrame:
+    """item_id, item_key, item_hashes (of the words)."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for a, b, data, offsets in blocks(batch.column(2)):
             hashes, begins = word_hashes(data, offsets)
-            for k in range(a, b):
-                own = hashes[begins[k - a] : begins[k - a + 1]]
-                slack = int(len(item_words[k]) * (1 - threshold)) + 1
-                lo = max(0, windows[k] * DIAGONALS - slack)
-                begin.append(lo)
-                cut.append(own[lo : max(lo, (windows[k] + 1) * DIAGONALS + len(item_words[k]) + slack)])
-        size = np.array([len(x) for x in item_words], dtype=np.int64)
-        shared = [np.isin(shingle_hashes(x, SEED_WORDS), shingle_hashes(y, SEED_WORDS)).sum() for x, y in zip(item_words, cut, strict=True)]
+            own = pa.array([hashes[x:y].tobytes() for x, y in zip(begins[:-1], begins[1:], strict=True)], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), own], names=["item_id", "item_key", "item_hashes"])
+
+    return map_batches(items.select("item_id", F.xxhash64("text").alias("item_key"), "text"), work, "item_id long, item_key long, item_hashes binary")
+
+
+def aligned(windows: DataFrame, pairs: int = 256, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, item_id, score, item_words, ends_at (word of the text) of the windows (with hashes and item_hashes) that can reach the threshold."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        begin = batch.column(2).to_numpy()
+        cut, item = ([np.frombuffer(x.as_buffer(), dtype=_U) for x in batch.column(k)] for k in (3, 4))
+        size = np.array([len(x) for x in item], dtype=np.int64)
+        shared = [np.isin(shingle_hashes(x, SEED_WORDS), shingle_hashes(y, SEED_WORDS)).sum() for x, y in zip(item, cut, strict=True)]
         can = (np.array(shared, dtype=np.int64) >= needed(size, threshold) - 1) & (size > 0)
         order = sorted(np.flatnonzero(can).tolist(), key=lambda k: (size[k], len(cut[k])))
         score, end = np.zeros(len(cut), dtype=np.int32), np.zeros(len(cut), dtype=np.int64)
         for k in range(0, len(order), pairs):
             own = order[k : k + pairs]
-            score[own], end[own] = best_scores([cut[i] for i in own], [item_words[i] for i in own])
-        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score / np.maximum(size, 1)), pa.array(size), pa.array(end + np.array(begin, dtype=np.int64))], names=["doc_id", "item_id", "score", "item_words", "ends_at"])
+            score[own], end[own] = best_scores([cut[i] for i in own], [item[i] for i in own])
+        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score / np.maximum(size, 1)), pa.array(size), pa.array(end + begin)], names=["doc_id", "item_id", "score", "item_words", "ends_at"])
         yield out.filter(pa.array(can))
 
-    rows = candidates.join(docs, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id").select("doc_id", "item_id", "window", "text", "item")
-    return map_batches(rows, work, "doc_id long, item_id long, score double, item_words long, ends_at long")
+    return map_batches(windows.select("doc_id", "item_id", "begin", "hashes", "item_hashes"), work, "doc_id long, item_id long, score double, item_words long, ends_at long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -209,13 +244,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     counted = scratch.stored(grams.join(gram_counts(docs, grams), "gram", "left").na.fill(0, ["n"]), "counted")
     rank = F.row_number().over(Window.partitionBy("item_id", "item_key").orderBy("n", "gram", "item_at"))
     seeds = F.col("item_words") - F.ceil(F.col("item_words") * F.lit(threshold) - F.lit(1e-9)) + 1
-    rare = counted.withColumn("rank", rank).filter((F.col("rank") <= seeds) & (F.col("n") > 0)).select("gram", "item_id", "item_at")
+    rare = counted.withColumn("rank", rank).filter((F.col("rank") <= seeds) & (F.col("n") > 0)).select("gram", "item_id", "item_key", "item_at", "item_words")
     rare = scratch.stored(rare, "seeds")
     hits = scratch.stored(occurrences(docs, rare), "hits")
-    windows = hits.join(rare, "gram").select("doc_id", "item_id", F.floor((F.col("doc_at") - F.col("item_at")) / DIAGONALS).alias("window")).distinct()
-    windows = kept.stored(windows, "windows")
+    window = F.floor((F.col("doc_at") - F.col("item_at")) / DIAGONALS).alias("window")
+    windows = scratch.stored(hits.join(small(rare), "gram").select("doc_id", "item_id", "item_key", window, "item_words").distinct(), "windows")
+    cut = cut_windows(windows, docs, threshold).join(small(scratch.stored(hashed_items(items), "hashed")), ["item_id", "item_key"])
+    best = kept.stored(aligned(cut, threshold=threshold).filter(F.col("score") >= threshold), "aligned")
     scratch.drop()
-    best = aligned(windows, docs, items, threshold=threshold).filter(F.col("score") >= threshold)
     return best.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "item_words", "ends_at")).alias("x")).select("doc_id", "item_id", "x.*")
 
 

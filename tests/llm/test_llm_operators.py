@@ -505,3 +505,28 @@ def test_decontamination_of_a_passage_quoted_by_many(spark):
     bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(long)), (8, "another text of the same item that no document has")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): round(r.score, 3) for r in op10.contaminated(docs(spark, texts), bench).collect()}
     assert got == {(0, 7): 1.0, **{(i, 7): 0.525 for i in range(1, 1001)}, (1051, 7): 0.525, (1052, 8): 0.525}
+
+
+def test_decontamination_finds_what_plain_alignment_finds_at_any_edit_rate(spark):
+    rng = random.Random(43)
+    items = [[f"q{rng.randrange(5000)}" for _ in range(rng.choice([12, 40, 90]))] for _ in range(12)]
+    texts = []
+    for item in items:
+        for rate in (0.1, 0.2, 0.3, 0.4, 0.5):
+            w = [x for x in item if rng.random() > rate / 3]
+            w = [f"z{rng.randrange(5000)}" if rng.random() < rate / 2 else x for x in w]
+            w = [y for x in w for y in ([x, "new"] if rng.random() < rate / 3 else [x])]
+            texts.append([f"c{rng.randrange(900)}" for _ in range(60)] + w + [f"c{rng.randrange(900)}" for _ in range(60)])
+    want = {(d, i) for d, t in enumerate(texts) for i, q in enumerate(items) if 2 * brute_local(t, q) >= len(q)}
+    bench = spark.createDataFrame([(i, " ".join(q)) for i, q in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in op10.contaminated(docs(spark, [" ".join(t) for t in texts]), bench).collect()}
+    assert got == want and 20 < len(want) < 60
+
+
+def test_few_pieces_are_poured(spark):
+    rng = random.Random(29)
+    texts = [prose(rng, rng.choice([1, 5, 30, 90])) for _ in range(6000)]
+    d = docs(spark, texts).repartition(8)
+    rows = op7.pack_documents(d, BPE, window=256, max_open=32).toPandas()
+    assert rows["length"].sum() == rows.drop_duplicates("doc_id")["doc_tokens"].sum()
+    assert rows.loc[rows["poured"], "length"].sum() < 0.05 * rows["length"].sum()
