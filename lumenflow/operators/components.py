@@ -13,19 +13,20 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row["n"], int(row["h"] or 0)
 
 
-def connected_components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame], max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(node, component) of all nodes of ``edges`` (columns u, v); a component is named by its least node.
 
     Each round hooks every node's neighbours to the least one it knows, first
     the larger and then the smaller ones, so paths halve and stars stay stars;
-    no task needs a node's neighbours together. ``keep(df, label)`` makes a
+    no task needs a node's neighbours together. Rounds go on until nothing
+    changes; their number grows with the logarithm of the nodes. ``keep(df, label)`` makes a
     round's edges durable (a table or a checkpoint), which cuts the lineage.
     Loops and repeated edges change nothing; no edges give no rows.
     """
     edges = edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).filter("u <> v").distinct()
     edges = keep(edges, "components")
     state = _state(edges)
-    for _ in range(max_rounds):
+    while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).withColumnRenamed("u", "w")
         large = both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -36,7 +37,5 @@ def connected_components(edges: DataFrame, keep: Callable[[DataFrame, str], Data
         if (now := _state(edges)) == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
