@@ -13,11 +13,15 @@
    for a few rounds. So a large group of near copies never makes all its pairs.
 4. Documents of buckets that still hold several components may have links that
    no pivot met. Among them all pairs of different components that can reach the
-   threshold are found by an exact prefix and position filter over the shingles,
-   rarest first, and are verified too. The filter's only shared data is a count
-   table of fixed size.
+   threshold are found by an exact prefix, length and position filter over the
+   shingles, rarest first, and are verified too. Shingles are counted by an
+   ordinary aggregation; the filter's only shared data are the counts of the
+   ``FREQUENT`` commonest, as the others may come in any order.
 5. Components of the verified links.
 
+Verification reads full sets. Pairs are dealt out by their first document, in
+portions, so a hub's text goes along once for ``PORTION`` pairs and not with each.
+
 Defined results: see ``near_duplicates``.
 """
 
@@ -28,12 +32,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenflow.llm.common import Scratch, map_batches, table
-from lumenflow.llm.textops import BLOCK, blocks, mix, seeds, shingle_sets
+from lumenflow.llm.common import Scratch, map_arrow, map_batches, table
+from lumenflow.llm.textops import blocks, mix, seeds, shingle_sets
 from lumenflow.operators.components import connected_components
 
 WORDS = 5
@@ -41,8 +44,12 @@ WORDS = 5
 BANDS, ROWS = 40, 4
 #: Rounds of pivots.
 ROUNDS = 2
-#: Slots of the table of shingle counts, in bits.
-COUNT_BITS = 20
+#: Shingles whose counts order the filter; all others come before them.
+FREQUENT = 1 << 18
+#: Pairs that one copy of a hub's text serves, about.
+PORTION = 64
+#: Width of the bands of set sizes, in logarithms: four make the ratio 4 / 3, the most that sets at 0.75 differ by.
+_BAND = float(np.log(4 / 3) / 4)
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -101,90 +108,102 @@ def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
 def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """u, v, linked: whether 100 * intersection >= 75 * union of the full sets."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, hub_sets = None, []
+        for batch in batches:
+            us, portions, vs = (batch.column(k).to_pylist() for k in range(3))
+            out = []
+            for a, _, data, offsets in blocks(batch.column(3)):
+                for k, s in enumerate(shingle_sets(data, offsets, WORDS), a):
+                    if hub != (us[k], portions[k]):
+                        hub, hub_sets = (us[k], portions[k]), []
+                    if vs[k] is None:  # the hub's own text comes first
+                        hub_sets.append(s)
+                        continue
+                    linked = False
+                    for x in hub_sets:
+                        at = np.minimum(np.searchsorted(x, s), max(len(x) - 1, 0))
+                        common = int((x[at] == s).sum()) if len(x) else 0
+                        linked |= len(x) > 0 and 100 * common >= 75 * (len(x) + len(s) - common)
+                    out.append((us[k], vs[k], linked))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["u", "v", "linked"])
+
+    degrees = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    dealt = pairs.select("u", "v").join(degrees, "u").select("u", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / PORTION)).alias("portion"), "v")
+    hubs = dealt.select("u", "portion").distinct().join(texts.withColumnRenamed("class_id", "u"), "u").select("u", "portion", F.lit(None).cast("long").alias("v"), "text")
+    members = dealt.join(texts.withColumnRenamed("class_id", "v"), "v").select("u", "portion", "v", "text")
+    rows = hubs.unionByName(members).repartition("u", "portion").sortWithinPartitions("u", "portion", F.asc_nulls_first("v"))
+    return map_arrow(rows, work, "u long, v long, linked boolean").groupBy("u", "v").agg(F.max("linked").alias("linked"))
+
+
+def frequent_shingles(texts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles (sorted hashes) and how many sets hold each: at most ``most`` come to the driver."""
+
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        size = np.cumsum([0, *(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False) + pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False))])
-        a = 0
-        while a < batch.num_rows:  # so many pairs at a time as make a block of text
-            b = max(a + 1, int(np.searchsorted(size, size[a] + BLOCK, side="right")) - 1)
-            part, linked = batch.slice(a, b - a), []
-            sides = [[s for _, _, data, offsets in blocks(part.column(k)) for s in shingle_sets(data, offsets, WORDS)] for k in (2, 3)]
-            for x, y in zip(*sides, strict=True):
-                merged = np.sort(np.concatenate((x, y)), kind="stable")
-                common = int((merged[1:] == merged[:-1]).sum())
-                linked.append(len(x) > 0 and 100 * common >= 75 * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked)], names=["u", "v", "linked"])
-            a = b
-
-    left = texts.select(F.col("class_id").alias("u"), F.col("text").alias("text_u"))
-    right = texts.select(F.col("class_id").alias("v"), F.col("text").alias("text_v"))
-    return map_batches(pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v"), work, "u long, v long, linked boolean")
-
-
-def token_counts(texts: DataFrame) -> np.ndarray:
-    """How many sets hold a shingle, by the upper bits of its hash: a table of fixed size, whatever the input.
-
-    A task adds up its own table, tables are summed by part, and the parts come
-    to the driver as bytes.
-    """
-    parts, size = 1 << (COUNT_BITS - 12), 1 << 12
-    schema = pa.schema([("part", pa.int64()), ("counts", pa.binary())])
+        for _, _, data, offsets in blocks(batch.column(0)):
+            token, n = np.unique(np.concatenate(shingle_sets(data, offsets, WORDS)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
-        for batch in batches:
-            for _, _, data, offsets in blocks(batch.column(0)):
-                for s in shingle_sets(data, offsets, WORDS):
-                    np.add.at(n, (s >> _U(64 - COUNT_BITS)).astype(np.int64), np.uint32(1))
-        full = np.flatnonzero(n.reshape(parts, size).any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([n[k * size : (k + 1) * size].tobytes() for k in full.tolist()], type=pa.binary())], schema=schema)
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), dtype=np.uint32).astype(np.int64) for x in table.column("counts"))
-        return pa.table({"part": table.column("part")[:1], "counts": [np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()]}, schema=schema)
-
-    out = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
-    for row in texts.select("text").mapInArrow(count, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary").collect():
-        out[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["counts"], dtype=np.uint32)
-    return out
+    counts = map_batches(texts.select("text"), work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counts.filter("n > 1").orderBy(F.desc("n"), "token").limit(most).toPandas()
+    token = top["token"].to_numpy(dtype=np.int64).view(_U)
+    order = np.argsort(token)
+    return token[order], top["n"].to_numpy(dtype=np.int64)[order]
 
 
-def rare_prefixes(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+def rare_prefixes(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """token, class_id, n, pos: of each set, in order of count, the shingles of which two sets at 0.75 share one."""
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n, names = shared.value, batch.column(0).to_numpy()
+        (known, n), names = shared.value, batch.column(0).to_numpy()
         for a, _, data, offsets in blocks(batch.column(1)):
             out = []
             for k, s in enumerate(shingle_sets(data, offsets, WORDS)):
                 if len(s):
-                    often = n[(s >> _U(64 - COUNT_BITS)).astype(np.int64)]
+                    often = np.zeros(len(s), dtype=np.int64)
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        often = np.where(known[at] == s, n[at], 0)
                     first = np.argsort(often, kind="stable")[: len(s) - (3 * len(s) + 3) // 4 + 1]  # equals by hash
-                    at = np.flatnonzero(often[first] > 1)
-                    out.append((s[first[at]].view(np.int64), np.full(len(at), names[a + k]), np.full(len(at), len(s)), at))
+                    out.append((s[first].view(np.int64), np.full(len(first), names[a + k]), np.full(len(first), len(s)), np.arange(len(first))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["token", "class_id", "n", "pos"])
 
     return map_batches(texts.select("class_id", "text"), work, "token long, class_id long, n long, pos long")
 
 
+def banded(rows: DataFrame) -> DataFrame:
+    """Each row once for every band of sizes in which a partner can still reach 0.75 from its position.
+
+    What follows a row's position bounds the intersection, and the smallest size
+    of a band bounds the union. Bounds are a little loose; ``reach`` is exact.
+    """
+    own = F.floor(F.log("n") / _BAND)
+    least = lambda b: F.floor(F.exp(b * _BAND) * (1 - 1e-9))
+    bands = F.filter(F.transform(F.sequence(own - 5, own + 5), lambda b: b), lambda b: 7 * (F.col("n") - F.col("pos")) >= 3 * (F.col("n") + least(b)))
+    return rows.select("*", own.alias("band"), F.explode(bands).alias("partner"))
+
+
 def unresolved_pairs(texts: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
-    """All pairs (u, v) of different parts that can reach 0.75, by an exact prefix and position filter.
+    """All pairs (u, v) of different parts that can reach 0.75, by an exact prefix, length and position filter.
 
     In one order of all shingles, the rarest first, the first common shingle of a
     pair bounds its intersection by what follows it in either set. So copies of
     one passage or distant variants of one text, which share their common
-    shingles only, make no pair.
+    shingles only, make no pair; nor do they meet, as rows are joined by shingle
+    and bands of sizes, and a row is only in bands where its position allows it.
     """
-    rows = rare_prefixes(texts, token_counts(texts)).join(parts, "class_id")
+    rows = rare_prefixes(texts, frequent_shingles(texts)).join(parts, "class_id")
     sizes = rows.groupBy("token", "part").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("token").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", "main")
-    rows = scratch.stored(rows.join(main, "token"), "prefixes")
-    one = rows.filter("part <> main").select("token", *[F.col(c).alias(f"{c}_u") for c in ("class_id", "n", "pos", "part")])
-    other = rows.select(F.col("token").alias("t"), "main", *[F.col(c).alias(f"{c}_v") for c in ("class_id", "n", "pos", "part")])
+    rows = scratch.stored(banded(rows.join(main, "token")), "prefixes")
+    one = rows.filter("part <> main").select("token", "band", "partner", *[F.col(c).alias(f"{c}_u") for c in ("class_id", "n", "pos", "part")])
+    other = rows.select("token", F.col("partner").alias("band"), F.col("band").alias("partner"), "main", *[F.col(c).alias(f"{c}_v") for c in ("class_id", "n", "pos", "part")])
     reach = F.expr("7 * (1 + least(n_u - 1 - pos_u, n_v - 1 - pos_v)) >= 3 * (n_u + n_v)")
-    met = (F.col("token") == F.col("t")) & (F.col("part_u") != F.col("part_v")) & reach & ((F.col("part_v") == F.col("main")) | (F.col("class_id_u") < F.col("class_id_v")))
-    pairs = one.join(other, met)
+    met = (F.col("part_u") != F.col("part_v")) & reach & ((F.col("part_v") == F.col("main")) | (F.col("class_id_u") < F.col("class_id_v")))
+    pairs = one.join(other, ["token", "band", "partner"]).filter(met)
     return pairs.select(F.least("class_id_u", "class_id_v").alias("u"), F.greatest("class_id_u", "class_id_v").alias("v")).distinct()
 
 

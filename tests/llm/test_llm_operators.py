@@ -530,3 +530,20 @@ def test_few_pieces_are_poured(spark):
     rows = op7.pack_documents(d, BPE, window=256, max_open=32).toPandas()
     assert rows["length"].sum() == rows.drop_duplicates("doc_id")["doc_tokens"].sum()
     assert rows.loc[rows["poured"], "length"].sum() < 0.05 * rows["length"].sum()
+
+
+def test_distant_variants_of_one_text_make_no_pairs(spark, tmp_path):
+    rng = random.Random(31)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for i in range(2000):  # a third of the shingles differ, so any two are about 0.5 alike, and each to the base 0.67
+        w = list(base)
+        for k in rng.sample(range(0, 200, 5), 9):
+            w[k] = f"own{i}_{k}"
+        texts.append(" ".join(w))
+    near = [" ".join([*texts[7].split()[:-2], "other", "end"]), " ".join([*texts[1999].split()[3:]])]
+    df = spark.createDataFrame(list(enumerate([*texts, *near])), "class_id long, text string")
+    pairs = {(r.u, r.v) for r in op4.unresolved_pairs(df, df.select("class_id", F.col("class_id").alias("part")), Scratch(spark, "t")).collect()}
+    assert {(7, 2000), (1999, 2001)} <= pairs and len(pairs) < 20_000
+    sets = op4.measured(spark.createDataFrame([(7, 2000), (1999, 2001), (1, 2), (7, 8)], "u long, v long"), df).collect()
+    assert {(r.u, r.v): r.linked for r in sets} == {(7, 2000): True, (1999, 2001): True, (1, 2): False, (7, 8): False}
