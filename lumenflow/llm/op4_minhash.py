@@ -45,7 +45,7 @@ BANDS, ROWS = 40, 4
 #: Rounds of pivots.
 ROUNDS = 2
 #: Shingles whose counts order the filter; all others come before them.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
 #: Pairs that one copy of a hub's text serves, about.
 PORTION = 64
 #: Width of the bands of set sizes, in logarithms: four make the ratio 4 / 3, the most that sets at 0.75 differ by.
@@ -137,16 +137,23 @@ def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(rows, work, "u long, v long, linked boolean").groupBy("u", "v").agg(F.max("linked").alias("linked"))
 
 
-def frequent_shingles(texts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The commonest shingles (sorted hashes) and how many sets hold each: at most ``most`` come to the driver."""
+def frequent_shingles(texts: DataFrame, scratch: Scratch, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles (sorted hashes) and how many sets hold each: at most ``most`` come to the driver.
+
+    Counts are put into steps of a sixteenth of a power of two; as many of the
+    upper steps are taken as hold no more than ``most`` shingles.
+    """
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for _, _, data, offsets in blocks(batch.column(0)):
             token, n = np.unique(np.concatenate(shingle_sets(data, offsets, WORDS)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
 
-    counts = map_batches(texts.select("text"), work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.filter("n > 1").orderBy(F.desc("n"), "token").limit(most).toPandas()
+    counts = map_batches(texts.select("text"), work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1")
+    counts = scratch.stored(counts.withColumn("step", F.floor(16 * F.log2("n"))), "counts")
+    sizes = counts.groupBy("step").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("step", ascending=False)  # at most a thousand rows
+    taken = sizes["step"][sizes["n"].cumsum() <= most]
+    top = counts.filter(F.col("step") >= int(taken.min()) if len(taken) else F.lit(False)).select("token", "n").toPandas()
     token = top["token"].to_numpy(dtype=np.int64).view(_U)
     order = np.argsort(token)
     return token[order], top["n"].to_numpy(dtype=np.int64)[order]
@@ -195,7 +202,7 @@ def unresolved_pairs(texts: DataFrame, parts: DataFrame, scratch: Scratch) -> Da
     shingles only, make no pair; nor do they meet, as rows are joined by shingle
     and bands of sizes, and a row is only in bands where its position allows it.
     """
-    rows = rare_prefixes(texts, frequent_shingles(texts)).join(parts, "class_id")
+    rows = rare_prefixes(texts, frequent_shingles(texts, scratch)).join(parts, "class_id")
     sizes = rows.groupBy("token", "part").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("token").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", "main")
     rows = scratch.stored(banded(rows.join(main, "token")), "prefixes")
