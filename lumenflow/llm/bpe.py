@@ -10,6 +10,7 @@ first, as the library does by default, and give the token's own id.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from functools import lru_cache
@@ -100,6 +101,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, bits: int = 20, room: int = 1 << 22, added: bool = False):
+        # tasks are the unit of parallel work; threads of the library would keep memory of their own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -118,10 +121,13 @@ class Encoder:
         self.used = 0
 
     def _learn(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Appends the ids of the texts; where they are and how many."""
-        rows = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, rows), dtype=np.int32, count=len(rows))
-        flat = np.fromiter((i for r in rows for i in r), dtype=np.uint32, count=int(size.sum()))
+        """Appends the ids of the texts; where they are and how many. The library gets few at a time, as its own results are large."""
+        size, parts = np.zeros(len(texts), dtype=np.int32), []
+        for k in range(0, len(texts), 2048):
+            rows = [x.ids for x in self.tokenizer.encode_batch_fast(texts[k : k + 2048], add_special_tokens=False)]
+            size[k : k + len(rows)] = own = list(map(len, rows))
+            parts.append(np.fromiter((i for r in rows for i in r), dtype=np.uint32, count=sum(own)))
+        flat = np.concatenate(parts)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.ids[self.used : self.used + len(flat)] = flat

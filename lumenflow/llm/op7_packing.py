@@ -87,6 +87,7 @@ class SumOfSquares:
             if level == self.window:
                 self._close(held)
             else:
+                held[-1] = (doc, held[-1][1], part.copy(), doc_tokens)  # not a view of a whole document
                 self.open.setdefault(level, []).append(held)
                 self.count[level] += 1
                 self.n_open += 1
