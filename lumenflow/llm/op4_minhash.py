@@ -48,6 +48,8 @@ ROUNDS = 2
 FREQUENT = 1 << 17
 #: Pairs that one copy of a hub's text serves, about.
 PORTION = 64
+#: Rows of a shingle beyond which they are split by bands of sizes.
+HOT = 500
 #: Width of the bands of set sizes, in logarithms: four make the ratio 4 / 3, the most that sets at 0.75 differ by.
 _BAND = float(np.log(4 / 3) / 4)
 _U = np.uint64
@@ -186,11 +188,13 @@ def banded(rows: DataFrame) -> DataFrame:
 
     What follows a row's position bounds the intersection, and the smallest size
     of a band bounds the union. Bounds are a little loose; ``reach`` is exact.
+    Rows of shingles that aren't ``hot`` all stay in one band.
     """
     own = F.floor(F.log("n") / _BAND)
     least = lambda b: F.floor(F.exp(b * _BAND) * (1 - 1e-9))
     bands = F.filter(F.transform(F.sequence(own - 5, own + 5), lambda b: b), lambda b: 7 * (F.col("n") - F.col("pos")) >= 3 * (F.col("n") + least(b)))
-    return rows.select("*", own.alias("band"), F.explode(bands).alias("partner"))
+    one = F.lit(0).cast("long")
+    return rows.select("token", "class_id", "n", "pos", "part", "main", F.when(F.col("hot"), own).otherwise(one).alias("band"), F.explode(F.when(F.col("hot"), bands).otherwise(F.array(one))).alias("partner"))
 
 
 def unresolved_pairs(texts: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -199,13 +203,16 @@ def unresolved_pairs(texts: DataFrame, parts: DataFrame, scratch: Scratch) -> Da
     In one order of all shingles, the rarest first, the first common shingle of a
     pair bounds its intersection by what follows it in either set. So copies of
     one passage or distant variants of one text, which share their common
-    shingles only, make no pair; nor do they meet, as rows are joined by shingle
-    and bands of sizes, and a row is only in bands where its position allows it.
+    shingles only, make no pair. Nor do the rows of a common shingle all meet:
+    they are joined by bands of sizes, and are only in bands where their position
+    allows it. Of the part that most rows of a shingle seem to be in (``main``,
+    drawn by hash; any choice is exact) none meets another of it.
     """
     rows = rare_prefixes(texts, frequent_shingles(texts, scratch)).join(parts, "class_id")
-    sizes = rows.groupBy("token", "part").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("token").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("token", "main")
-    rows = scratch.stored(banded(rows.join(main, "token")), "prefixes")
+    drawn = [F.min_by("part", F.xxhash64("class_id", F.lit(k))).alias(f"d{k}") for k in range(3)]
+    tokens = rows.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b"), *drawn, (F.count(F.lit(1)) > HOT).alias("hot")).filter("a <> b")
+    tokens = tokens.select("token", "hot", F.when(F.col("d1") == F.col("d2"), F.col("d1")).otherwise(F.col("d0")).alias("main"))
+    rows = scratch.stored(banded(rows.join(tokens, "token")), "prefixes")
     one = rows.filter("part <> main").select("token", "band", "partner", *[F.col(c).alias(f"{c}_u") for c in ("class_id", "n", "pos", "part")])
     other = rows.select("token", F.col("partner").alias("band"), F.col("band").alias("partner"), "main", *[F.col(c).alias(f"{c}_v") for c in ("class_id", "n", "pos", "part")])
     reach = F.expr("7 * (1 + least(n_u - 1 - pos_u, n_v - 1 - pos_v)) >= 3 * (n_u + n_v)")
@@ -255,8 +262,9 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     kept, scratch = Scratch(docs.sparkSession, "op4"), Scratch(docs.sparkSession, "op4-work")
     every = kept.stored(sketched(docs, bands, rows), "sketches")
     full = every.filter("n_shingles > 0 and doc_id is not null")
-    names = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"))
-    classes = kept.stored(full.join(names.withColumnsRenamed({"h1": "g1", "h2": "g2"}), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("doc_id") == F.col("class_id"))).select("class_id", "n_shingles", "bands", "h1", "h2").dropDuplicates(["h1", "h2"]), "classes")
+    # equal sets have equal sizes and buckets
+    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = kept.stored(classes.select("class_id", "n_shingles", "bands", "h1", "h2"), "classes")
     links = scratch.stored(candidate_links(classes, docs, scratch), "all-links")
     found = kept.stored(connected_components(links, scratch.stored), "components").withColumnRenamed("node", "class_id")
     scratch.drop()

@@ -38,7 +38,7 @@ WINDOW = 2048
 #: Open windows of a task; with so many the next document is cut to fill up the fullest.
 MAX_OPEN = 512
 #: Pieces that a task of the second packing gets at least.
-CARRY = 50_000
+CARRY = 20_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean, poured boolean"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("open", pa.bool_()), ("poured", pa.bool_())])
 #: Sequences of the second packing are numbered from here, and by 2**40 for each task.

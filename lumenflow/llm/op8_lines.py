@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenflow.llm.common import Scratch, quoted, row_struct, small, table
+from lumenflow.llm.common import Scratch, row_struct, small, table
 
 MIN_SITES = 10
 LOG_SIZE = 12
@@ -60,7 +60,7 @@ def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, counted: DataFrame | No
     key = F.xxhash64("doc_id", "text").alias("key")
     own = docs.select(key, F.explode(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(stripped(x)))).alias("h"))
     found = own.join(small(spread), "h").groupBy("key").agg(F.collect_set("h").alias("spread"))
-    rows = docs.select(row_struct(docs).alias("row"), key, F.split(quoted("text"), "\n").alias("lines")).join(found, "key", "left")
+    rows = docs.select(row_struct(docs).alias("row"), key).join(found, "key", "left").withColumn("lines", F.split("row.text", "\n"))
     left = F.when(F.col("spread").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: (stripped(x) == "") | ~F.array_contains(F.col("spread"), F.xxhash64(stripped(x)))))
     rows = rows.withColumn("left", left)
     taken = F.col("spread").isNotNull() & F.exists("left", lambda x: stripped(x) != "")
