@@ -7,8 +7,8 @@ placeholder, and records (turn, kind, number, ref, tokens) of each. A turn is
     <|role|>escaped role<|text|>escaped content<|end|>\\n
 
 Control strings all begin with ``<|``, and inside texts a backslash becomes two
-and ``<|`` becomes ``<\\|``, so no text can forge a mark and unescaping gives
-every text back. The assistant's content is under the loss mask; as marks are
+and ``<|`` becomes ``<\\|``, also where it is split over two text parts, so no
+text can forge a mark and unescaping gives every text back. The assistant's content is under the loss mask; as marks are
 unambiguous, the mask is read off the output itself.
 
 Defined results: rows are ordered by turn, then role and text; a null text is
@@ -52,18 +52,22 @@ def _kind(part: Column) -> Column:
     return F.when(part["kind"].isin("image", "audio", "text"), part["kind"]).otherwise("document")
 
 
-def _number(parts: Column, i: Column) -> Column:
-    """Among the attachments of the turn, from 1."""
-    return F.size(F.filter(F.slice(parts, 1, i + 1), lambda p: _kind(p) != "text"))
+def _escaped_after(p: Column, before: Column) -> Column:
+    """A text part's text escaped; a ``|`` at its start also where the part before is a text that ends with ``<``."""
+    joined = (_kind(before) == "text") & F.endswith(before["text"], F.lit("<")) & F.startswith(p["text"], F.lit("|"))
+    return F.concat(F.when(joined, "\\").otherwise(""), escaped(p["text"]))
 
 
 def visited(parts: Column) -> tuple[Column, Column]:
     """The content with placeholders, and the attachments (kind, number, ref, tokens) in order."""
-    parts = F.coalesce(parts, F.array().cast(f"array<{PART}>"))
-    content = F.transform(parts, lambda p, i: F.when(_kind(p) == "text", escaped(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), _kind(p), F.lit(":"), _number(parts, i).cast("string"), F.lit("|>"))))
+    # empty texts go, so that texts which meet in the content are neighbours here
+    parts = F.filter(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: (_kind(p) != "text") | (F.coalesce(p["text"], F.lit("")) != ""))
     tokens = lambda p: F.coalesce(p["tokens"], F.when(_kind(p) == "image", DEFAULT_TOKENS["image"]).when(_kind(p) == "audio", DEFAULT_TOKENS["audio"]).otherwise(DEFAULT_TOKENS["document"]).cast("bigint"))
-    kept = F.transform(parts, lambda p, i: F.when(_kind(p) != "text", F.struct(_kind(p).alias("kind"), _number(parts, i).alias("number"), p["ref"].alias("ref"), tokens(p).alias("tokens"))))
-    return F.array_join(content, ""), F.filter(kept, lambda x: x.isNotNull())
+    kept = F.transform(F.filter(parts, lambda p: _kind(p) != "text"), lambda p, i: F.struct(_kind(p).alias("kind"), (i + 1).alias("number"), p["ref"].alias("ref"), tokens(p).alias("tokens")))
+    # escaped texts hold no "<|", so it divides the runs of text between attachments
+    runs = F.split(F.array_join(F.transform(parts, lambda p, i: F.when(_kind(p) == "text", _escaped_after(p, F.get(parts, i - 1))).otherwise("<|")), ""), r"<\|", -1)
+    places = F.transform(kept, lambda x: F.concat(F.lit("<|"), x["kind"], F.lit(":"), x["number"].cast("string"), F.lit("|>")))
+    return F.array_join(F.zip_with(runs, places, lambda t, x: F.concat(t, F.coalesce(x, F.lit("")))), ""), kept
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
@@ -84,6 +88,17 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(marked, lambda x: F.struct(unescaped(F.substring_index(F.substr(x, F.lit(len(ROLE) + 1)), TEXT, 1)).alias("role"), unescaped(F.substring_index(x, TEXT, -1)).alias("text")))
 
 
+def read_parts(formatted: Column) -> Column:
+    """The turns of a formatted conversation as arrays of (kind, number, text): texts unescaped, attachments by their placeholders."""
+    marked = F.filter(F.split(formatted, r"<\|end\|>\n"), lambda x: x != "")
+    content = F.transform(marked, lambda x: F.split(F.substring_index(x, TEXT, -1), r"(?=<\|)", -1))
+    place = lambda x: F.regexp_extract(x, "^" + _PLACE, 0)
+    attachment = lambda x: F.struct(F.regexp_extract(x, _PLACE, 1).alias("kind"), F.regexp_extract(x, _PLACE, 2).try_cast("int").alias("number"), F.lit("").alias("text"))
+    text = lambda x: F.struct(F.lit("text").alias("kind"), F.lit(None).cast("int").alias("number"), unescaped(F.substr(x, F.length(place(x)) + 1)).alias("text"))
+    both = lambda x: F.filter(F.array(attachment(x), text(x)), lambda p: (p["kind"] != "") & ((p["kind"] != "text") | (p["text"] != "")))
+    return F.transform(content, lambda runs: F.flatten(F.transform(runs, both)))
+
+
 def loss_text(turns: Column) -> Column:
     """All text under the loss mask: the assistant's texts, in order."""
     return F.array_join(F.transform(F.filter(turns, lambda x: x["role"] == "assistant"), lambda x: x["text"]), "")
