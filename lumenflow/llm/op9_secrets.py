@@ -35,7 +35,10 @@ SCOPE = 200
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 USER = re.compile(r"""(?:user(?:name)?|login|client_id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.IGNORECASE | re.ASCII)
-ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9.:@_-]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]+)?(?![0-9.])|[A-Za-z0-9.-]+\.amazonaws\.com")
+URL = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9.:@_-]+")
+ADDRESS = re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]+)?(?![0-9.])")
+HOST = ".amazonaws.com"
+_HOST_RUN = re.compile(r"[A-Za-z0-9.-]+")
 #: Base kinds as listed, then the weak ones.
 KINDS = ["assign", "access", "hex", "secret", "id", "endpoint"]
 _ROLE = {"assign": "secret", "hex": "secret", "access": "id", "secret": "secret", "id": "id", "endpoint": "endpoint"}
@@ -76,6 +79,23 @@ def holding(low: bytes, words: list[bytes], offsets: np.ndarray) -> set[int]:
     return found
 
 
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """URLs, addresses and hosts that don't overlap; each run of signs is looked at once, so time grows with the text."""
+    found = [m.span() for m in URL.finditer(text)] if "://" in text else []
+    more = [m.span() for m in ADDRESS.finditer(text)]
+    if HOST in text:
+        for m in _HOST_RUN.finditer(text):
+            at = text.rfind(HOST, m.start() + 1, m.end())
+            if at > 0:
+                more.append((m.start(), at + len(HOST)))
+    out, end = [], 0
+    for a, b, _ in sorted([(a, b, 0) for a, b in found] + [(a, b, 1) for a, b in more], key=lambda s: (s[0], s[2])):
+        if a >= end:
+            out.append((a, b))
+            end = b
+    return out
+
+
 def scan(text: str, hexes: list[tuple[int, int]], keys: list[tuple[int, int]], assigned: bool, access: bool, named: bool) -> tuple[list[tuple], list[tuple]]:
     """Base spans and weak ones, (start, end, kind)."""
     base = [(a, b, "hex") for a, b in hexes]
@@ -94,7 +114,7 @@ def scan(text: str, hexes: list[tuple[int, int]], keys: list[tuple[int, int]], a
     taken = {(a, b) for a, b, _ in base}
     weak += [(a, b, "secret") for a, b in keys if (a, b) not in taken]
     if any(_ROLE[k] == "secret" for *_, k in base + weak):
-        weak += [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
+        weak += [(a, b, "endpoint") for a, b in endpoints(text)]
     return base, weak
 
 
