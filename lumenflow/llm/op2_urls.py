@@ -1,33 +1,39 @@
 """URL filters: host and path rules, and gradient-boosted trees over lexical features, in DataFrame functions and Spark ML only.
 
-Rules (host, path) are compared as one expression, so they cost no shuffle; their
-number is bounded by MAX_RULES. Where no rule fits, boosted trees decide by
-length, depth, digit ratio, entropy, parameter counts and statistics of the
-host's suffixes. They are trained from labelled URLs; the query takes the URLs
-that rules decide as its labelled ones.
+Up to ``INLINE_RULES`` rules (host, path) are compared as one expression, which
+costs no shuffle; more are joined by the suffixes of the distinct hosts. Where no
+rule fits, boosted trees decide by length, depth, digit ratio, entropy, parameter
+counts and statistics of the host's suffixes. They are trained from labelled
+URLs. The query takes the URLs that rules decide as its labelled ones, so what
+its trees can learn is the rules' own sites and languages.
+
+Suffix statistics count all labelled URLs. In training a URL sees those of the
+other four fifths only, so a site that occurs once doesn't carry its own label.
+The trees are fitted on distinct URLs, about ``TRAIN_ROWS`` / 2 of each label.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path
-and is judged by the trees; repeated rows are judged each; page_id may be null;
+and is judged by the trees; of rules of equal length that fit, ``block`` wins;
+repeated rows are judged each; page_id may be null;
 with labels of one kind only, that verdict is given, without any ``allow``;
 other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenflow.llm.common import lower_ascii, stored, table
+from lumenflow.llm.common import lower_ascii, small, stored, table
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-MAX_RULES = 500
-#: The trees learn from about so many labelled URLs, chosen by a hash of the URL.
+#: More rules than these are joined.
+INLINE_RULES = 200
+#: The trees learn from about so many distinct labelled URLs, chosen by a hash of the URL.
 TRAIN_ROWS = 20_000
+FOLDS = 5
 _FEATURES = ["length", "host_length", "labels", "depth", "digits", "entropy", "parameters", "query_length", "hyphens", "top_share", "top_block", "site_share", "site_block"]
 
 
@@ -41,8 +47,6 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     """The longest rule that fits: struct<size, rule, verdict>, else null."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     found = []
     for verdict, rule in rules:
         name, slash, rest = rule.partition("/")
@@ -80,10 +84,28 @@ def with_features(urls: DataFrame) -> DataFrame:
     )
 
 
+def with_matches(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """Adds match, as ``matched_rule``, however many rules there are."""
+    if not rules:
+        return rows.withColumn("match", F.lit(None).cast("struct<size:int,rule:string,verdict:string>"))
+    if len(rules) <= INLINE_RULES:
+        return rows.withColumn("match", matched_rule(F.col("host"), F.col("path"), rules))
+    table = rows.sparkSession.createDataFrame([(rule.partition("/")[0], "/" + rule.partition("/")[2], len(rule), rule, verdict) for verdict, rule in rules], "suffix string, start string, size int, rule string, verdict string")
+    pages = rows.select("host", "path").distinct()
+    labels = F.split("host", r"\.", -1)
+    suffixes = F.transform(labels, lambda _, k: F.array_join(F.slice(labels, k + 1, F.size(labels)), "."))
+    fits = pages.withColumn("suffix", F.explode(F.array_distinct(suffixes))).join(table, "suffix").filter(F.startswith("path", F.col("start")))
+    best = fits.groupBy("host", "path").agg(F.max(F.struct("size", "rule", "verdict")).alias("match"))
+    return rows.join(best, ["host", "path"], "left")
+
+
 def suffix_statistics(labelled: DataFrame, suffix: str) -> DataFrame:
-    """Share of the labelled URLs and smoothed share of blocked ones by suffix: at most a row for each labelled URL."""
-    n = F.count(F.lit(1))
-    return labelled.groupBy(suffix).agg(n.alias("_n"), ((F.sum("label") + 1.0) / (n + 2.0)).alias(f"{suffix}_block")).select(suffix, F.log1p("_n").alias(f"{suffix}_share"), f"{suffix}_block")
+    """Labelled URLs and blocked ones by suffix and fold."""
+    return labelled.groupBy(suffix, "fold").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("label").alias("blocked"))
+
+
+def _shares(n: Column, blocked: Column, suffix: str) -> list[Column]:
+    return [F.log1p(F.coalesce(n, F.lit(0.0))).alias(f"{suffix}_share"), F.coalesce((blocked + 1.0) / (n + 2.0), F.lit(0.5)).alias(f"{suffix}_block")]
 
 
 class UrlModel:
@@ -92,9 +114,17 @@ class UrlModel:
     def __init__(self, model, statistics: dict[str, DataFrame], only: str):
         self.model, self.statistics, self.only = model, statistics, only
 
-    def joined(self, urls: DataFrame) -> DataFrame:
-        # bounded by TRAIN_ROWS, so they are broadcast at any size of the input
-        return reduce(lambda df, kv: df.join(F.broadcast(kv[1]), kv[0], "left"), self.statistics.items(), urls).na.fill({f"{s}_{k}": v for s in self.statistics for k, v in (("share", 0.0), ("block", 0.5))})
+    def joined(self, urls: DataFrame, out_of_fold: bool = False) -> DataFrame:
+        """Adds the suffix statistics; of the other folds only, where the URLs are trained from."""
+        for suffix, counts in self.statistics.items():
+            total = counts.groupBy(suffix).agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+            if out_of_fold:
+                own = counts.withColumnsRenamed({"n": "own_n", "blocked": "own_blocked"})
+                total = own.join(total, suffix).select(suffix, "fold", *_shares(F.col("n") - F.col("own_n"), F.col("blocked") - F.col("own_blocked"), suffix))
+                urls = urls.join(total, [suffix, "fold"], "left")
+            else:
+                urls = urls.join(small(stored(total.select(suffix, *_shares(F.col("n"), F.col("blocked"), suffix)), f"op2-{suffix}")), suffix, "left")
+        return urls.na.fill({f"{s}_{k}": v for s in self.statistics for k, v in (("share", 0.0), ("block", 0.5))})
 
     def judge(self, urls: DataFrame) -> DataFrame:
         """Adds score (probability of block) and judged (allow or block)."""
@@ -105,22 +135,25 @@ class UrlModel:
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> UrlModel:
-    """From labelled URLs with their features and ``label`` (1: block); learns from about ``rows`` of them."""
-    sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """From labelled URLs with their features and ``label`` (1: block).
+
+    What reaches Spark ML are about ``rows`` distinct URLs, half of each label
+    where there are as many.
+    """
+    labelled = labelled.filter("label is not null").withColumn("fold", F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)))
+    sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.approx_count_distinct("url").alias("n")).collect()}
     if len(sizes) < 2:
         return UrlModel(None, {}, "block" if sizes.get(1.0) else "allow")
-    share = min(1.0, rows / sum(sizes.values()))
-    sample = labelled.filter(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(share * (1 << 30))).cache()
-    statistics = {s: suffix_statistics(sample, s) for s in ("top", "site")}
+    draw = F.pmod(F.xxhash64("url"), F.lit(1 << 30))
+    taken = F.lit(False)
+    for label, n in sizes.items():
+        taken = taken | ((F.col("label") == label) & (draw < int(min(1.0, rows / 2 / max(n, 1)) * (1 << 30))))
+    statistics = {s: stored(suffix_statistics(labelled, s), f"op2-{s}") for s in ("top", "site")}
     model = UrlModel(None, statistics, "allow")
-    features = VectorAssembler(inputCols=_FEATURES, outputCol="features").transform(model.joined(sample)).select("features", "label").coalesce(4).cache()
-    if features.select("label").distinct().count() < 2:
-        model.only = "block" if features.agg(F.max("label")).first()[0] else "allow"
-    else:
-        model.model = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, seed=7).fit(features)
+    sample = stored(labelled.filter(taken).dropDuplicates(["url", "label"]), "op2-sample")
+    features = VectorAssembler(inputCols=_FEATURES, outputCol="features").transform(model.joined(sample, out_of_fold=True)).select("features", "label").coalesce(4).cache()
+    model.model = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, seed=7).fit(features)
     features.unpersist()
-    model.statistics = {s: stored(d, f"op2-{s}") for s, d in statistics.items()}
-    sample.unpersist()
     return model
 
 
@@ -128,7 +161,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFr
     """page_id, host, path, rule, verdict, score; ``labelled`` (url, label) defaults to the URLs that rules decide."""
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", "url").withColumns({"host": host, "path": path})
-    rows = rows.withColumn("match", matched_rule(F.col("host"), F.col("path"), rules))
+    rows = with_matches(rows, rules)
     if labelled is None:
         known = rows.filter("match is not null").withColumn("label", F.when(F.col("match.verdict") == "block", 1.0).otherwise(0.0))
     else:

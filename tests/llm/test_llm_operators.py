@@ -573,3 +573,22 @@ def test_scans_of_very_long_runs_take_linear_time():
         base, weak = op9.scan(text + " secret=abc", [(0, 16)], [], True, True, True)
         assert time.perf_counter() - began < 30
     assert op9.endpoints("see https://s3.amazonaws.com/x, b.s3.amazonaws.com and 10.0.0.1:80 now") == [(4, 28), (32, 50), (55, 66)]
+
+
+def test_many_rules_as_few(spark, monkeypatch):
+    rng = random.Random(9)
+    rules = [(rng.choice(["allow", "block"]), f"{rng.choice(['', 'a.', 'b.a.'])}{rng.choice(['com', 'net', 'x.org'])}/{rng.choice(['', 'p/', 'p/q'])}") for _ in range(40)]
+    urls = [None, "no", *[f"http://{rng.choice(['', 'c.', 'b.a.', 'a.'])}{rng.choice(['com', 'NET', 'x.org', 'y.org'])}/{rng.choice(['p', 'p/q', 'p/', ''])}{k % 3}" for k in range(300)]]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns(dict(zip(("host", "path"), op2.split_url(F.col("url")), strict=True)))
+    few = {r.page_id: r.match for r in op2.with_matches(df, rules).collect()}
+    monkeypatch.setattr(op2, "INLINE_RULES", 0)
+    assert {r.page_id: r.match for r in op2.with_matches(df, rules).collect()} == few and sum(m is not None for m in few.values()) > 50
+
+
+def test_urls_of_unseen_sites(spark):
+    rng = random.Random(11)
+    url = lambda i: f"http://site{i}.{rng.choice(['org', 'net'])}/{'/'.join(rng.choice('abcdefgh') * 5 for _ in range(1 + 5 * (i % 2)))}{'?a=1&b=2' if i % 2 else ''}"
+    labelled = spark.createDataFrame([(url(i), float(i % 2)) for i in range(600)] + [("http://hot.org/", 0.0)] * 500, "url string, label double")
+    pages = spark.createDataFrame([(i, url(i)) for i in range(1000, 1400)], "page_id long, url string")
+    got = op2.filter_urls(pages, [("block", "nowhere.test/")], labelled).collect()
+    assert sum((r.verdict == "block") == bool(r.page_id % 2) for r in got) > 380
