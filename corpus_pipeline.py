@@ -43,9 +43,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text of nothing else stays whole.
     """
     kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    classes = stored(kept, "line-classes")
-    counted = docs.join(classes, "doc_id", "left_semi").select("source", "text").unionByName(docs.filter("doc_id is null").select("source", "text"))
-    out = cleaned(docs, counted=counted)
+    out = cleaned(docs, counted=stored(kept, "line-classes"))
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("text")}
     return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 

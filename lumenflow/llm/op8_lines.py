@@ -34,10 +34,13 @@ def stripped(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANK))
 
 
-def spread_lines(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -> DataFrame:
-    """Hashes of the lines that at least ``min_sites`` sources carry."""
-    lines = docs.filter("source is not null").select("source", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.filter(stripped(F.col("line")) != "").select(F.xxhash64(stripped(F.col("line"))).alias("h"), F.xxhash64("source").alias("site"))
+def spread_lines(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES, counted: DataFrame | None = None) -> DataFrame:
+    """Hashes of the lines that at least ``min_sites`` sources carry, in the documents that are ``counted`` (doc_id), or have no doc_id."""
+    lines = docs.filter("source is not null").select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.filter(stripped(F.col("line")) != "").select("doc_id", F.xxhash64(stripped(F.col("line"))).alias("h"), F.xxhash64("source").alias("site"))
+    if counted is not None:  # hashes are shuffled by doc_id, never texts
+        own = lines.join(counted.hint("merge"), "doc_id", "left_semi")
+        lines = scratch.stored(own.unionByName(lines.filter("doc_id is null")).select("h", "site"), "lines")
     margin = max(2.0, NEAR * min_sites)
     sketches = lines.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LOG_SIZE)).alias("sketch"))
     rough = sketches.select("h", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= min_sites - margin)
@@ -50,17 +53,17 @@ def spread_lines(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES)
 def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, counted: DataFrame | None = None) -> DataFrame:
     """row (the row of ``docs``, a struct), text without the lines, n_lines, n_removed.
 
-    Sites are counted over ``counted`` (source, text; all of ``docs`` where None):
-    one document for each class of near copies makes a copied page one site.
+    Sites are counted over the documents in ``counted`` (doc_id; all of ``docs``
+    where None): one of each class of near copies makes a copied page one site.
     """
     kept, scratch = Scratch(docs.sparkSession, "op8"), Scratch(docs.sparkSession, "op8-work")
-    spread = kept.stored(spread_lines(docs if counted is None else counted, scratch, min_sites), "spread")
+    spread = kept.stored(spread_lines(docs, scratch, min_sites, counted), "spread")
     scratch.drop()
     # rows are known by a hash of doc_id and text; should two meet, each sees the other's lines, which changes nothing
     key = F.xxhash64("doc_id", "text").alias("key")
     own = docs.select(key, F.explode(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(stripped(x)))).alias("h"))
     found = own.join(small(spread), "h").groupBy("key").agg(F.collect_set("h").alias("spread"))
-    rows = docs.select(row_struct(docs).alias("row"), key).join(found, "key", "left").withColumn("lines", F.split("row.text", "\n"))
+    rows = docs.select(row_struct(docs).alias("row"), key).join(found.hint("merge"), "key", "left").withColumn("lines", F.split("row.text", "\n"))
     left = F.when(F.col("spread").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: (stripped(x) == "") | ~F.array_contains(F.col("spread"), F.xxhash64(stripped(x)))))
     rows = rows.withColumn("left", left)
     taken = F.col("spread").isNotNull() & F.exists("left", lambda x: stripped(x) != "")
