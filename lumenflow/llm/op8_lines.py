@@ -36,8 +36,9 @@ def stripped(line: Column) -> Column:
 
 def spread_lines(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES, counted: DataFrame | None = None) -> DataFrame:
     """Hashes of the lines that at least ``min_sites`` sources carry, in the documents that are ``counted`` (doc_id), or have no doc_id."""
-    lines = docs.filter("source is not null").select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.filter(stripped(F.col("line")) != "").select("doc_id", F.xxhash64(stripped(F.col("line"))).alias("h"), F.xxhash64("source").alias("site"))
+    ids = [] if counted is None else ["doc_id"]
+    lines = docs.filter("source is not null").select(*ids, "source", F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.filter(stripped(F.col("line")) != "").select(*ids, F.xxhash64(stripped(F.col("line"))).alias("h"), F.xxhash64("source").alias("site"))
     if counted is not None:  # hashes are shuffled by doc_id, never texts
         own = lines.join(counted.hint("merge"), "doc_id", "left_semi")
         lines = scratch.stored(own.unionByName(lines.filter("doc_id is null")).select("h", "site"), "lines")
