@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from lumenflow.functions import documents as D
 from lumenflow.functions import images as I
 from lumenflow.plans import preference as P
+from lumenflow.operators import scan
 from lumenflow.plans.catalog import query
 from lumenflow.plans.gallery_queries import DEDUP_SQL, NAMES, RANK_SQL
 from lumenflow.operators.windows import burst_ranks, set_percentiles
 from lumenflow.sources.adapter import PHOTOS_SQL, photos, read, with_vectors
+from lumenflow.sources.files import result_messages
 
 NOW = "2026-11-14 06:25:00"
 
@@ -146,3 +148,51 @@ SELECT gallery_id, min(taken_at) AS start, count(*) AS n FROM s GROUP BY gallery
 def n14(spark, sf):
     s = photos(spark, sf).groupBy("gallery_id", F.session_window("taken_at", "300 seconds")).agg(F.count(F.lit(1)).alias("n"))
     return s.select("gallery_id", F.col("session_window.start").alias("start"), "n")
+
+
+@query("b8_messages", """SELECT event_id, CASE WHEN event_id % 23 = 0 THEN 'not JSON' WHEN event_id % 5 = 0 THEN 'unknown version' WHEN event_id % 11 = 0 THEN 'galleryId' WHEN event_id % 13 = 0 THEN 'embeddingModel' WHEN event_id % 17 = 0 THEN 'photos'
+WHEN event_id % 19 = 0 OR event_id % 7 IN (1, 2) THEN 'photo' END AS error FROM events""")
+def b8(spark, sf):
+    i = F.col("event_id")
+    vector = F.when(i % 7 == 1, "0000807F").when(i % 7 == 2, "0000803F0000803F").otherwise("0000803F")  # infinite, too long, 1.0
+    photo = F.struct(i.alias("photoId"), F.when(i % 19 == 0, F.repeat(F.lit("k"), 501)).otherwise("k").alias("storageKey"), F.lit("p").alias("previewKey"), F.base64(F.unhex(vector)).alias("vector"), F.struct((i % 100).alias("iso"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("takenAt")).alias("metadata"))
+    body = F.to_json(F.struct(F.when(i % 5 == 0, 2).otherwise(1).alias("v"), F.when(i % 11 != 0, F.col("user_id")).alias("galleryId"), F.when(i % 13 == 0, "").otherwise(F.col("event_type")).alias("embeddingModel"), F.when(i % 17 != 0, F.array(photo)).alias("photos")))
+    e = read(spark, sf, "events").withColumn("body", F.when(i % 23 == 0, F.expr("'{'")).otherwise(body))
+    return e.select("event_id", scan.message_error("body", 1).alias("error"))
+
+
+@query("b9_admin_events", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'UNSUPPORTED_JOB_TYPE' WHEN event_id % 7 = 0 THEN 'INVALID_STORAGE_KEY' WHEN event_id % 11 = 0 THEN 'INVALID_JOBID' WHEN event_id % 13 = 0 THEN 'INVALID_PHOTOID'
+WHEN user_id <= 0 THEN 'INVALID_GALLERYID' WHEN event_id % 17 <= 1 THEN 'INVALID_REVISIONID' END AS error FROM events""")
+def b9(spark, sf):
+    i = F.col("event_id")
+    job = F.when(i % 5 == 0, F.col("event_type")).otherwise("EMBEDDING").alias("jobType")
+    key = F.when(i % 7 == 0, " ").otherwise(F.concat(F.lit("k"), i.cast("string"))).alias("storageKey")
+    body = F.to_json(F.struct(job, key, (i % 11).alias("jobId"), F.lit("1").alias("attemptCount"), (i % 13).alias("photoId"), F.col("user_id").alias("galleryId"), (i % 17 - 1).cast("string").alias("revisionId")))
+    return read(spark, sf, "events").select("event_id", body.alias("body")).select("event_id", scan.admin_event_error("body").alias("error"))
+
+
+@query("b11_paired_keys", "SELECT event_id, CASE WHEN event_id % 3 = 2 AND event_type <> '' AND props <> '' THEN 2 END AS pairs FROM events")
+def b11(spark, sf):
+    i = F.col("event_id")
+    keys = F.when(i % 3 == 0, F.array("event_type")).when(i % 3 == 1, F.array("event_type", F.lit(""))).otherwise(F.array("event_type", "props"))
+    e = read(spark, sf, "events").select("event_id", F.array(i, i + 1).alias("ids"), keys.alias("keys"))
+    found = e.select("event_id", scan.paired_keys(F.col("ids"), F.col("keys")).alias("p"))
+    return found.select("event_id", F.when(F.col("p").isNotNull(), F.size("p")).alias("pairs"))
+
+
+@query("k7_image_measures", """WITH p AS (SELECT event_id, event_id % 256 AS a, event_id * 7 % 256 AS b, event_id * 31 % 256 AS c, event_id * 101 % 256 AS d FROM events),
+x AS (SELECT event_id, unnest([a, b, c, d]) AS v, unnest([b + c - 2 * a, a + d - 2 * b, a + d - 2 * c, b + c - 2 * d]) AS l FROM p)
+SELECT CAST(event_id AS VARCHAR) AS path, round(var_pop(l), 6) AS sharpness, avg(CASE WHEN v >= 250 THEN 1.0 ELSE 0.0 END) AS highlights, avg(CASE WHEN v <= 5 THEN 1.0 ELSE 0.0 END) AS shadows, avg(v) AS luma, 'ok' AS status FROM x GROUP BY event_id""")
+def k7(spark, sf):
+    i = F.col("event_id")
+    pixels = F.unhex(F.format_string("%02X%02X%02X%02X", *[(i * k % 256).cast("int") for k in (1, 7, 31, 101)]))
+    images = read(spark, sf, "events").select(i.cast("string").alias("path"), F.concat(F.encode(F.lit("P5\n2 2\n255\n"), "UTF-8"), pixels).alias("content"))
+    return I.measured(images, I.pgm).withColumn("sharpness", F.round("sharpness", 6))
+
+
+@query("a17_result_messages", """WITH r AS (SELECT event_id, user_id % 10 AS gallery_id, CAST(floor((row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) - 1) / 8) AS BIGINT) AS chunk, event_type FROM events)
+SELECT gallery_id, count(DISTINCT chunk) AS messages, count(*) AS photos, max(n) AS largest FROM (SELECT *, count(*) OVER (PARTITION BY gallery_id, chunk) AS n FROM r) GROUP BY gallery_id""")
+def a17(spark, sf):
+    rows = read(spark, sf, "events").select((F.col("user_id") % 10).alias("gallery_id"), F.col("event_id").alias("photo_id"), F.col("event_id").alias("display_order"), F.concat(F.lit("k"), "event_id").alias("storage_key"), F.concat(F.lit("p"), "event_id").alias("preview_key"), F.lit("AACAPw==").alias("vector"), F.lit("m").alias("embedding_model"))
+    sent = scan.message_rows(result_messages(rows).withColumn("error", scan.message_error("body", 1)).filter("error is null"))
+    return sent.groupBy("gallery_id", "chunk").agg(F.count_distinct("photo_id").alias("n")).groupBy("gallery_id").agg(F.count(F.lit(1)).alias("messages"), F.sum("n").alias("photos"), F.max("n").alias("largest"))
