@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenflow.llm import op4_minhash, op5_chat, op8_lines
+from lumenflow.llm import op4_minhash, op5_chat, op8_lines, op11_topk
 from lumenflow.llm.op1_language import op1_language
 from lumenflow.llm.op2_urls import op2_urls
 from lumenflow.llm.op3_wavelet import op3_wavelet
@@ -22,9 +22,11 @@ QUERIES = {
     "op8_lines": op8_lines.op8_lines,
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
+    "op11_topk": op11_topk.op11_topk,
 }
 ORACLES: dict[str, str] = {
     "op4_minhash": op4_minhash.ORACLE,
     "op5_chat": op5_chat.ORACLE,
     "op8_lines": op8_lines.ORACLE,
+    "op11_topk": op11_topk.ORACLE,
 }
