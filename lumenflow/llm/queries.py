@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenflow.llm import op4_minhash, op5_chat, op8_lines, op11_topk, op12_resampling
+from lumenflow.llm import op4_minhash, op5_chat, op8_lines, op11_topk, op12_resampling, op13_trie
 from lumenflow.llm.op1_language import op1_language
 from lumenflow.llm.op2_urls import op2_urls
 from lumenflow.llm.op3_wavelet import op3_wavelet
@@ -24,6 +24,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_topk": op11_topk.op11_topk,
     "op12_resampling": op12_resampling.op12_resampling,
+    "op13_trie": op13_trie.op13_trie,
 }
 ORACLES: dict[str, str] = {
     "op4_minhash": op4_minhash.ORACLE,
@@ -31,4 +32,5 @@ ORACLES: dict[str, str] = {
     "op8_lines": op8_lines.ORACLE,
     "op11_topk": op11_topk.ORACLE,
     "op12_resampling": op12_resampling.ORACLE,
+    "op13_trie": op13_trie.ORACLE,
 }
