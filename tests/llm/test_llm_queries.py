@@ -15,7 +15,7 @@ NAMED = {1: "documents", 2: "pages", 3: "documents", 4: "documents", 6: "documen
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_rows_of_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings", "benchmark", "pages"):
         db.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     want = db.execute(ORACLES[name]).df()
     got = QUERIES[name](spark, DATA).toPandas()
