@@ -35,8 +35,8 @@ def cosine(a, b, eps: float = 1e-8) -> Column:
 
 
 def concat_space(e, c) -> Column:
-    """Both parts normalised, joined, and normalised: its cosine is the mean of the parts' cosines."""
-    return F.transform(F.concat(normalised(e), normalised(c)), lambda x: x / F.sqrt(F.lit(2.0)))
+    """Both parts normalised, joined, and normalised: its cosine is the mean of the parts' cosines, or the other part's where one is zero."""
+    return normalised(F.concat(normalised(e), normalised(c)))
 
 
 def minus(a, b) -> Column:

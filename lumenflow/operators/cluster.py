@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from lumenflow.functions.vectors import centroids, dot
 from lumenflow.operators.aggregate import window_pairs
 from lumenflow.operators.components import connected_components
+from lumenflow.operators.linkage import LOCAL, _labels, average_parts, cut_groups, ward_linkage, ward_parts
 from lumenflow.operators.windows import BY, ORDER, partition_order, time_segments
-
-#: Distances of a group are held as one matrix up to this size; beyond it they are worked out from the clusters' means.
-MATRIX_BYTES = 1 << 28
+from lumenflow.plans.tables import durable
 
 
 def burst_edges(df: DataFrame, threshold: float, window: int = 8, vector: str = "embedding", time: str = "taken_at") -> DataFrame:
@@ -113,128 +112,43 @@ def untimed_assigned(df: DataFrame, unit: str = "unit", time: str = "taken_at",
     return timed.select(by, "photo_id", unit).unionByName(found)
 
 
-class _Matrix:
-    """Distances of all clusters as one matrix, updated in place by a rule of the linkage."""
-
-    def __init__(self, distance: np.ndarray, update):
-        self.d, self.update, self.size = distance, update, np.ones(len(distance))
-        np.fill_diagonal(self.d, np.inf)
-
-    def row(self, x: int) -> np.ndarray:
-        return self.d[x]
-
-    def join(self, a: int, b: int) -> None:
-        new = self.update(self.d[a], self.d[b], self.d[a, b], self.size[a], self.size[b], self.size)
-        self.d[a], self.d[:, a] = new, new
-        self.d[a, a] = np.inf
-        self.d[b], self.d[:, b] = np.inf, np.inf
-        self.size[a] += self.size[b]
-
-
-class _Means:
-    """Distances from the clusters' means and sizes alone: memory in proportion to the vectors, for groups of any size."""
-
-    def __init__(self, vectors: np.ndarray, distance):
-        self.mean, self.distance, self.size = vectors.copy(), distance, np.ones(len(vectors))
-        self.gone = np.zeros(len(vectors), dtype=bool)
-
-    def row(self, x: int) -> np.ndarray:
-        out = self.distance(self.mean, self.mean[x], self.size, self.size[x])
-        out[self.gone] = np.inf
-        out[x] = np.inf
-        return out
-
-    def join(self, a: int, b: int) -> None:
-        n = self.size[a] + self.size[b]
-        self.mean[a] = (self.size[a] * self.mean[a] + self.size[b] * self.mean[b]) / n
-        self.size[a], self.gone[b] = n, True
-
-
-def _merges(clusters: _Matrix | _Means, n: int) -> list[tuple[int, int, float]]:
-    """Agglomerates by nearest-neighbour chains: (slot kept, slot gone, height), by height."""
-    alive, chain, out = np.ones(n, dtype=bool), [], []
-    while len(out) < n - 1:
-        if not chain:
-            chain = [int(np.argmax(alive))]
-        while True:
-            row = clusters.row(chain[-1])
-            y = int(np.argmin(row))
-            if len(chain) > 1 and row[chain[-2]] <= row[y]:
-                y = chain[-2]
-                break
-            chain.append(y)
-        a, b = sorted((chain[-1], y))
-        chain = chain[:-2]
-        out.append((a, b, float(row[y])))
-        clusters.join(a, b)
-        alive[b] = False
-    return sorted(out, key=lambda m: m[2])
-
-
-def _labels(n: int, merges: list[tuple[int, int, float]]) -> np.ndarray:
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for a, b, _ in merges:
-        x, y = root(a), root(b)
-        parent[max(x, y)] = min(x, y)
-    first: dict[int, int] = {}
-    return np.array([first.setdefault(root(i), len(first)) for i in range(n)])
-
-
-def average_linkage(vectors: np.ndarray, matrix_bytes: int = MATRIX_BYTES) -> list[tuple[int, int, float]]:
-    """Average-linkage merges over 1 - cosine, by height. The mean of 1 - a.b over two clusters is 1 less the product of their means."""
-    x = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-8)
-    if 8 * len(x) ** 2 > matrix_bytes:
-        return _merges(_Means(x, lambda means, own, _, __: np.clip(1 - means @ own, 0, 2)), len(x))
-    mean = lambda da, db, _, na, nb, __: (na * da + nb * db) / (na + nb)
-    return _merges(_Matrix(np.clip(1 - x @ x.T, 0, 2), mean), len(x))
-
-
-def ward_linkage(vectors: np.ndarray, matrix_bytes: int = MATRIX_BYTES) -> list[tuple[int, int, float]]:
-    """Ward merges over Euclidean distance, by height."""
-    if 8 * len(vectors) ** 2 > matrix_bytes:
-        return _merges(_Means(vectors, lambda means, own, size, n: np.sqrt(2 * size * n / (size + n) * ((means - own) ** 2).sum(axis=1))), len(vectors))
-    s = (vectors**2).sum(axis=1)
-    d = np.sqrt(np.maximum(s[:, None] + s[None, :] - 2 * vectors @ vectors.T, 0))
-
-    def update(da, db, dab, na, nb, size):
-        with np.errstate(invalid="ignore"):
-            return np.sqrt(np.maximum(((na + size) * da**2 + (nb + size) * db**2 - size * dab**2) / (na + nb + size), 0))
-
-    return _merges(_Matrix(d, update), len(vectors))
-
-
-def cut_groups(vectors: np.ndarray, distance: float = 0.2, share: float = 0.35, raise_cap: float = 0.15) -> np.ndarray:
-    """Groups at the first of the distances ``distance``, + 0.05, … + ``raise_cap`` that leaves at most max(1, share * n) of them, else at the last."""
-    merges = average_linkage(vectors)
-    cuts = np.round(distance + 0.05 * np.arange(round(raise_cap / 0.05) + 1), 2)
-    done = np.searchsorted([height for *_, height in merges], cuts, side="right")  # merges under each cut
-    few = np.flatnonzero(len(vectors) - done <= max(1, len(vectors) * share))
-    return _labels(len(vectors), merges[: done[few[0] if len(few) else -1]])
-
-
-def detail_groups(df: DataFrame, concept: str = "concept", vector: str = "x", distance: float = 0.2, by: str = BY) -> DataFrame:
+def _divided(df: DataFrame, keys: list[str], keep, local: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of the groups of at most ``local`` photos, and those of the larger ones as items (grp, item, vector); None where there are none."""
+    large = keep(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > local).select(*keys), "large")
+    if large.isEmpty():
+        return df, None
+    grp = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
+    return df.join(F.broadcast(large), keys, "left_anti"), df.join(F.broadcast(large), keys, "left_semi").withColumn("grp", grp)  # a row for so many photos at least
+
+
+def detail_groups(df: DataFrame, concept: str = "concept", vector: str = "x", distance: float = 0.2, by: str = BY, keep=durable, local: int = LOCAL) -> DataFrame:
     """embed_group_id over the gallery: groups of each concept, concepts in order, groups by first photo.
 
-    A concept of one gallery is clustered by one task, with memory in proportion to its photos.
+    A concept of at most ``local`` photos of one gallery is clustered by one task,
+    a larger one in rounds over tables.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ORDER)
         return pdf.drop(columns=[vector]).assign(local=cut_groups(np.stack(pdf[vector].to_numpy()), distance))
 
-    local = df.select(by, concept, *ORDER, vector).groupBy(by, concept).applyInPandas(one, f"{by} long, {concept} long, display_order long, photo_id long, local long")
-    return local.withColumn("embed_group_id", F.dense_rank().over(Window.partitionBy(by).orderBy(concept, "local")) - 1).drop("local")
+    few, many = _divided(df.select(by, concept, *ORDER, vector), [by, concept], keep, local)
+    out = few.groupBy(by, concept).applyInPandas(one, f"{by} long, {concept} long, display_order long, photo_id long, local long")
+    if many is not None:
+        parts = average_parts(many.select("grp", F.col("photo_id").alias("item"), F.col(vector).alias("vector")), keep, distance, local=local)
+        rows = keep(many.select(by, concept, *ORDER).join(parts.select(F.col("item").alias("photo_id"), "part"), "photo_id"), "parts")
+        first = rows.groupBy(by, concept, "part").agg(F.min(F.struct(*ORDER)).alias("_f"))
+        first = first.withColumn("local", F.row_number().over(Window.partitionBy(by, concept).orderBy("_f")).cast("long") - 1).drop("_f")
+        out = out.unionByName(rows.join(first, [by, concept, "part"]).select(by, concept, *ORDER, "local"))
+    return out.withColumn("embed_group_id", F.dense_rank().over(Window.partitionBy(by).orderBy(concept, "local")) - 1).drop("local")
 
 
-def visual_units(df: DataFrame, k: int = 36, vector: str = "embedding", by: str = BY) -> DataFrame:
-    """unit of each photo by Ward clustering into min(k, n), the largest unit first; a gallery is clustered by one task."""
+def visual_units(df: DataFrame, k: int = 36, vector: str = "embedding", by: str = BY, keep=durable, local: int = LOCAL) -> DataFrame:
+    """unit of each photo by Ward clustering into min(k, n), the largest unit first.
+
+    A gallery of at most ``local`` photos is clustered by one task, a larger one
+    in rounds over tables.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ORDER)
@@ -245,7 +159,15 @@ def visual_units(df: DataFrame, k: int = 36, vector: str = "embedding", by: str
         rank[np.lexsort((np.arange(len(sizes)), -sizes))] = np.arange(len(sizes))
         return pd.DataFrame({by: pdf[by], "photo_id": pdf["photo_id"], "unit": rank[labels]})
 
-    return df.select(by, *ORDER, vector).groupBy(by).applyInPandas(one, f"{by} long, photo_id long, unit long")
+    few, many = _divided(df.select(by, *ORDER, vector), [by], keep, local)
+    out = few.groupBy(by).applyInPandas(one, f"{by} long, photo_id long, unit long")
+    if many is not None:
+        parts = ward_parts(many.select("grp", F.col("photo_id").alias("item"), F.col(vector).alias("vector")), keep, k, local=local)
+        rows = keep(many.select(by, *ORDER).join(parts.select(F.col("item").alias("photo_id"), "part"), "photo_id"), "parts")
+        sizes = rows.groupBy(by, "part").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*ORDER)).alias("_f"))  # k rows for each gallery
+        ranked = sizes.select(by, "part", (F.row_number().over(Window.partitionBy(by).orderBy(F.desc("_n"), "_f")).cast("long") - 1).alias("unit"))
+        out = out.unionByName(rows.join(F.broadcast(ranked), [by, "part"]).select(by, "photo_id", "unit"))
+    return out
 
 
 def members_by_closeness(df: DataFrame, unit: str = "unit", vector: str = "embedding", by: str = BY) -> DataFrame:
@@ -286,7 +208,7 @@ def propagated_names(groups: DataFrame, named: DataFrame, by: str = BY) -> DataF
     return out.select(by, "concept", "group_id", F.when(F.col("_n") == 1, "전체").otherwise(F.coalesce("detail", "_near")).alias("detail"), F.when((F.col("_n") == 1) | F.col("detail").isNotNull(), "vlm").otherwise("nearest").alias("assigned_by"), F.when((F.col("_n") == 1) | F.col("detail").isNotNull(), 1.0).otherwise(F.round(F.greatest(F.lit(0.0), F.col("_sim")), 3)).alias("confidence"))
 
 
-def segmented(df: DataFrame, gap_seconds: float = 300, share: float = 0.005, cap: int = 40, k: int = 36, coverage: float = 0.9) -> DataFrame:
+def segmented(df: DataFrame, gap_seconds: float = 300, share: float = 0.005, cap: int = 40, k: int = 36, coverage: float = 0.9, keep=durable) -> DataFrame:
     """mode, segment and unit of each photo of all galleries (with burst_id, taken_at, embedding), bursts whole.
 
     Where most photos have a time, units are stretches of time without a long
@@ -299,7 +221,7 @@ def segmented(df: DataFrame, gap_seconds: float = 300, share: float = 0.005, cap
     table = timed.groupBy(BY, "segment").agg(F.count(F.lit(1)).alias("size"), F.max(F.when(F.col("gap_s") > gap_seconds, F.col("gap_s"))).alias("gap_s"), F.first("_photos").alias("n"))
     placed = timed.join(absorbed_segments(table, share, cap), [BY, "segment"]).select(BY, "photo_id", "segment", "unit")
     known = by_time.select(BY, "photo_id", "embedding", "taken_at").join(placed, [BY, "photo_id"], "left")
-    units = untimed_assigned(known).unionByName(visual_units(df.filter("mode = 'visual'"), min(k, cap)))
+    units = untimed_assigned(known).unionByName(visual_units(df.filter("mode = 'visual'"), min(k, cap), keep=keep))
     rows = df.drop("_photos").join(placed.select(BY, "photo_id", "segment"), [BY, "photo_id"], "left").join(units, [BY, "photo_id"])
     return bursts_whole(rows)
 
@@ -310,7 +232,7 @@ def grouped_gallery(df: DataFrame, keep, threshold: float, gap_seconds: float =
     ``df`` has the photo columns, embedding and x (the joint vector). ``namer``
     maps (gallery, unit) to a concept; without one, a unit is its own concept.
     """
-    units = keep(segmented(keep(bursts(keep(df, "gallery"), threshold, keep), "bursts"), gap_seconds), "units")
+    units = keep(segmented(keep(bursts(keep(df, "gallery"), threshold, keep), "bursts"), gap_seconds, keep=keep), "units")
     concepts = units.select(BY, "unit").distinct()
     units = units.join(concepts.withColumn("concept", F.col("unit")) if namer is None else namer(concepts), [BY, "unit"])
-    return units.join(detail_groups(units).select("photo_id", "embed_group_id"), "photo_id")
+    return units.join(detail_groups(units, keep=keep).select("photo_id", "embed_group_id"), "photo_id")
