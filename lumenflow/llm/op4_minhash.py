@@ -91,20 +91,25 @@ def band_keys(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(keys ^ seeds(bands, 6)[None, :])
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, key, text: rows of one doc_id with different texts have different keys."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text")
+
+
 def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, h1 and h2 (128 bits that name the set), bands (bucket keys; null for an empty set)."""
+    """doc_id, key (a hash of doc_id and text), n_shingles, h1 and h2 (128 bits that name the set), bands (bucket keys)."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for a, b, data, offsets in blocks(batch.column(1)):
+        for a, b, data, offsets in blocks(batch.column(2)):
             sets = shingle_sets(data, offsets, WORDS)
             n = np.array([len(s) for s in sets], dtype=np.int64)
             keys = band_keys(sketch(sets, bands * rows), bands, rows).view(np.int64)
             h1 = np.array([mix(s).sum(dtype=_U) for s in sets], dtype=_U).view(np.int64)
             h2 = np.array([mix(s ^ seeds(1, 7)[0]).sum(dtype=_U) for s in sets], dtype=_U).view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(h1), pa.array(h2), lists], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(h1), pa.array(h2), lists], names=["doc_id", "key", "n_shingles", "h1", "h2", "bands"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return map_batches(keyed(docs), work, "doc_id long, key long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
 def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -222,12 +227,13 @@ def unresolved_pairs(texts: DataFrame, parts: DataFrame, scratch: Scratch) -> Da
 
 
 def candidate_links(classes: DataFrame, docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """Verified links (u, v) of the classes (class_id, n_shingles, bands)."""
+    """Verified links (u, v) of the classes (class_id, doc_id and key of one of its rows, bands)."""
     rows = classes.select("class_id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = scratch.stored(rows.join(shared, "key"), "members")
     weights = scratch.stored(members.groupBy("class_id").agg(F.sum("size").alias("weight")), "weights")
-    texts = scratch.stored(docs.select(F.col("doc_id").cast("long").alias("class_id"), "text").join(weights.select("class_id"), "class_id", "left_semi"), "texts")
+    named = classes.select("class_id", "doc_id", "key").join(weights.select("class_id"), "class_id", "left_semi")
+    texts = scratch.stored(keyed(docs).join(named, ["doc_id", "key"]).select("class_id", "text"), "texts")
     active = members.select("key", "class_id").join(weights, "class_id")
     tested = []
     for _ in range(rounds):
@@ -249,29 +255,45 @@ def candidate_links(classes: DataFrame, docs: DataFrame, scratch: Scratch, round
     return links.unionByName(more.filter("linked").select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``.
+def classified(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, key, n_shingles, component (a number), component_id, first: one row for each row of ``docs``.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; fewer
-    than five make one shingle. A null, empty or blank text has no shingle and is
-    its own component. Rows that repeat fall into one component and are named by
-    their doc_id alike; rows of one doc_id with different texts each have the
-    component of their text. A null doc_id is linked with nothing. Other columns
-    are ignored; an empty table gives no rows.
+    A class is a set of shingles, and has a number of its own; so rows that share
+    a doc_id but not a set are of different classes, and only links bring them
+    together. ``component_id`` is the least doc_id of a component, and ``first``
+    is true for one doc_id and text of it (rows that repeat are all first).
+    Rows without shingles or doc_id are their own component (``component`` null).
     """
     kept, scratch = Scratch(docs.sparkSession, "op4"), Scratch(docs.sparkSession, "op4-work")
     every = kept.stored(sketched(docs, bands, rows), "sketches")
     full = every.filter("n_shingles > 0 and doc_id is not null")
     # equal sets have equal sizes and buckets
-    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    classes = kept.stored(classes.select("class_id", "n_shingles", "bands", "h1", "h2"), "classes")
+    classes = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.first("bands").alias("bands"))
+    classes = kept.stored(classes.select(F.monotonically_increasing_id().alias("class_id"), "least.doc_id", "least.key", "bands", "h1", "h2"), "classes")
     links = scratch.stored(candidate_links(classes, docs, scratch), "all-links")
     found = kept.stored(connected_components(links, scratch.stored), "components").withColumnRenamed("node", "class_id")
     scratch.drop()
-    components = classes.select("h1", "h2", "class_id").join(found, "class_id", "left").select("h1", "h2", F.coalesce("component", "class_id").alias("component_id"))
-    linked = full.select("doc_id", "n_shingles", "h1", "h2").join(components, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
-    alone = every.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    placed = classes.select("h1", "h2", "class_id", "doc_id", "key").join(found, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    least = placed.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("least"))
+    components = placed.join(least, "component").select("h1", "h2", "component", "least")
+    linked = full.select("doc_id", "key", "n_shingles", "h1", "h2").join(components, ["h1", "h2"])
+    linked = linked.select("doc_id", "key", "n_shingles", "component", F.col("least.doc_id").alias("component_id"), (F.struct("doc_id", "key") == F.col("least")).alias("first"))
+    alone = every.filter("n_shingles = 0 or doc_id is null")
+    return linked.unionByName(alone.select("doc_id", "key", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"), F.lit(True).alias("first")))
+
+
+def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; fewer
+    than five make one shingle. A null, empty or blank text has no shingle and is
+    its own component. Rows that repeat fall into one component and are named by
+    their doc_id alike; rows of one doc_id with different texts each have the
+    component of their text (whose least doc_id may be the same). A null doc_id is
+    linked with nothing. Other columns are ignored; an empty table gives no rows.
+    """
+    out = classified(docs, bands, rows)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,13 +35,13 @@ def stripped(line: Column) -> Column:
 
 
 def spread_lines(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES, counted: DataFrame | None = None) -> DataFrame:
-    """Hashes of the lines that at least ``min_sites`` sources carry, in the documents that are ``counted`` (doc_id), or have no doc_id."""
-    ids = [] if counted is None else ["doc_id"]
+    """Hashes of the lines that at least ``min_sites`` sources carry, in the rows that are ``counted`` (key: a hash of doc_id and text), or have no doc_id."""
+    ids = [] if counted is None else ["doc_id", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key")]
     lines = docs.filter("source is not null").select(*ids, "source", F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.filter(stripped(F.col("line")) != "").select(*ids, F.xxhash64(stripped(F.col("line"))).alias("h"), F.xxhash64("source").alias("site"))
-    if counted is not None:  # hashes are shuffled by doc_id, never texts
-        own = lines.join(counted.hint("merge"), "doc_id", "left_semi")
-        lines = scratch.stored(own.unionByName(lines.filter("doc_id is null")).select("h", "site"), "lines")
+    lines = lines.filter(stripped(F.col("line")) != "").select(*(["doc_id", "key"] if ids else []), F.xxhash64(stripped(F.col("line"))).alias("h"), F.xxhash64("source").alias("site"))
+    if counted is not None:  # hashes are shuffled by key, never texts
+        own = lines.join(counted.hint("merge"), "key", "left_semi").filter("doc_id is not null").drop("key", "doc_id")
+        lines = scratch.stored(own.unionByName(lines.filter("doc_id is null").select("h", "site")), "lines")
     margin = max(2.0, NEAR * min_sites)
     sketches = lines.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(LOG_SIZE)).alias("sketch"))
     rough = sketches.select("h", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= min_sites - margin)
@@ -54,8 +54,9 @@ def spread_lines(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES,
 def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, counted: DataFrame | None = None) -> DataFrame:
     """row (the row of ``docs``, a struct), text without the lines, n_lines, n_removed.
 
-    Sites are counted over the documents in ``counted`` (doc_id; all of ``docs``
-    where None): one of each class of near copies makes a copied page one site.
+    Sites are counted over the rows in ``counted`` (key, a hash of doc_id and
+    text; all of ``docs`` where None): one of each class of near copies makes a
+    copied page one site.
     """
     kept, scratch = Scratch(docs.sparkSession, "op8"), Scratch(docs.sparkSession, "op8-work")
     spread = kept.stored(spread_lines(docs, scratch, min_sites, counted), "spread")
