@@ -257,6 +257,26 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_where_a_doc_id_has_several_texts(spark):
+    rng = random.Random(31)
+    base, other = prose(rng, 60), prose(rng, 50)
+    rows = [(3, base), (5, other), (5, base + " x"), (7, base), (8, prose(rng, 40)), (3, base + " y"), (9, other), (8, None), (8, other + " z"), (2, prose(rng, 30)), (2, prose(rng, 30))]
+    sets = [set(zip(*[t.lower().split()[k:] for k in range(5)])) if t else set() for _, t in rows]
+    part = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            part = [part[i] if x == part[j] else x for x in part]
+    least = [min(rows[k][0] for k in range(len(rows)) if part[k] == p) for p in part]
+    want = sorted((i, len(s), c, i == c) for (i, _), s, c in zip(rows, sets, least))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, op4.near_duplicates(df).collect())) == want
+    groups = {}
+    for r in op4.classified(df).filter("component is not null").collect():
+        groups.setdefault(r.component, []).append(r)
+    assert sorted(len(g) for g in groups.values()) == sorted(part.count(p) for p in set(part) if sets[p])
+    assert all(sum(r.first for r in g) == 1 for g in groups.values())
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, empty):
     got = op4.near_duplicates(odd).collect()
     assert len(got) == odd.count()

@@ -80,3 +80,13 @@ def test_language_id_without_labels_keeps_lettered_texts(spark):
     rows = [(1, "some text", None), (2, "123 ...", None), (3, None, None), (4, "漢字", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, docs, DATA).collect()} == {1: None, 4: None}
+
+
+def test_near_dedup_keeps_other_texts_of_a_doc_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    base, other = " ".join(words), " ".join(f"o{k}" for k in range(40))
+    rows = [(3, base), (5, other), (5, base + " x"), (7, base), (3, base + " y"), (3, base), (6, None), (6, None), (None, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, DATA).collect()), key=str)
+    assert len(got) == 4 and (5, other) in got and (6, None) in got and (None, base) in got
+    assert sum(i == 3 and t.startswith(base) for i, t in got) == 1
