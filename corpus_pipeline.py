@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from lumenflow.llm.common import made, quoted, remove, stored, table
 from lumenflow.llm.op1_language import learn, predicted
-from lumenflow.llm.op4_minhash import near_duplicates
+from lumenflow.llm.op4_minhash import classified
 from lumenflow.llm.op7_packing import pack_documents
 from lumenflow.llm.op8_lines import cleaned
 from lumenflow.llm.op10_decontamination import contaminated
 
 ORACLE_SQL = None
+#: A name for a hash of doc_id and text that no table has.
+_KEY = "\x00key"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,16 +44,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     no boilerplate and a carrier is cleaned whatever the share of such lines. A
     text of nothing else stays whole.
     """
-    kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    kept = classified(docs).filter("first and doc_id is not null").select("key").distinct()
     out = cleaned(docs, counted=stored(kept, "line-classes"))
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("text")}
     return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the least doc_id; of repeated rows one."""
-    kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    stays = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group of near copies stays, the one with the least doc_id; of repeated rows one.
+
+    Rows of one doc_id with different texts are different documents.
+    """
+    kept = classified(docs).filter("first and doc_id is not null").select("key").distinct()
+    own = docs.withColumn(_KEY, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    stays = own.join(kept.withColumnRenamed("key", _KEY), _KEY, "left_semi").filter("doc_id is not null").dropDuplicates([_KEY])
     return stays.select(*map(quoted, docs.columns)).unionByName(docs.filter("doc_id is null"))
 
 
