@@ -57,7 +57,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     kept = classified(docs).filter("first and doc_id is not null").select("key").distinct()
     own = docs.withColumn(_KEY, F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    stays = own.join(kept.withColumnRenamed("key", _KEY), _KEY, "left_semi").filter("doc_id is not null").dropDuplicates([_KEY])
+    stays = own.join(kept.withColumnRenamed("key", _KEY), _KEY, "left_semi").filter("doc_id is not null").dropDuplicates([_KEY, "doc_id"])
     return stays.select(*map(quoted, docs.columns)).unionByName(docs.filter("doc_id is null"))
 
 
