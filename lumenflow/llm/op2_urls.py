@@ -3,13 +3,15 @@
 Up to ``INLINE_RULES`` rules (host, path) are compared as one expression, which
 costs no shuffle; more are joined by the suffixes of the distinct hosts. Where no
 rule fits, boosted trees decide by length, depth, digit ratio, entropy, parameter
-counts and statistics of the host's suffixes. They are trained from labelled
-URLs. The query takes the URLs that rules decide as its labelled ones, so what
-its trees can learn is the rules' own sites and languages.
+counts, lengths of path elements and statistics of the host's suffixes and of the
+first path element. They are trained from labelled URLs. The query takes the URLs
+that rules decide as its labelled ones, so what its trees can learn is the rules'
+own sites and first path elements.
 
-Suffix statistics count all labelled URLs. In training a URL sees those of the
-other four fifths only, so a site that occurs once doesn't carry its own label.
-The trees are fitted on distinct URLs, about ``TRAIN_ROWS`` / 2 of each label.
+Statistics count all labelled URLs. In training a URL sees those of the other four
+fifths only, so a site that occurs once doesn't carry its own label. The trees are
+fitted on distinct URLs, about ``TRAIN_ROWS`` / 2 of each label, and the two labels
+weigh the same, whatever their shares.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path
 and is judged by the trees; of rules of equal length that fit, ``block`` wins;
@@ -22,10 +24,11 @@ from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenflow.functions.vectors import bound
 from lumenflow.llm.common import lower_ascii, small, stored, table
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -34,7 +37,10 @@ INLINE_RULES = 200
 #: The trees learn from about so many distinct labelled URLs, chosen by a hash of the URL.
 TRAIN_ROWS = 20_000
 FOLDS = 5
-_FEATURES = ["length", "host_length", "labels", "depth", "digits", "entropy", "parameters", "query_length", "hyphens", "top_share", "top_block", "site_share", "site_block"]
+_FEATURES = ["length", "host_length", "labels", "depth", "digits", "entropy", "parameters", "query_length", "hyphens", "path_length", "first_length", "last_length", "last_digits"]
+#: What is counted over labelled URLs: top and second level of the host, and the first path element.
+_COUNTED = ["top", "site", "first"]
+_FEATURES += [f"{s}_{k}" for s in _COUNTED for k in ("share", "block")]
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -59,14 +65,20 @@ def _count(text: Column, sign: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
 
 
+def entropy(text: Column) -> Column:
+    """Bits for each sign: the signs are sorted once, and the runs of equal ones are their counts."""
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i == 0) | (i == F.size(s)) | ~F.get(s, i).eqNullSafe(F.get(s, i - 1)))
+    runs = lambda at: F.zip_with(F.slice(at, F.lit(2), F.size(at) - 1), F.slice(at, F.lit(1), F.size(at) - 1), lambda b, a: b - a)
+    bits = lambda s: F.aggregate(bound(starts(s), runs), F.lit(0.0), lambda t, n: t - n / F.size(s) * F.log2(n / F.size(s)))
+    return F.when(F.length(text) > 0, bound(F.array_sort(F.filter(F.split(text, ""), lambda c: c != "")), bits)).otherwise(0.0)
+
+
 def with_features(urls: DataFrame) -> DataFrame:
-    """Adds the lexical features of ``url`` (with host and path there already), but for the suffix statistics."""
+    """Adds the lexical features of ``url`` (with host and path there already), but for the statistics."""
     url = F.coalesce(F.col("url"), F.lit(""))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     size = F.greatest(F.length(url), F.lit(1)).cast("double")
-    signs = F.filter(F.array_distinct(F.split(url, "")), lambda c: c != "")
-    shares = F.transform(signs, lambda c: (F.length(url) - F.length(F.replace(url, c, F.lit("")))) / size)
-    entropy = F.aggregate(shares, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+    last = F.substring_index("path", "/", -1)
     return urls.withColumns(
         {
             "length": F.length(url).cast("double"),
@@ -74,14 +86,18 @@ def with_features(urls: DataFrame) -> DataFrame:
             "labels": _count(F.col("host"), ".").cast("double"),
             "depth": _count(F.col("path"), "/").cast("double"),
             "digits": F.length(F.regexp_replace(url, "[^0-9]", "")) / size,
-            "entropy": F.coalesce(entropy, F.lit(0.0)),
+            "entropy": entropy(url),
             "parameters": (_count(query, "&") + F.when(query == "", 0).otherwise(1)).cast("double"),
             "query_length": F.length(query).cast("double"),
             "hyphens": _count(F.col("host"), "-").cast("double"),
+            "path_length": F.length("path").cast("double"),
+            "first": F.split_part("path", F.lit("/"), F.lit(2)),
+            "last_length": F.length(last).cast("double"),
+            "last_digits": F.length(F.regexp_replace(last, "[^0-9]", "")).cast("double"),
             "top": F.substring_index("host", ".", -1),
             "site": F.substring_index("host", ".", -2),
         }
-    )
+    ).withColumn("first_length", F.length("first").cast("double"))
 
 
 def with_matches(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -148,12 +164,15 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> UrlModel:
     taken = F.lit(False)
     for label, n in sizes.items():
         taken = taken | ((F.col("label") == label) & (draw < int(min(1.0, rows / 2 / max(n, 1)) * (1 << 30))))
-    statistics = {s: stored(suffix_statistics(labelled, s), f"op2-{s}") for s in ("top", "site")}
+    statistics = {s: stored(suffix_statistics(labelled, s), f"op2-{s}") for s in _COUNTED}
     model = UrlModel(None, statistics, "allow")
     sample = stored(labelled.filter(taken).dropDuplicates(["url", "label"]), "op2-sample")
-    features = VectorAssembler(inputCols=_FEATURES, outputCol="features").transform(model.joined(sample, out_of_fold=True)).select("features", "label").coalesce(4).cache()
-    model.model = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, seed=7).fit(features)
-    features.unpersist()
+    features = VectorAssembler(inputCols=_FEATURES, outputCol="features").transform(model.joined(sample, out_of_fold=True))
+    counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weight = F.when(F.col("label") == 1.0, sum(counts.values()) / (2.0 * max(1, counts.get(1.0, 0)))).otherwise(sum(counts.values()) / (2.0 * max(1, counts.get(0.0, 0))))
+    fitted = stored(features.select(vector_to_array("features").alias("x"), "label", weight.alias("weight")), "op2-features")
+    fitted = fitted.select(array_to_vector("x").alias("features"), "label", "weight").coalesce(4)
+    model.model = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, seed=7, weightCol="weight").fit(fitted)
     return model
 
 

@@ -74,8 +74,9 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, formatted, attachments (turn_no, kind, number, ref, tokens), attachment_tokens, of turns (conv_id, turn, role, parts or text)."""
     parts = F.col("parts") if "parts" in turns.columns else text_part(F.col("text"))
     content, attachments = visited(parts)
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), content.alias("content"), attachments.alias("attachments"))
-    line = F.struct("turn", "role", "content", "attachments")
+    raw = F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "")  # ties are ordered by it; an escaped text may come elsewhere
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(raw, F.lit("")).alias("raw"), content.alias("content"), attachments.alias("attachments"))
+    line = F.struct("turn", "role", "raw", "content", "attachments")
     one = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(line)).alias("t"))
     formatted = F.array_join(F.transform("t", lambda x: F.concat(F.lit(ROLE), escaped(x["role"]), F.lit(TEXT), x["content"], F.lit(END))), "")
     refs = F.flatten(F.transform("t", lambda x, i: F.transform(x["attachments"], lambda a: F.struct(i.alias("turn_no"), a["kind"].alias("kind"), a["number"].alias("number"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))))
