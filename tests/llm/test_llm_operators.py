@@ -612,3 +612,36 @@ def test_urls_of_unseen_sites(spark):
     pages = spark.createDataFrame([(i, url(i)) for i in range(1000, 1400)], "page_id long, url string")
     got = op2.filter_urls(pages, [("block", "nowhere.test/")], labelled).collect()
     assert sum((r.verdict == "block") == bool(r.page_id % 2) for r in got) > 380
+
+
+def test_entropy_of_long_urls(spark):
+    import time
+
+    rng = random.Random(41)
+    urls = ["", "aaaa", "abab", "http://x.test/ü漢ü?q=1&r=%20", "https://long.test/" + "".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(200_000)), "https://long.test/" + "ab/" * 350_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    began = time.monotonic()
+    got = {r.page_id: r.e for r in df.select("page_id", op2.entropy(F.col("url")).alias("e")).collect()}
+    assert time.monotonic() - began < 60
+    for k, u in enumerate(urls):
+        n = np.unique(list(u), return_counts=True)[1] / max(1, len(u)) if u else np.array([])
+        assert np.isclose(got[k], -(n * np.log2(n)).sum() if len(n) else 0.0)
+
+
+def test_urls_are_learned_by_their_first_path_element(spark):
+    """Sites that occur once; the label hangs on the first element, allow is rare."""
+    rng = random.Random(42)
+    rows = []
+    for k in range(1500):
+        bad = rng.random() < 0.8
+        rows.append((k, f"https://s{k}.test/{rng.choice(['win', 'bet', 'xx']) if bad else rng.choice(['docs', 'news'])}/{rng.randrange(999)}", 1.0 if bad else 0.0))
+    df = spark.createDataFrame(rows, "page_id long, url string, label double")
+    got = op2.filter_urls(df.filter("page_id >= 1000"), [("block", "nowhere.test/")], df.filter("page_id < 1000").select("url", "label"))
+    judged = {r.page_id: r.verdict for r in got.collect()}
+    assert all((judged[k] == "block") == (label == 1.0) for k, _, label in rows[1000:])
+
+
+def test_chat_ties_are_ordered_by_the_raw_text(spark):
+    rows = [(1, 0, "user", "<|b"), (1, 0, "user", "<ab"), (1, 0, "user", "\\z"), (1, 0, "user", "[z"), (1, 0, "assistant", None)]
+    got = op5.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select(op5.read_turns(F.col("formatted")).alias("t")).first().t
+    assert [(x.role, x.text) for x in got] == sorted((r, t or "") for _, _, r, t in rows)
