@@ -41,11 +41,14 @@ def block_paths(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
 def tree_markdown(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, markdown) of block rows as ``documents.markdown`` takes them, of trees of any depth.
 
-    Tables are not rendered here: their rows come as ordinary children. A
-    document's lines meet in its one output row.
+    A block that is listed more than once is shown wherever it is reached, with
+    the content of its least position. Tables are not rendered here: their rows
+    come as ordinary children. A document's lines meet in its one output row.
     """
-    b = numbered(blocks)
-    lines = block_paths(blocks, depth).join(b.withColumn("block_id", F.col("block_id").cast("string")).dropDuplicates(["doc_id", "block_id"]), ["doc_id", "block_id"])
+    b = numbered(blocks).withColumn("block_id", F.col("block_id").cast("string"))
+    row = F.struct(*[c for c in b.columns if c not in ("doc_id", "block_id")])
+    own = b.groupBy("doc_id", "block_id").agg(F.min_by(row, "pos").alias("_b")).select("doc_id", "block_id", "_b.*")
+    lines = block_paths(blocks, depth).join(own, ["doc_id", "block_id"])
     lines = lines.select("doc_id", "path", block_line(F.col("depth")).alias("line")).filter("line is not null")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "line"))), lambda s: s["line"]), "\n")
     return lines.groupBy("doc_id").agg(joined.alias("markdown"))

@@ -438,3 +438,18 @@ def f2(spark, sf):
     return set_percentiles(photos(spark, sf), names).select("photo_id", "gallery_id", *[F.round(c, 6).alias(c) for c in names.values()])
 
 
+
+
+@query("c3_c6_without_recent_orders", "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 4 = 0) AND EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey AND n_regionkey <> 2)")
+def c36_recent(spark, sf):
+    nations = read(spark, sf, "nation").filter("n_regionkey <> 2").select(F.col("n_nationkey").alias("c_nationkey"))
+    recent = read(spark, sf, "orders").filter("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    return read(spark, sf, "customer").join(recent, "c_custkey", "left_anti").join(nations, "c_nationkey", "left_semi").select("c_custkey", "c_mktsegment")
+
+
+@query("c4_closed_galleries", TABLES_SQL + "SELECT gallery_id FROM ga WHERE deleted_at IS NULL AND EXISTS (SELECT 1 FROM photos WHERE photos.gallery_id = ga.gallery_id AND selected AND photo_id % 5 = 0) AND EXISTS (SELECT 1 FROM an JOIN ph USING (photo_id) WHERE ph.gallery_id = ga.gallery_id AND has_embedding AND pipeline_version = 'v1')")
+def c4(spark, sf):
+    t = tables(spark, sf)
+    chosen = photos(spark, sf).filter("selected and photo_id % 5 = 0").select("gallery_id")
+    analysed = t["analysis"].filter("has_embedding and pipeline_version = 'v1'").join(t["photos"].select("photo_id", "gallery_id"), "photo_id").select("gallery_id")
+    return t["galleries"].filter("deleted_at is null").join(chosen, "gallery_id", "left_semi").join(analysed, "gallery_id", "left_semi").select("gallery_id")

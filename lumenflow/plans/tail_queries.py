@@ -196,3 +196,43 @@ def a17(spark, sf):
     rows = read(spark, sf, "events").select((F.col("user_id") % 10).alias("gallery_id"), F.col("event_id").alias("photo_id"), F.col("event_id").alias("display_order"), F.concat(F.lit("k"), "event_id").alias("storage_key"), F.concat(F.lit("p"), "event_id").alias("preview_key"), F.lit("AACAPw==").alias("vector"), F.lit("m").alias("embedding_model"))
     sent = scan.message_rows(result_messages(rows).withColumn("error", scan.message_error("body", 1)).filter("error is null"))
     return sent.groupBy("gallery_id", "chunk").agg(F.count_distinct("photo_id").alias("n")).groupBy("gallery_id").agg(F.count(F.lit(1)).alias("messages"), F.sum("n").alias("photos"), F.max("n").alias("largest"))
+
+
+def line_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of each document as a block tree: a line's parent is halfway up; some parents are missing, and the root is also inside line 3."""
+    lines = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    kind = F.when(F.col("pos") % 5 == 0, "heading_2").when(F.col("pos") % 5 == 3, "quote").when(F.col("pos") % 5 == 4, "bulleted_list_item").otherwise("numbered_list_item")
+    parent = F.when(F.col("pos") == 0, None).when(F.col("pos") % 11 == 10, -1).otherwise(F.floor((F.col("pos") - 1) / 2)).cast("string")
+    none = F.lit(None).cast("string")
+    blocks = lines.select("doc_id", F.col("pos").cast("string").alias("block_id"), parent.alias("parent_id"), "pos", kind.alias("type"), "text", F.lit(False).alias("checked"), none.alias("language"), none.alias("title"), none.alias("url"), F.lit(None).cast("array<string>").alias("cells"))
+    ring = blocks.filter("pos = 3").withColumns({"block_id": F.lit("0"), "parent_id": F.lit("3"), "pos": F.lit(100_000), "type": F.lit("heading_2"), "text": F.lit("again")})
+    return blocks.unionByName(ring)
+
+
+TREE_SQL = """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+e AS (SELECT doc_id, k AS block, CASE WHEN k = 0 THEN NULL WHEN k % 11 = 10 THEN -1 ELSE (k - 1) // 2 END AS parent, k AS pos, line,
+    CASE k % 5 WHEN 0 THEN 'heading_2' WHEN 3 THEN 'quote' WHEN 4 THEN 'bulleted_list_item' ELSE 'numbered_list_item' END AS type FROM l
+  UNION ALL SELECT doc_id, 0, 3, 100000, 'again', 'heading_2' FROM l WHERE k = 3),
+r AS (SELECT *, sum((type <> 'numbered_list_item')::INT) OVER (PARTITION BY doc_id, parent ORDER BY pos) AS run FROM e),
+n AS (SELECT *, sum((type = 'numbered_list_item')::INT) OVER (PARTITION BY doc_id, parent, run ORDER BY pos) AS number FROM r),
+w AS (SELECT doc_id, block, lpad(pos::VARCHAR, 8, '0') AS path, [block] AS seen, 0 AS depth FROM e WHERE parent IS NULL
+  UNION ALL SELECT e.doc_id, e.block, w.path || '/' || lpad(e.pos::VARCHAR, 8, '0'), list_append(w.seen, e.block), w.depth + 1
+  FROM w JOIN e ON e.doc_id = w.doc_id AND e.parent = w.block WHERE NOT list_contains(w.seen, e.block))
+"""
+
+
+@query("a21_l1_tree_markdown", TREE_SQL + """SELECT w.doc_id, string_agg(repeat('  ', depth) || CASE n.type WHEN 'heading_2' THEN '## ' || line WHEN 'quote' THEN '> ' || line WHEN 'bulleted_list_item' THEN '- ' || line ELSE number::BIGINT || '. ' || line END, chr(10) ORDER BY path) AS markdown
+FROM w JOIN n ON n.doc_id = w.doc_id AND n.block = w.block AND n.pos < 100000 GROUP BY 1""")
+def a21(spark, sf):
+    from lumenflow.functions.trees import tree_markdown
+
+    return tree_markdown(line_tree(spark, sf))
+
+
+@query("o_flatten_tree", TREE_SQL + "SELECT doc_id, block::VARCHAR AS block_id, depth, path FROM w")
+def o_flatten(spark, sf):
+    from lumenflow.functions import trees
+
+    trees.register(spark)
+    tree = line_tree(spark, sf).select("doc_id", "block_id", "parent_id", "pos")
+    return spark.sql("SELECT * FROM flatten_tree(TABLE(SELECT * FROM {tree}) PARTITION BY (doc_id), 'doc_id')", tree=tree)
