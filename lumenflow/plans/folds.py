@@ -24,7 +24,9 @@ from lumenflow.plans.preference import SCALARS, Preference, evaluate, prior, str
 from lumenflow.plans.tables import durable
 
 #: Steps at most; pairs of steps that BFGS remembers; the gradient at which a fold is done.
-STEPS, MEMORY, DONE = 500, 12, 1e-9
+STEPS, MEMORY, DONE = 500, 12, 1e-8
+#: Differences of losses that are rounding.
+NOISE = 1e-13
 
 
 def column_sums(rows: DataFrame, by: str = BY) -> dict:
@@ -108,8 +110,9 @@ class _Bfgs:
     def tell(self, at: np.ndarray, value: float, grad: np.ndarray) -> None:
         if self.grad is not None:
             slope = self.grad @ self.way
-            if value > self.value + 1e-4 * self.step * slope and self.step > 1e-10:
+            if value > self.value + 1e-4 * self.step * slope + NOISE:
                 self.step /= 2
+                self.done = self.step < 1e-10  # no lower loss can be told from here
                 return
             s, y = at - self.at, grad - self.grad
             if s @ y > 1e-16:
