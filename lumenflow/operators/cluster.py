@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lumenflow.functions.vectors import centroids, dot
 from lumenflow.operators.aggregate import window_pairs
 from lumenflow.operators.components import connected_components
-from lumenflow.operators.linkage import LOCAL, _labels, average_parts, cut_groups, ward_linkage, ward_parts
+from lumenflow.operators.linkage import LOCAL, _labels, average_linkage, average_parts, cut_groups, ward_linkage, ward_parts  # noqa: F401
 from lumenflow.operators.windows import BY, ORDER, partition_order, time_segments
 from lumenflow.plans.tables import durable
 
