@@ -21,7 +21,7 @@ def test_rows_of_sql(spark, name):
     got = QUERIES[name](spark, DATA).toPandas()
     cols = sorted(want.columns)
     assert cols == sorted(got.columns)
-    plain = lambda df: sorted(map(str, df[cols].astype(str).itertuples(index=False)))
+    plain = lambda df: sorted(map(str, df[cols].convert_dtypes().astype(str).itertuples(index=False)))
     assert plain(got) == plain(want)
 
 
