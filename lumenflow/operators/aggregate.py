@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenflow.functions.vectors import centroids, dot, normalised
+from lumenflow.operators.quantiles import exact_quantiles
 from lumenflow.operators.windows import BY, ORDER
 
 
@@ -35,8 +36,12 @@ def window_pairs(df: DataFrame, order: list, vector: str, window: int = 8, keys:
 
 
 def similarity_profile(pairs: DataFrame, by: str = BY, points: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)) -> DataFrame:
-    found = pairs.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.percentile("cosine", list(points)).alias("_p"))
-    return found.select(by, "n", *[F.get("_p", i).alias(f"p{round(100 * p)}") for i, p in enumerate(points)])
+    """n and the exact quantiles of the cosines of each gallery; no task holds a gallery's cosines.
+
+    Pairs without a finite cosine are no pairs here.
+    """
+    found = exact_quantiles(pairs, [by], "cosine", points)
+    return found.select(by, "n", *[F.get("quantiles", i).alias(f"p{round(100 * p)}") for i, p in enumerate(points)])
 
 
 def representatives(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
