@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import nullcontext
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumenflow.operators.merge import accepted, last_wins
 from lumenflow.operators.scan import message_error, message_rows
+from lumenflow.streaming.summaries import RunLog
 
 
 def message_stream(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
@@ -18,17 +20,21 @@ def message_stream(spark: SparkSession, path: str, files: int = 100) -> DataFram
     return spark.readStream.schema("message_id string, body string").option("maxFilesPerTrigger", files).json(path)
 
 
-def ingest(messages: DataFrame, photos: Callable[[], DataFrame], galleries: Callable[[], DataFrame], out: str, checkpoint: str, dim: int):
+def ingest(messages: DataFrame, photos: Callable[[], DataFrame], galleries: Callable[[], DataFrame], out: str, checkpoint: str, dim: int, log: RunLog | None = None):
     """Starts the ingest query: valid photos go to ``out``/vectors as one append, bad messages to ``out``/rejected.
 
     Rows carry batch_id and a sequence, so a reader takes the latest of each
     photo; a batch that is replayed overwrites its own folder, which makes
-    at-least-once delivery idempotent.
+    at-least-once delivery idempotent. ``log`` gets each batch's summary from the
+    same pass that writes the bad messages.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.withColumns({"error": message_error("body", dim), "seq": F.monotonically_increasing_id()}).persist()
-        batch.filter("error is not null").select("message_id", "body", "error").write.mode("overwrite").json(f"{out}/rejected/batch_id={batch_id}")
+        status = F.when(F.col("error").isNull(), "ok").otherwise("failed")
+        seen, end = log.batch(batch, "ingest", status, batch_id) if log else (batch, nullcontext())
+        with end:
+            seen.filter("error is not null").select("message_id", "body", "error").write.mode("overwrite").json(f"{out}/rejected/batch_id={batch_id}")
         rows = last_wins(message_rows(batch.filter("error is null").select("message_id", "seq", "body")), "photo_id", "seq")
         live = accepted(rows, photos(), galleries())
         live.drop("body").write.mode("overwrite").parquet(f"{out}/vectors/batch_id={batch_id}")
