@@ -12,9 +12,12 @@ IMAGE = r"(?i)\.(jpe?g|png|heic|webp|tiff?)$"
 
 
 def image_files(spark: SparkSession, root: str, jpg_only: bool = False, content: bool = False) -> DataFrame:
-    """(path, gallery, name[, content]) of images below a folder; gallery: the first two folders."""
+    """(path, gallery, name[, content]) of images below a folder (no pattern); gallery: the first two folders."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace("path", r"^.*?" + root.rstrip("/").split("/")[-1] + "/", "")
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = at.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri().getPath().strip("/")  # relative roots too
+    rel = F.regexp_replace("path", rf"^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/]*)?/*\Q{top}\E/+", "")
     parts = F.split(rel, "/")
     df = files.withColumns({"_rel": rel, "gallery": F.array_join(F.slice(parts, 1, F.least(F.lit(2), F.size(parts) - 1)), "/"), "name": F.element_at(parts, -1)})
     df = df.filter(F.col("path").rlike(r"(?i)\.jpe?g$" if jpg_only else IMAGE) & ~F.col("path").rlike(r"(?i)\.livephoto"))
