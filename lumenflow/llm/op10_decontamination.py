@@ -17,8 +17,10 @@
    with their item (match 1, mismatch and gap -1), which finds edited and
    paraphrased copies; the score is divided by the item's words.
 
-Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. Items
-under three words are never found.
+Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. An item
+of one or two words holds no pair that an edited copy must share, and half of it
+is no evidence; with ``short`` it is found where all its words stand in a row, by
+one more pass that runs if there are such items. An item without words is never found.
 
 Defined results: null and empty texts and items match nothing; rows that repeat,
 and items that repeat, are reported once; a null doc_id or item_id is never
@@ -40,7 +42,7 @@ from lumenflow.llm.common import Scratch, map_batches, small, table
 from lumenflow.llm.textops import blocks, shingle_hashes, span_hashes
 
 SEED_WORDS = 2
-#: Items of fewer words are never found.
+#: Items of fewer words are found as whole word sequences only.
 LEAST_WORDS = 3
 BITMAP_BITS = 28
 #: Windows of a document that one row carries.
@@ -108,8 +110,31 @@ def bitmap(grams: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _passed(docs: DataFrame, grams: DataFrame, emit, schema: str) -> DataFrame:
-    """What ``emit`` makes of (batch, row, position, gram) of the places whose gram the bitmap of ``grams`` holds, block by block."""
+def word_rows(hashes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position of the last word, hash) of all words and word pairs."""
+    row, at, pair = seed_rows(hashes, begins)
+    one = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    return np.concatenate([one, row]), np.concatenate([np.arange(len(one)) - begins[one], at + SEED_WORDS - 1]), np.concatenate([hashes, pair])
+
+
+def short_items(items: DataFrame) -> DataFrame:
+    """item_id, gram (of all its words), item_words of the items under LEAST_WORDS."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for a, _, data, offsets in blocks(batch.column(1)):
+            hashes, begins = word_hashes(data, offsets)
+            size = np.diff(begins)
+            row, at, gram = word_rows(hashes, begins)
+            whole = (size[row] < LEAST_WORDS) & (at == size[row] - 1)
+            single = np.arange(len(row)) < len(hashes)
+            whole &= single == (size[row] == 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[whole] + a)), pa.array(gram[whole].view(np.int64)), pa.array(size[row[whole]])], names=["item_id", "gram", "item_words"])
+
+    return map_batches(items.select("item_id", "text"), work, "item_id long, gram long, item_words long")
+
+
+def _passed(docs: DataFrame, grams: DataFrame, emit, schema: str, rows=seed_rows) -> DataFrame:
+    """What ``emit`` makes of (batch, row, position, gram) of the places (``rows``) whose gram the bitmap of ``grams`` holds, block by block."""
     bits = bitmap_bits(grams.count())
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(grams, bits))
 
@@ -117,7 +142,7 @@ def _passed(docs: DataFrame, grams: DataFrame, emit, schema: str) -> DataFrame:
         held = shared.value
         for a, _, data, offsets in blocks(batch.column(1)):
             hashes, begins = word_hashes(data, offsets)
-            row, at, gram = seed_rows(hashes, begins)
+            row, at, gram = rows(hashes, begins)
             slot = gram >> _U(64 - bits)
             hit = np.flatnonzero(held[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8) & 1)
             yield emit(batch, row[hit] + a, at[hit], gram[hit].view(np.int64))
@@ -143,6 +168,20 @@ def occurrences(docs: DataFrame, grams: DataFrame) -> DataFrame:
     return _passed(docs, grams, emit, "doc_id long, doc_at long, gram long")
 
 
+def whole_sequences(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """doc_id, item_id, score (1), item_words, ends_at (the last place) of short items that occur whole; a text gives each sequence once."""
+
+    def emit(batch, row, at, gram):
+        order = np.lexsort((at, gram, row))
+        row, at, gram = row[order], at[order], gram[order]
+        last = np.ones(len(row), dtype=bool)
+        last[:-1] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[last])), pa.array(at[last]), pa.array(gram[last])], names=["doc_id", "ends_at", "gram"])
+
+    found = _passed(docs, short.select("gram"), emit, "doc_id long, ends_at long, gram long", word_rows)
+    return found.join(small(short), "gram").select("doc_id", "item_id", F.lit(1.0).alias("score"), "item_words", "ends_at")
+
+
 def best_scores(texts: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Of each pair the best local alignment score and where in the text it ends."""
     width, height = max(map(len, texts)), max(map(len, items))
@@ -235,8 +274,13 @@ def aligned(windows: DataFrame, pairs: int = 256, threshold: float = THRESHOLD)
     return map_batches(windows.select("doc_id", "item_id", "begin", "hashes", "item_hashes"), work, "doc_id long, item_id long, score double, item_words long, ends_at long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, score, item_words, ends_at of every pair whose best alignment reaches the threshold."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, short: bool = False) -> DataFrame:
+    """doc_id, item_id, score, item_words, ends_at of every pair whose best alignment reaches the threshold.
+
+    ``short`` looks for items of one or two words too, as whole sequences. It is
+    off where documents are dropped by the result, as such an item is a common
+    word or name in most documents that hold it.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
     kept, scratch = Scratch(docs.sparkSession, "op10"), Scratch(docs.sparkSession, "op10-work")
@@ -251,9 +295,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     windows = scratch.stored(hits.join(small(rare), "gram").select("doc_id", "item_id", "item_key", window, "item_words").distinct(), "windows")
     cut = cut_windows(windows, docs, threshold).join(small(scratch.stored(hashed_items(items), "hashed")), ["item_id", "item_key"])
     best = kept.stored(aligned(cut, threshold=threshold).filter(F.col("score") >= threshold), "aligned")
+    words = scratch.stored(short_items(items), "short") if short else None
+    if words is not None and not words.isEmpty():
+        best = best.unionByName(kept.stored(whole_sequences(docs, words), "short"))
     scratch.drop()
     return best.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "item_words", "ends_at")).alias("x")).select("doc_id", "item_id", "x.*")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)
