@@ -10,7 +10,7 @@ from lumenflow.plans.tables import durable
 #: Cells of one refinement; each keeps its count and its least and greatest value.
 CELLS = 1024
 #: Values of one cell that a task may sort at once; a cell of more is refined again.
-GATHERED = 4096
+GATHERED = 65_536
 #: Groups whose open cells may be broadcast; of more, the join is shuffled.
 BROADCAST_GROUPS = 10_000
 
