@@ -2,9 +2,10 @@
 
 The 5-word shingles of a text (words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased;
 fewer words are one shingle) are hashed once. A hash's upper part is its bin and
-its lower part its value; as hashes are sorted, each bin's least value is the
-first of its run. An empty bin takes the value of the first filled bin in a
-pseudo-random order of its own, which is the same for all documents. Of every
+its lower part its value; a mark for every bin is sorted in behind the bin's
+hashes, so the first of each bin's run, its least value or its mark, fills a slot.
+An empty bin takes the value of the first filled bin in a pseudo-random order of
+its own, which is the same for all documents. Of every
 value the low ``BITS`` bits are packed into a hexadecimal string. Equal share m of two
 fingerprints is corrected for chance agreement: (m - 2^-BITS) / (1 - 2^-BITS).
 
@@ -12,7 +13,8 @@ Defined results: a null text counts as empty; texts without a word have the
 fingerprint of all zero bins; equal texts have equal fingerprints. Documents are
 in descending order of doc_id, then text, so repeated rows follow each other; a
 null doc_id comes last; an empty table gives no rows, and a single document is
-its own next one; other columns are ignored.
+its own next one; other columns are ignored. Rows of one doc_id are in one range,
+so one task orders them.
 """
 
 from __future__ import annotations
@@ -30,32 +32,50 @@ BINS = 128
 BITS = 8
 _VALUE_BITS = 48
 _SEED = 29
+#: Bins that an empty one asks before all filled ones are looked at.
+_ASKED = 2
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _probes() -> Column:
-    """For each bin the order in which it asks the others for a value, from a rule; a literal of the plan."""
-    orders = [sorted(range(BINS), key=lambda j, i=i: crc32(f"{_SEED}:{i}:{j}".encode())) for i in range(BINS)]
-    return F.from_json(F.lit(json.dumps(orders)), "array<array<int>>")
+def _literal(rows: list[list[int]]) -> Column:
+    return F.from_json(F.lit(json.dumps(rows)), "array<array<int>>")
+
+
+def probe_orders() -> list[list[int]]:
+    """For each bin the order in which it asks the others for a value, from a rule."""
+    return [sorted(range(BINS), key=lambda j, i=i: crc32(f"{_SEED}:{i}:{j}".encode())) for i in range(BINS)]
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the fingerprint of a text column."""
-    split = words(F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn("_w", split)
+    """Adds the fingerprint of a text column.
+
+    A slot is twice a hash, or the odd mark of an empty bin. Such a bin asks the
+    first bins of its order; if they are empty too, the filled bins are asked for
+    their places in that order, and the least place wins.
+    """
+    orders = probe_orders()
+    places = [[0] * BINS for _ in range(BINS)]  # place * BINS + bin, so the least one names its bin
+    for i, order in enumerate(orders):
+        for place, j in enumerate(order):
+            places[i][j] = place * BINS + j
+    df = df.withColumn("_w", F.transform(words(F.coalesce(F.col(text), F.lit(""))), lambda w: F.xxhash64(w)))
     # each shingle once; one shingle of all words where there are fewer than five
-    sets = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - 5, F.lit(0))), lambda i: F.xxhash64(*[F.get(F.col("_w"), i + k) for k in range(5)]).bitwiseAND(F.lit((1 << 55) - 1)))
-    df = df.withColumn("_h", F.when(F.size("_w") > 0, F.sort_array(sets)).otherwise(F.array().cast("array<long>")))
-    # bin: the upper 7 of 55 bits; the first of each run of a bin is its least value
-    df = df.withColumn("_m", F.filter(F.col("_h"), lambda x, i: (i == 0) | (F.shiftright(x, _VALUE_BITS) != F.shiftright(F.get(F.col("_h"), i - 1), _VALUE_BITS))))
-    df = df.withColumn("_b", F.transform("_m", lambda x: F.shiftright(x, _VALUE_BITS).cast("int"))).withColumn("_p", _probes())
-    value = lambda b: F.get(F.col("_m"), (F.array_position("_b", b) - 1).cast("int")).bitwiseAND(F.lit((1 << BITS) - 1))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(value(b), value(F.get(F.array_intersect(F.get(F.col("_p"), b), F.col("_b")), F.lit(0)))))
-    packed = F.array_join(F.transform(filled, lambda v: F.lpad(F.lower(F.hex(v)), BITS // 4, "0")), "")
-    return df.withColumn(name, F.when(F.size("_b") > 0, packed).otherwise(F.lit("0" * (BINS * BITS // 4)))).drop("_w", "_h", "_m", "_b", "_p")
+    sets = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - 5, F.lit(0))), lambda i: F.xxhash64(*[F.get(F.col("_w"), i + k) for k in range(5)]).bitwiseAND(F.lit((1 << 55) - 1)) * 2)
+    marks = F.transform(F.sequence(F.lit(1), F.lit(BINS)), lambda b: F.shiftleft(b.cast("long"), _VALUE_BITS + 1) - 1)
+    df = df.withColumn("_h", F.when(F.size("_w") > 0, F.sort_array(F.concat(sets, marks))))
+    bin_of = lambda x: F.shiftright(x, _VALUE_BITS + 1)
+    df = df.withColumn("_s", F.filter("_h", lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(F.col("_h"), i - 1)))))
+    df = df.withColumn("_f", F.transform(F.filter("_s", lambda x: x % 2 == 0), lambda x: bin_of(x).cast("int")))
+    df = df.withColumn("_p", _literal([order[:_ASKED] for order in orders])).withColumn("_o", _literal(places))
+    found = lambda b: F.when(F.get(F.col("_s"), b) % 2 == 0, F.get(F.col("_s"), b))
+    least = lambda b: F.array_min(F.transform("_f", lambda j: F.get(F.get(F.col("_o"), b), j))) % BINS
+    filled = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.coalesce(found(b), *[found(F.get(F.get(F.col("_p"), b), F.lit(k))) for k in range(_ASKED)], F.get(F.col("_s"), least(b))))
+    low = lambda v: F.shiftright(v, 1).bitwiseAND(F.lit((1 << BITS) - 1))
+    packed = F.array_join(F.transform(filled, lambda v: F.lpad(F.lower(F.hex(low(v))), BITS // 4, "0")), "")
+    return df.withColumn(name, F.when(F.size("_w") > 0, packed).otherwise(F.lit("0" * (BINS * BITS // 4)))).drop("_w", "_h", "_s", "_f", "_p", "_o")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -76,20 +96,23 @@ def with_next(df: DataFrame, complete: Callable[[DataFrame], DataFrame], columns
     """``complete(df)`` with next_<column> of the row after each in descending doc_id order; after the last comes the first.
 
     Rows are dealt out to ``ranges`` ranges of doc_id; within one the next row is
-    a window's, and a range's last row gets the first of the range below. The
-    tables of cuts and of heads have a row for each range, and ``complete`` runs
-    once for each document and each head.
+    a window's, and a range's last row gets the first of the range below. Ranges
+    are put in order by their numbers alone; a head's text goes only where that
+    last row is. ``complete`` runs once for each document and each head.
     """
     order = [F.desc_nulls_last("doc_id"), F.desc_nulls_last("text")]
     cuts = df.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 100_000).alias("cuts"))
     cuts = cuts.select(F.array_sort(F.array_distinct(F.coalesce("cuts", F.array().cast("array<long>")))).alias("cuts")).first()["cuts"]
     ranged = df.withColumn("_r", range_of(F.col("doc_id"), F.from_json(F.lit(json.dumps(cuts)), "array<long>"), max(1, int(len(cuts) ** 0.5))))
     following = F.struct(*[F.col(c) for c in columns])
-    rows = complete(ranged).withColumn("_next", F.lead(following).over(Window.partitionBy("_r").orderBy(*order)))
+    # texts are dealt out first, so ``complete`` works in as many tasks as there are, whatever the files
+    rows = complete(ranged.repartition("_r")).withColumn("_next", F.lead(following).over(Window.partitionBy("_r").orderBy(*order)))
     heads = complete(ranged.groupBy("_r").agg(F.max_by("text", F.struct("doc_id", "text")).alias("text"))).withColumn("_head", following)
     # a head follows the last row of the range above it; the top one follows the lowest range's
-    after = F.coalesce(F.lead("_r").over(Window.orderBy("_r")), F.first("_r").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    rows = rows.join(heads.select("_head", after.alias("_of")), F.col("_r") == F.col("_of"), "left").withColumn("_next", F.coalesce("_next", "_head"))
+    every = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    follows = ranged.select("_r").distinct().select("_r", F.coalesce(F.lead("_r").over(Window.orderBy("_r")), F.first("_r").over(every)).alias("_of"))
+    heads = heads.join(F.broadcast(follows), "_r").select("_head", "_of")  # a row for each range, of two numbers
+    rows = rows.join(heads, (F.col("_r") == F.col("_of")) & F.col("_next").isNull(), "left").withColumn("_next", F.coalesce("_next", "_head"))
     return rows.select("*", *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns]).drop("_r", "_of", "_next", "_head")
 
 
