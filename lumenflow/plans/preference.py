@@ -203,3 +203,30 @@ def gate(results: dict[int, pd.DataFrame], metric: str = "recall_burst", p_max:
     reasons = criteria.loc[~criteria["ok"].astype(bool), "reason"].tolist()
     out = {"galleries": n, "passed": not reasons, "reasons": reasons, "p_value": p_value, "worse_ratio": worse, "mean_diff": float(last.mean())}
     return out | ({"curve": curve.tolist()} if n >= window + 2 else {})
+
+
+def sign_tail(better: Column, worse: Column) -> Column:
+    """``sign_test`` as an expression over two counts of any size: terms go by logarithms."""
+    n = better + worse
+    start = F.struct(F.lit(0.0).alias("log"), F.when(better == 0, F.exp(-n * F.lit(float(np.log(2))))).otherwise(0.0).alias("tail"))
+
+    def step(s: Column, i: Column) -> Column:
+        log = s["log"] + F.log((n - i + 1) / i)
+        return F.struct(log.alias("log"), (s["tail"] + F.when(i >= better, F.exp(log - n * F.lit(float(np.log(2))))).otherwise(0.0)).alias("tail"))
+
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), start, step)["tail"]))
+
+
+def compared(results: DataFrame, base: str, other: str, metric: str = "recall_burst", p_max: float = 0.05, worse_max: float = 0.3, by: str = BY) -> DataFrame:
+    """One row that judges score ``other`` against ``base`` over the galleries that have both (gallery, score, metric).
+
+    galleries, better, worse, mean_diff, worse_ratio, p_value and passed: significantly
+    better and rarely worse. A missing metric counts for nothing; without any
+    gallery the means are null, p_value is 1 and passed is false.
+    """
+    kept = results.filter(F.col("score").isin(base, other) & F.col(metric).isNotNull())
+    value = lambda name: F.max(F.when(F.col("score") == name, F.col(metric)))
+    gain = kept.groupBy(by).agg((value(other) - value(base)).alias("gain")).filter("gain is not null")
+    total = gain.agg(F.count(F.lit(1)).alias("galleries"), F.count_if(F.col("gain") > 0).alias("better"), F.count_if(F.col("gain") < 0).alias("worse"), F.avg("gain").alias("mean_diff"))
+    total = total.withColumns({"worse_ratio": F.try_divide("worse", "galleries"), "p_value": sign_tail(F.col("better"), F.col("worse"))})
+    return total.withColumn("passed", F.coalesce((F.col("p_value") < p_max) & (F.col("worse_ratio") <= worse_max), F.lit(False)))

@@ -69,6 +69,24 @@ def l56(spark, sf):
     return D.upcoming(events, NOW, "urgent").select("o_orderkey")
 
 
+ONE_SQL = "strftime(X, '%Y-%m-%d') || '(' || substr('월화수목금토일', isodow(X), 1) || ')' || CASE WHEN timed THEN ' ' || strftime(X, '%H:%M') ELSE '" + D.ALL_DAY + "' END"
+
+
+@query("l7_relative_days", f"""WITH o AS (SELECT o_orderkey, o_orderpriority || o_orderkey AS title, o_orderkey % 3 = 0 AS timed, o_orderdate + INTERVAL 10300 DAY + INTERVAL (o_orderkey % 24) HOUR AS b, CASE WHEN o_orderkey % 5 = 0 THEN b + INTERVAL 2 DAY WHEN o_orderkey % 15 = 3 THEN b + INTERVAL 30 MINUTE END AS e, TIMESTAMP '{NOW}' + INTERVAL 9 HOUR AS now FROM orders),
+k AS (SELECT *, CASE WHEN timed THEN b < now ELSE CAST(b AS DATE) < CAST(now AS DATE) END AS begun, datediff('day', now, b) AS days FROM o
+  WHERE CASE WHEN timed THEN coalesce(e, b + INTERVAL 1 HOUR) >= now ELSE CAST(coalesce(e, b) AS DATE) >= CAST(now AS DATE) END)
+SELECT o_orderkey, CASE WHEN begun THEN '{D.ONGOING}' WHEN days = 0 THEN '{D.TODAY}' WHEN days = 1 THEN '{D.TOMORROW}' WHEN days = 2 THEN '{D.AFTER}' ELSE days || '{D.DAYS}' END AS relative,
+  {ONE_SQL.replace("X", "b")} || CASE WHEN e IS NULL THEN '' WHEN timed AND CAST(e AS DATE) = CAST(b AS DATE) THEN '~' || strftime(e, '%H:%M') ELSE ' ~ ' || {ONE_SQL.replace("X", "e")} END AS when_text
+FROM k ORDER BY CASE WHEN timed THEN b ELSE date_trunc('day', b) END, title LIMIT 30""")
+def l7r(spark, sf):
+    day = F.make_dt_interval(days=F.lit(10300), hours=(F.col("o_orderkey") % 24).cast("int"))
+    o = read(spark, sf, "orders").withColumn("b", F.col("o_orderdate").cast("timestamp") + day)
+    end = F.when(F.col("o_orderkey") % 5 == 0, F.col("b") + F.make_dt_interval(days=F.lit(2))).when(F.col("o_orderkey") % 15 == 3, F.col("b") + F.make_dt_interval(mins=F.lit(30)))
+    text = lambda c: F.when(F.col("o_orderkey") % 3 == 0, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(c, "yyyy-MM-dd"))
+    events = o.select("o_orderkey", F.concat("o_orderpriority", F.col("o_orderkey").cast("string")).alias("title"), text(F.col("b")).alias("start"), text(end).alias("end"), F.lit("").alias("detail"), F.lit("").alias("url"))
+    return D.upcoming(events, NOW).select("o_orderkey", "relative", "when_text")
+
+
 @query("l7_weekday_labels", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || '(' || substr('월화수목금토일', isodow(o_orderdate), 1) || ')' AS label FROM orders")
 def l7(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", D.weekday_label(F.to_date("o_orderdate")).alias("label"))
@@ -103,7 +121,9 @@ def m2(spark, sf):
     return P.sample(training_rows(spark, sf)).select("photo_id", "y", F.round("weight", 9).alias("weight"))
 
 
-@query("m1_features")
+@query("m1_features", RANK_SQL + """, z AS (SELECT *, count(*) OVER (PARTITION BY gallery_id) AS n_all, count(*) OVER (PARTITION BY gallery_id, user_id % 12) AS n_group, row_number() OVER (PARTITION BY gallery_id ORDER BY display_order, photo_id) - 1 AS idx FROM rr)
+SELECT photo_id, round(technical_pct / 100, 6) AS s0, round(aesthetic_pct / 100, 6) AS s1, round(sharpness_pct / 100, 6) AS s2, CAST(subject = 'bride' AS DOUBLE) AS s3, CAST(subject = 'groom' AS DOUBLE) AS s4, CAST(subject = 'couple' AS DOUBLE) AS s5, CAST(subject = 'group' AS DOUBLE) AS s6,
+  round(ln(n_group / n_all), 6) AS s7, round(idx / greatest(n_all - 1, 1), 6) AS s8, round(n / max(n) OVER (PARTITION BY gallery_id), 6) AS s9, CAST(n > 1 AS DOUBLE) AS s10, (SELECT max(2 * len(embedding)) FROM embeddings) AS dims FROM z""")
 def m1(spark, sf):
     f = P.features(with_vectors(training_rows(spark, sf), spark, sf))
     return f.select("photo_id", *[F.round(F.get("scalar", F.lit(i)), 6).alias(f"s{i}") for i in range(P.SCALARS)], F.size("emb").alias("dims"))
@@ -125,6 +145,21 @@ def m6_auc(spark, sf):
     return P.auc(rows, "n_chars").select("gallery_id", F.round("auc", 6).alias("auc"))
 
 
+@query("m7_m8_compared", f"""WITH {PHOTOS_SQL}, u AS (SELECT *, 'aesthetic' AS which, aesthetic_score AS v FROM photos UNION ALL SELECT *, 'technical', technical_score FROM photos), o AS (SELECT *, CASE WHEN photo_id % 29 = 0 THEN -1 ELSE burst_id END AS b FROM u),
+t AS (SELECT *, row_number() OVER (PARTITION BY which, gallery_id, CASE WHEN b >= 0 THEN b ELSE -1 - photo_id END ORDER BY v DESC NULLS LAST, display_order, photo_id) = 1 AS top FROM o),
+d AS (SELECT *, CASE WHEN top THEN row_number() OVER (PARTITION BY which, gallery_id, top ORDER BY v DESC NULLS LAST, display_order, photo_id) END AS place, 3 * greatest(sum(CAST(selected AS INT)) OVER (PARTITION BY which, gallery_id), 1) AS k FROM t),
+r AS (SELECT which, gallery_id, avg(CAST(coalesce(place <= k, FALSE) AS INT)) AS recall FROM d WHERE selected GROUP BY 1, 2),
+g AS (SELECT p.recall - q.recall AS gain FROM r p JOIN r q USING (gallery_id) WHERE p.which = 'technical' AND q.which = 'aesthetic'),
+c AS (SELECT count(*) AS galleries, count(*) FILTER (gain > 0) AS better, count(*) FILTER (gain < 0) AS worse, avg(gain) AS mean_diff FROM g),
+x AS (SELECT *, worse / galleries AS worse_ratio, (SELECT sum(CAST(factorial(CAST(better + worse AS INT)) AS DOUBLE) / CAST(factorial(CAST(i AS INT)) AS DOUBLE) / CAST(factorial(CAST(better + worse - i AS INT)) AS DOUBLE)) FROM range(0, 100) k(i) WHERE i BETWEEN better AND better + worse) / pow(2, better + worse) AS p_value FROM c)
+SELECT galleries, better, worse, round(mean_diff, 6) AS mean_diff, round(worse_ratio, 6) AS worse_ratio, round(p_value, 6) AS p_value, p_value < 0.05 AND worse_ratio <= 0.3 AS passed FROM x""")
+def m78(spark, sf):
+    p = photos(spark, sf).withColumn("burst_id", F.when(F.col("photo_id") % 29 == 0, -1).otherwise(F.col("burst_id")))
+    found = [P.recalls(p, f"{s}_score").withColumn("score", F.lit(s)) for s in ("aesthetic", "technical")]
+    out = P.compared(found[0].unionByName(found[1]), "aesthetic", "technical", "recall_strict")
+    return out.select("galleries", "better", "worse", *[F.round(c, 6).alias(c) for c in ("mean_diff", "worse_ratio", "p_value")], "passed")
+
+
 @query("m3_m9_fused_ranking")
 def m39(spark, sf):
     """Fits on the galleries up to the 15th and ranks the others."""
