@@ -9,9 +9,10 @@ it, so a round compares only the others. The mean of 1 - a.b over two clusters i
 less the product of their means, and Ward's height follows from means and sizes: a
 round reads vectors, and no distances are kept.
 
-A group's clusters are cut into tiles; two tiles meet in a task by one matrix
-product, and the nearest of a cluster over all tiles is a partial aggregation.
-Equal vectors fall together before the rounds. Once a group has no more than
+A group's clusters are cut into tiles; two tiles meet in a task by matrix
+products of some rows at a time, and the nearest of a cluster over all tiles is a
+partial aggregation. Equal vectors fall together before the rounds, by hashes. A cut
+at a height needs no merges above it: only near vectors come that far. Once a group has no more than
 ``LOCAL`` clusters left, one task ends it. No task holds a larger group.
 """
 
@@ -22,7 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenflow.functions.vectors import normalised
@@ -32,8 +33,10 @@ from lumenflow.operators.components import connected_components
 MATRIX_BYTES = 1 << 28
 #: Clusters of a group that one task ends.
 LOCAL = 2048
-#: Clusters of a tile, about.
-TILE = 1024
+#: Clusters of a tile, about: a row is sent once for each tile of its group.
+TILE = 16384
+#: Rows of a tile whose distances a task holds at once.
+ROWS = 256
 
 Keep = Callable[[DataFrame, str], DataFrame]
 
@@ -159,42 +162,105 @@ def _ward_distance(a, b, na, nb):
 RULES = {"average": (_average_distance, _average_update), "ward": (_ward_distance, _ward_update)}
 
 
-def _tiles(clusters: DataFrame, tile: int) -> DataFrame:
-    """(grp, tile, of, c): each group's clusters in ``of`` tiles by hash; c is a list of (cluster, size, open, mean), by cluster."""
-    n = clusters.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("of"))
-    dealt = clusters.join(n, "grp").withColumn("tile", F.pmod(F.xxhash64("cluster"), F.col("of")).cast("int"))
-    return dealt.groupBy("grp", "tile", "of").agg(F.array_sort(F.collect_list(F.struct("cluster", "size", "open", "mean"))).alias("c"))
+def _cells(clusters: DataFrame, tile: int) -> DataFrame:
+    """The clusters (grp, cluster, size, open, mean) dealt to the cells (grp, i, j, across, second) where two tiles meet.
+
+    Open and closed clusters have tiles of their own, by hash: open tiles meet each
+    other once, and every closed one (across). A row comes once for each tile that its own meets.
+    """
+    n = clusters.groupBy("grp").agg(*[F.ceil(F.count_if(c) / tile).cast("int").alias(k) for k, c in (("_o", F.col("open")), ("_c", ~F.col("open")))])
+    dealt = clusters.join(F.broadcast(n), "grp").withColumn("_t", F.pmod(F.xxhash64("cluster"), F.greatest(F.when(F.col("open"), F.col("_o")).otherwise(F.col("_c")), F.lit(1))).cast("int"))  # n: a row for a large group
+    cell = lambda i, j, across, second: F.struct(i.alias("i"), j.alias("j"), F.lit(across).alias("across"), second.alias("second"))
+    met = lambda k, to: F.when(F.col(k) > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col(k) - 1, F.lit(0))), to))
+    t, no, yes = F.col("_t"), F.lit(False), F.lit(True)
+    own, far = met("_o", lambda p: cell(F.least(t, p), F.greatest(t, p), False, p < t)), met("_c", lambda p: cell(t, p, True, no))
+    all_ = F.when(~F.col("open"), met("_o", lambda p: cell(p, t, True, yes))).when(F.col("_c") > 0, F.concat(own, far)).otherwise(own)
+    return dealt.withColumn("_x", F.explode(all_)).select("grp", "_x.*", "cluster", "size", "mean")
+
+
+def _sides(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers, sizes, means) of a cell's first and second tile, by number."""
+    pdf = pdf.sort_values("cluster")
+    return [(p["cluster"].to_numpy(), p["size"].to_numpy(dtype=float), np.stack(p["mean"].to_numpy()) if len(p) else np.empty((0, 0))) for p in (pdf[~pdf["second"]], pdf[pdf["second"]])]
+
+
+def _compared(linkage: str, a: tuple, b: tuple):
+    """Of row ranges of ``a``: numbers that order distances to ``b``; and distances of such numbers."""
+    (_, na, ma), (_, nb, mb) = a, b
+    if linkage == "average":
+        right = -mb.T
+        return lambda s, e: ma[s:e] @ right, lambda x: np.clip(1 + x, 0, 2)
+    one = np.ones((len(ma), 1)), np.ones((len(mb), 1))
+    left, right = np.hstack([-2 * ma, (ma**2).sum(axis=1, keepdims=True), one[0]]), np.hstack([mb, one[1], (mb**2).sum(axis=1, keepdims=True)]).T
+    return lambda s, e: left[s:e] @ right / (1 / na[s:e, None] + 1 / nb), lambda x: np.sqrt(2 * np.maximum(x, 0))
 
 
 def _nearest(clusters: DataFrame, linkage: str, tile: int) -> DataFrame:
     """(grp, cluster, nearest, height) of the open clusters (grp, cluster, size, open, mean); of equals the smallest number."""
-    distance = RULES[linkage][0]
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = []
-        for cells in pdf.sort_values("tile")["c"]:
-            number, size, open_ = (np.array([x[k] for x in cells]) for k in ("cluster", "size", "open"))
-            sides.append((number, size.astype(float), open_, np.stack([x["mean"] for x in cells])))
-        (ca, na, oa, ma), (cb, nb, ob, mb) = sides[0], sides[-1]
+
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        grp, i, j, across = key
+        a, b = _sides(pdf)
+        alone = i == j and not across
+        b = a if alone else b
+        n, m = len(a[0]), len(b[0])
+        best, at = np.full(n, np.inf), np.zeros(n, dtype=int)
+        back, of = np.full(m, np.inf), np.zeros(m, dtype=int)
+        if n and m:
+            order, height = _compared(linkage, a, b)
+            for s in range(0, n, ROWS):
+                d = order(s, s + ROWS)
+                if alone:
+                    d[np.arange(len(d)), s + np.arange(len(d))] = np.inf
+                at[s : s + ROWS] = d.argmin(axis=1)
+                best[s : s + ROWS] = d[np.arange(len(d)), at[s : s + ROWS]]
+                if not alone and not across:
+                    less = np.flatnonzero(d.min(axis=0) < back)
+                    first = d[:, less].argmin(axis=0)
+                    back[less], of[less] = d[first, less], s + first
         out = []
-        if oa.any() or ob.any():
-            d = distance(ma, mb, na, nb)
-            if len(sides) == 1:
-                np.fill_diagonal(d, np.inf)
-            for own, open_, other, m in [(ca, oa, cb, d)] if len(sides) == 1 else [(ca, oa, cb, d), (cb, ob, ca, d.T)]:
-                at, rows = m[open_].argmin(axis=1), np.flatnonzero(open_)
-                best = m[rows, at]
-                found = np.isfinite(best)
-                out.append(pd.DataFrame({"grp": pdf["grp"].iloc[0], "cluster": own[rows][found], "nearest": other[at[found]], "height": best[found]}))
-        return pd.concat(out) if out else pd.DataFrame({"grp": pd.Series(dtype=str), "cluster": pd.Series(dtype="int64"), "nearest": pd.Series(dtype="int64"), "height": pd.Series(dtype=float)})
-
-    pairs = _tiles(clusters, tile).withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    pairs = pairs.select("grp", "tile", "c", F.least("tile", "_p").alias("i"), F.greatest("tile", "_p").alias("j"))
-    found = pairs.groupBy("grp", "i", "j").applyInPandas(meet, "grp string, cluster long, nearest long, height double")
+        for own, near, low, other in [(a[0], at, best, b[0])] + ([] if alone or across else [(b[0], of, back, a[0])]):
+            found = np.isfinite(low)
+            out.append(pd.DataFrame({"grp": grp, "cluster": own[found], "nearest": other[near[found]] if len(other) else own[found], "height": height(low[found]) if n and m else low[found]}))
+        return pd.concat(out)
+
+    found = _cells(clusters, tile).groupBy("grp", "i", "j", "across").applyInPandas(meet, "grp string, cluster long, nearest long, height double")
     best = found.groupBy("grp", "cluster").agg(F.min(F.struct("height", "nearest")).alias("b"))
     return best.select("grp", "cluster", "b.nearest", "b.height")
 
 
+def _linked(vectors: DataFrame, most: float, tile: int) -> DataFrame:
+    """Edges (u, v) whose components are those of all pairs of a space's vectors (space, v, mean; of length 1) up to ``most`` apart by 1 - a.b.
+
+    A cell gives a spanning forest of its pairs, so rows never exceed its vectors.
+    """
+
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = _sides(pdf)
+        alone = key[1] == key[2]
+        b = a if alone else b
+        names, off = (a[0], 0) if alone else (np.concatenate([a[0], b[0]]), len(a[0]))
+        root = np.arange(len(names))
+        if len(a[0]) and len(b[0]):
+            order, _ = _compared("average", a, b)
+            for s in range(0, len(a[0]), ROWS):
+                x, y = np.nonzero(order(s, s + ROWS) <= most - 1 + 1e-9)
+                x, y = x + s, y + off
+                while True:
+                    low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+                    x, y = x[low < high], y[low < high]
+                    if not len(x):
+                        break
+                    np.minimum.at(root, high[low < high], low[low < high])
+                    while (root[root] != root).any():
+                        root = root[root]
+        other = root != np.arange(len(root))
+        return pd.DataFrame({"u": names[other], "v": names[root[other]]})
+
+    rows = vectors.select(F.col("space").alias("grp"), F.col("v").alias("cluster"), F.lit(1).alias("size"), F.lit(True).alias("open"), "mean")
+    return _cells(rows, tile).groupBy("grp", "i", "j").applyInPandas(meet, "u long, v long")
+
+
 def _ended(clusters: DataFrame, linkage: str) -> DataFrame:
     """Merges (grp, a, b, height) of groups of few clusters, each in one task."""
     distance, update = RULES[linkage]
@@ -210,14 +276,24 @@ def _ended(clusters: DataFrame, linkage: str) -> DataFrame:
     return clusters.groupBy("grp").applyInPandas(one, "grp string, a long, b long, height double")
 
 
-def _joined(clusters: DataFrame, mutual: DataFrame) -> DataFrame:
-    """The clusters after the merges: b's photos and mean go to a."""
-    gone = mutual.select("grp", F.col("b").alias("cluster"), F.col("a").alias("into"))
-    moved = clusters.join(gone, ["grp", "cluster"], "left").select("grp", F.coalesce("into", "cluster").alias("cluster"), "size", "mean")
-    parts = moved.groupBy("grp", "cluster").agg(F.sum("size").alias("size"), F.array_sort(F.collect_list(F.struct("size", "mean"))).alias("_p"))  # one or two
+def _joined(clusters: DataFrame, touched: DataFrame) -> DataFrame:
+    """The clusters after a round: b's photos and mean go to a; merged ones, and those whose nearest one merged (into is null), are open."""
+    marked = clusters.drop("open").join(touched.withColumn("open", F.lit(True)), ["grp", "cluster"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    moved = marked.filter("into is not null").groupBy("grp", "into").agg(F.sum("size").alias("size"), F.array_sort(F.collect_list(F.struct("size", "mean"))).alias("_p"))  # two
     share = lambda k: F.transform(F.get("_p", k)["mean"], lambda x: x * (F.get("_p", k)["size"] / F.col("size")))
-    mean = F.when(F.size("_p") == 1, F.get("_p", 0)["mean"]).otherwise(F.zip_with(share(0), share(1), lambda x, y: x + y))
-    return parts.select("grp", "cluster", "size", mean.alias("mean"))
+    mean = F.zip_with(share(0), share(1), lambda x, y: x + y)
+    columns = ["grp", "cluster", "size", "mean", "open"]
+    return marked.filter("into is null").select(columns).unionByName(moved.select("grp", F.col("into").alias("cluster"), "size", mean.alias("mean"), F.lit(True).alias("open")))
+
+
+def _keyed(items: DataFrame, vector: Column) -> DataFrame:
+    """(grp, item, some, h, k): whether the vector has a length, and two hashes of 64 bits that stand for it, so equal vectors are found without moving any."""
+    return items.select("grp", "item", vector.alias("_v")).select("grp", "item", F.exists("_v", lambda x: x != 0).alias("some"), F.xxhash64("_v").alias("h"), F.xxhash64(F.lit("again"), "_v").alias("k"))
+
+
+def _direction(linkage: str) -> Column:
+    vector = F.col("vector").cast("array<double>")
+    return normalised(vector) if linkage == "average" else vector
 
 
 def linkage_merges(items: DataFrame, keep: Keep, linkage: str = "average", local: int = LOCAL, tile: int = TILE) -> DataFrame:
@@ -225,41 +301,54 @@ def linkage_merges(items: DataFrame, keep: Keep, linkage: str = "average", local
 
     Clusters are known by their least item. A group of n items has n - 1 merges;
     those under a height leave the clusters that the sequential algorithm leaves.
+    ``items`` are read twice, and each occurs once over all groups.
     ``keep(df, label)`` makes a round's tables durable. Under average linkage
     (1 - cosine) vectors are normalised. Rounds go on while a group has more than
     ``local`` clusters. Of equal distances the smallest numbers merge; a group of
     one item, and an empty table, give no merges.
     """
-    vector = normalised(F.col("vector").cast("array<double>")) if linkage == "average" else F.col("vector").cast("array<double>")
-    rows = keep(items.select("grp", "item", vector.alias("mean")), "items")
-    same = keep(rows.groupBy("grp", "mean").agg(F.min("item").alias("cluster"), F.count(F.lit(1)).alias("size")), "same")
-    copies = rows.join(same.filter("size > 1"), ["grp", "mean"]).filter("item <> cluster")
-    merges = [keep(copies.select("grp", F.col("cluster").alias("a"), F.col("item").alias("b"), F.lit(0.0).alias("height")), "merges")]
-    clusters, near, stuck = same.select("grp", "cluster", "size", "mean"), None, False
+    vector = _direction(linkage)
+    rows = keep(_keyed(items, vector), "items")
+    same = keep(rows.groupBy("grp", "h", "k").agg(F.min("item").alias("cluster"), F.count(F.lit(1)).alias("size")), "same")
+    copies = rows.join(same.filter("size > 1"), ["grp", "h", "k"]).filter("item <> cluster")
+    merges = keep(copies.select("grp", F.col("cluster").alias("a"), F.col("item").alias("b"), F.lit(0.0).alias("height")), "merges")
+    clusters = items.select(F.col("item").alias("cluster"), vector.alias("mean")).join(same.select("grp", "cluster", "size"), "cluster")
+    return merges.unionByName(_rounds(keep(clusters.select("grp", "cluster", "size", "mean"), "clusters"), keep, linkage, local, tile))
+
+
+def _rounds(clusters: DataFrame, keep: Keep, linkage: str, local: int, tile: int, most: float | None = None) -> DataFrame:
+    """Merges (grp, a, b, height) of clusters (grp, cluster, size, mean); with ``most`` all up to that height, and perhaps some above.
+
+    A cluster without another one up to ``most`` never gets one, and leaves.
+    """
+    merges, near, clusters = [], None, clusters.withColumn("open", F.lit(True))
     while True:
-        large = clusters.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > local).select("grp")
-        large = keep(large, "large")
-        merges.append(keep(_ended(clusters.join(large, "grp", "left_anti"), linkage), "merges"))
-        if large.isEmpty():
+        large = clusters.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+        few, many = large.agg(F.count_if(F.col("n") <= local), F.count_if(F.col("n") > local)).first()
+        if few or not many:
+            large = keep(large.filter(F.col("n") > local).select("grp"), "large")  # a row for so many clusters at least
+            merges.append(keep(_ended(clusters.join(F.broadcast(large), "grp", "left_anti"), linkage), "merges"))
+            clusters = clusters.join(F.broadcast(large), "grp", "left_semi")
+            near = near if near is None else near.join(F.broadcast(large), "grp", "left_semi")
+        if not many:
             return reduce(DataFrame.unionByName, merges)
-        clusters = clusters.join(large, "grp", "left_semi")
-        if near is None or stuck:
-            opened = clusters.withColumn("open", F.lit(True))
-        else:
-            known = near.select("grp", "cluster", F.lit(False).alias("open"))
-            opened = clusters.join(known, ["grp", "cluster"], "left").withColumn("open", F.coalesce("open", F.lit(True)))
-        found = _nearest(opened, linkage, tile)
-        near = keep(found if near is None or stuck else found.unionByName(near.join(large, "grp", "left_semi")), "nearest")
+        found = _nearest(clusters, linkage, tile)
+        found = found if most is None else found.filter(F.col("height") <= most)
+        near = keep(found if near is None else found.unionByName(near), "nearest")
+        if most is not None:
+            clusters = keep(clusters.join(near.select("grp", "cluster"), ["grp", "cluster"], "left_semi"), "clusters")
         back = near.select("grp", F.col("cluster").alias("nearest"), F.col("nearest").alias("cluster"))
         mutual = near.filter("cluster < nearest").join(back, ["grp", "cluster", "nearest"])
         mutual = keep(mutual.select("grp", F.col("cluster").alias("a"), F.col("nearest").alias("b"), "height"), "merges")
-        if stuck := mutual.isEmpty():  # distances kept from before may tie with new ones: all are compared anew
+        if mutual.isEmpty():  # distances kept from before may tie with new ones: all are compared anew
+            clusters, near = clusters.withColumn("open", F.lit(True)), None
             continue
         merges.append(mutual)
-        clusters = keep(_joined(clusters, mutual), "clusters")
-        merged = mutual.select("grp", F.explode(F.array("a", "b")).alias("cluster"))
-        near = near.join(merged, ["grp", "cluster"], "left_anti").join(merged.withColumnRenamed("cluster", "nearest"), ["grp", "nearest"], "left_anti")
-        near = keep(near.select("grp", "cluster", "nearest", "height"), "nearest")
+        merged = mutual.select("grp", F.explode(F.array("a", "b")).alias("cluster"), F.col("a").alias("into"))
+        lost = near.join(merged.select("grp", F.col("cluster").alias("nearest")), ["grp", "nearest"], "left_semi").join(merged, ["grp", "cluster"], "left_anti")
+        touched = keep(merged.unionByName(lost.select("grp", "cluster", F.lit(None).cast("long").alias("into"))), "touched")
+        clusters = keep(_joined(clusters, touched), "clusters")
+        near = near.join(touched, ["grp", "cluster"], "left_anti").select("grp", "cluster", "nearest", "height")
 
 
 def _parts(items: DataFrame, edges: DataFrame, keep: Keep) -> DataFrame:
@@ -268,15 +357,49 @@ def _parts(items: DataFrame, edges: DataFrame, keep: Keep) -> DataFrame:
     return items.select("grp", "item").join(found, "item", "left").select("grp", "item", F.coalesce("component", "item").alias("part"))
 
 
+def _near_merges(items: DataFrame, keep: Keep, most: float, local: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Average merges (grp, a, b, height) up to ``most`` (under 1) of distinct vectors, and (grp, item, cluster): the first item of an equal vector.
+
+    Clusters of average linkage under a height lie within the components of all
+    pairs under it, so components are found first and clustered apart. A vector
+    that several groups share is compared once for all of them, if that is less
+    work than to compare within groups. A vector without a length is near nothing.
+    """
+    vector = _direction("average")
+    rows = keep(_keyed(items, vector), "items")
+    same = keep(rows.filter("some").groupBy("grp", "h", "k").agg(F.min("item").alias("cluster"), F.count(F.lit(1)).alias("size")), "same")
+    within = same.groupBy("grp").agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    shared = same.select("h", "k").distinct().count() ** 2 <= within
+    same = same.withColumn("space", F.lit("") if shared else F.col("grp"))
+    named = keep(same.groupBy("space", "h", "k").agg(F.min("cluster").alias("v")), "named")
+    vectors = keep(items.select(F.col("item").alias("v"), vector.alias("mean")).join(named.select("space", "v"), "v"), "vectors")
+    found = connected_components(keep(_linked(vectors, most, tile), "linked"), keep)
+    member = same.join(named, ["space", "h", "k"]).join(found.withColumnRenamed("node", "v"), "v")
+    member = keep(member.select("grp", F.concat_ws(":", "grp", F.col("component").cast("string")).alias("part"), "cluster", "size", "v"), "members")
+    several = member.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("part")
+    clusters = member.join(several, "part").join(vectors, "v").select(F.col("part").alias("grp"), "cluster", "size", "mean")
+    merges = _rounds(keep(clusters, "clusters"), keep, "average", local, tile, most + 1e-9).filter(F.col("height") <= most)
+    merges = merges.select("a", "b", "height").join(member.select("grp", F.col("cluster").alias("a")), "a")
+    first = rows.join(same.select("grp", "h", "k", "cluster"), ["grp", "h", "k"], "left")
+    return merges.select("grp", "a", "b", "height"), first.select("grp", "item", F.coalesce("cluster", "item").alias("cluster"))
+
+
 def average_parts(items: DataFrame, keep: Keep, distance: float = 0.2, share: float = 0.35, raise_cap: float = 0.15, local: int = LOCAL, tile: int = TILE) -> DataFrame:
-    """(grp, item, part) as ``cut_groups`` divides each group; items are numbers that occur once over all groups."""
-    merges = keep(linkage_merges(items, keep, "average", local, tile), "merges")
+    """(grp, item, part) as ``cut_groups`` divides each group; items are numbers that occur once over all groups, and are read twice."""
     cuts = [round(distance + 0.05 * k, 2) for k in range(round(raise_cap / 0.05) + 1)]
+    if cuts[-1] < 1:
+        merges, first = _near_merges(items, keep, cuts[-1], local, tile)
+        first = keep(first, "first")
+    else:
+        merges, first = linkage_merges(items, keep, "average", local, tile), items.select("grp", "item", F.col("item").alias("cluster"))
+    merges = keep(merges, "merges")
     under = merges.groupBy("grp").agg(*[F.count_if(F.col("height") <= c).alias(f"m{k}") for k, c in enumerate(cuts)])
-    n = items.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).join(under, "grp")
-    few = lambda k: F.col("n") - F.col(f"m{k}") <= F.greatest(F.lit(1.0), F.col("n") * share)
+    n = first.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("item") == F.col("cluster")).alias("d")).join(under, "grp", "left")
+    few = lambda k: F.col("d") - F.coalesce(f"m{k}", F.lit(0)) <= F.greatest(F.lit(1.0), F.col("n") * share)
     cut = F.coalesce(*[F.when(few(k), c) for k, c in enumerate(cuts)], F.lit(cuts[-1]))
-    return _parts(items, merges.join(n.select("grp", cut.alias("cut")), "grp").filter("height <= cut"), keep)
+    kept = merges.join(n.select("grp", cut.alias("cut")), "grp").filter("height <= cut")
+    parts = _parts(first.filter("item = cluster").select("grp", "item"), kept, keep).select(F.col("item").alias("cluster"), "part")
+    return first.join(parts, "cluster").select("grp", "item", "part")
 
 
 def ward_parts(items: DataFrame, keep: Keep, k: int, local: int = LOCAL, tile: int = TILE) -> DataFrame:

@@ -36,12 +36,16 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_vectors(photos_df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adds embedding and clip (array<double>), picked by photo_id from the vector table."""
+    """Adds embedding and clip (array<double>), picked by photo_id from the vector table.
+
+    Both follow from photo_id modulo the table's size, so they are paired there first: one join, and rows with vectors aren't moved.
+    """
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     n = e.agg(F.count(F.lit(1)).alias("n_vectors"))  # one row
-    p = photos_df.crossJoin(F.broadcast(n)).withColumns({"_e": F.col("photo_id") % F.col("n_vectors"), "_c": (F.col("photo_id") * 7 + 3) % F.col("n_vectors")})
-    p = p.join(e.select(F.col("vec_id").alias("_e"), F.col("v").alias("embedding")), "_e")
-    return p.join(e.select(F.col("vec_id").alias("_c"), F.col("v").alias("clip")), "_c").drop("_e", "_c", "n_vectors")
+    both = e.select(F.col("vec_id").alias("_e"), F.col("v").alias("embedding")).crossJoin(F.broadcast(n)).withColumn("_c", (F.col("_e") * 7 + 3) % F.col("n_vectors"))
+    both = both.join(e.select(F.col("vec_id").alias("_c"), F.col("v").alias("clip")), "_c").select("_e", "embedding", "clip")
+    p = photos_df.crossJoin(F.broadcast(n)).withColumn("_e", F.col("photo_id") % F.col("n_vectors"))
+    return p.join(both, "_e").drop("_e", "n_vectors")
 
 
 PHOTOS_SQL = """photos AS (

@@ -104,3 +104,22 @@ def test_joint_vector_of_a_zero_part(spark):
     got = [r.n for r in df.select(norm(concat_space("e", "c")).alias("n")).collect()]
     assert np.allclose(got, [1, 1, 0])
     assert df.select(concat_space(F.col("e"), F.col("c")).alias("x")).first().x == [0.6, 0.8, 0.0, 0.0]
+
+
+def test_shared_vectors_and_vectors_without_a_length(spark):
+    """Groups that share vectors give each its own parts; photos with a zero vector stay apart, as in one task."""
+    rng = np.random.default_rng(11)
+    c = rng.normal(size=(12, 6))
+    base = [(c[k % 12] + 0.2 * rng.normal(size=6)).tolist() for k in range(40)] + [[0.0] * 6] * 3
+    rows = [(f"g{g}", 100 * g + i, v) for g in range(4) for i, v in enumerate(base[g:])]
+    items = spark.createDataFrame(rows, "grp string, item long, vector array<double>")
+    got = {r.item: r.part for r in linkage.average_parts(items, durable, 0.2, local=4, tile=8).collect()}
+    want = set().union(*[partition(own, linkage.cut_groups(np.array([r[2] for r in own]), 0.2)) for _, own in by_group(rows)])
+    assert partition(rows, [got[r[1]] for r in rows]) == want
+
+
+def test_cells_send_a_row_once_for_each_tile(spark):
+    rows = [("g", i, 1, i % 3 > 0, [float(i)]) for i in range(300)]
+    cells = linkage._cells(spark.createDataFrame(rows, "grp string, cluster long, size long, open boolean, mean array<double>"), 50)
+    n = cells.groupBy("cluster").count().collect()
+    assert {r["count"] for r in n if r.cluster % 3 == 0} == {4} and {r["count"] for r in n if r.cluster % 3} == {6}
