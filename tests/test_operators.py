@@ -369,3 +369,14 @@ def test_exif(spark):
     a, b, c = I.exif_rows(df).orderBy("path").collect()
     assert (a.taken_at, a.camera_make, a.camera_model, a.exposure_time, a.iso, a.width, a.height) == (datetime(2026, 10, 1, 3, 4, 5), "Canon", "R5", "1/200", 400, 30, 40)
     assert b.camera_make is None and b.byte_size == 4 and c.taken_at is None
+
+
+def test_images_of_several_sizes_are_measured_as_one_by_one(spark):
+    rng = np.random.default_rng(3)
+    images = {f"{k}": rng.integers(0, 256, size) for k, size in enumerate([(2, 2), (5, 3), (2, 2), (1, 7), (5, 3)])}
+    content = {k: b"P5\n%d %d\n255\n" % g.shape[::-1] + g.astype(np.uint8).tobytes() for k, g in images.items()} | {"bad": b"P6\n", "empty": b"P5\n0 0\n255\n"}
+    got = {r.path: r for r in I.measured(spark.createDataFrame([(k, bytearray(c)) for k, c in content.items()], "path string, content binary").coalesce(1), I.pgm).collect()}
+    assert {k for k, r in got.items() if r.status != "ok" and r.luma is None} == {"bad", "empty"}
+    for k, g in images.items():
+        assert np.allclose(got[k][1:5], I.classical(g.astype(np.uint8)))
+    assert np.allclose([x[1] for x in I._classical(np.stack([images["0"], images["2"]]))], I.classical(images["2"]))
