@@ -127,7 +127,7 @@ def c12(spark, sf):
 cm AS (SELECT node, min(root) AS c FROM rc GROUP BY 1), fi AS (SELECT po.gallery_id, po.photo_id, po.part, min(po.pos) OVER (PARTITION BY po.gallery_id, po.part, cm.c) AS f FROM po JOIN cm ON cm.node = po.photo_id)
 SELECT photo_id, dense_rank() OVER (PARTITION BY gallery_id ORDER BY part, f) - 1 AS burst_id FROM fi""")
 def i1(spark, sf):
-    p = with_vectors(photos(spark, sf).drop("burst_id"), spark, sf)
+    p = with_vectors(windows.partition_order(photos(spark, sf).drop("burst_id")), spark, sf)
     return cluster.bursts(p, 0.2, durable).select("photo_id", F.col("burst_id").cast("long").alias("burst_id"))
 
 
