@@ -27,11 +27,11 @@ SUBJECTS = ["bride", "groom", "couple", "group"]
 SCALARS = 3 + len(SUBJECTS) + 4
 
 
-def features(df: DataFrame, by: str = BY) -> DataFrame:
-    """Adds scalar (array of 11) and emb (both vectors normalised, joined, less the gallery's mean)."""
+def scalars(df: DataFrame, by: str = BY) -> DataFrame:
+    """Adds scalar (array of 11); needs no vectors, so they can be added after it and none are sorted."""
     w = Window.partitionBy(by)
     n = F.count(F.lit(1)).over(w)
-    df = df.withColumns({"_burst": sizes("burst_id", by), "_group": sizes("embed_group_id", by), "_line": timeline(by), "_all": n, "emb": F.concat(normalised("embedding", 1e-12), normalised("clip", 1e-12))})
+    df = df.withColumns({"_burst": sizes("burst_id", by), "_group": sizes("embed_group_id", by), "_line": timeline(by), "_all": n})
     scalar = F.array(
         F.col("technical_pct") / 100,
         F.col("aesthetic_pct") / 100,
@@ -42,9 +42,27 @@ def features(df: DataFrame, by: str = BY) -> DataFrame:
         F.col("_burst") / F.max("_burst").over(w),
         (F.col("_burst") > 1).cast("double"),
     )
-    df = df.withColumn("scalar", scalar)
-    means = centroids(df, [by], "emb", "emb_mean")
-    return df.join(means, by).withColumn("emb", minus("emb", "emb_mean")).drop("_burst", "_group", "_line", "_all")
+    return df.withColumn("scalar", scalar).drop("_burst", "_group", "_line", "_all")
+
+
+def _joint(df: DataFrame) -> DataFrame:
+    return df.withColumn("emb", F.concat(normalised("embedding", 1e-12), normalised("clip", 1e-12)))
+
+
+def gallery_means(df: DataFrame, by: str = BY) -> DataFrame:
+    """(gallery, emb_mean) over all photos of ``df`` (embedding, clip)."""
+    return centroids(_joint(df), [by], "emb", "emb_mean")
+
+
+def centred(df: DataFrame, means: DataFrame, by: str = BY) -> DataFrame:
+    """Adds emb: both vectors normalised, joined, less the gallery's mean."""
+    return _joint(df).join(F.broadcast(means), by).withColumn("emb", minus("emb", "emb_mean"))  # means: a row for each gallery
+
+
+def features(df: DataFrame, by: str = BY) -> DataFrame:
+    """Adds scalar (array of 11) and emb (both vectors normalised, joined, less the gallery's mean)."""
+    df = scalars(df, by)
+    return centred(df, gallery_means(df, by), by)
 
 
 def sample(df: DataFrame, by: str = BY) -> DataFrame:
@@ -109,9 +127,8 @@ def fit(rows: DataFrame, l2_scalar: float = 0.02, l2_emb: float = 0.02, by: str
     reg = (l2_scalar * block_scale(rows, "scalar"), l2_emb * block_scale(rows, "emb"))
     scale = [1 / np.sqrt(2 * r) for r in reg]
     x = F.concat(F.transform("scalar", lambda v: v * F.lit(float(scale[0]))), F.transform("emb", lambda v: v * F.lit(float(scale[1]))))
-    data = rows.select(array_to_vector(x).alias("features"), F.col("y").alias("label"), "weight").cache()
+    data = rows.select(array_to_vector(x).alias("features"), F.col("y").alias("label"), "weight")  # the fit keeps blocks of rows itself
     model = LogisticRegression(maxIter=500, tol=1e-9, regParam=1.0, elasticNetParam=0.0, standardization=False, weightCol="weight").fit(data)
-    data.unpersist()
     c = model.coefficients.toArray()
     n = rows.select(by).distinct().count()
     return Preference((c[:SCALARS] * scale[0]).tolist(), (c[SCALARS:] * scale[1]).tolist(), float(model.intercept), n)
@@ -153,7 +170,9 @@ def sign_test(better: int, worse: int) -> float:
 
 
 def scored(df: DataFrame, model: Preference, by: str = BY) -> DataFrame:
-    return df.withColumns({"prior": zscore(prior(), by), "pref": zscore(model.raw(), by), "fused": fused(model, by=by)})
+    df = df.withColumn("_raw", model.raw())  # a number for each row, before windows need it
+    raw = zscore("_raw", by)
+    return df.withColumns({"prior": zscore(prior(), by), "pref": raw, "fused": zscore(prior(), by) + F.lit(strength(model.n_galleries)) * raw}).drop("_raw")
 
 
 def leave_one_out(df: DataFrame, rows: DataFrame, galleries: list, by: str = BY) -> pd.DataFrame:

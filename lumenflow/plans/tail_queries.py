@@ -125,7 +125,8 @@ def m2(spark, sf):
 SELECT photo_id, round(technical_pct / 100, 6) AS s0, round(aesthetic_pct / 100, 6) AS s1, round(sharpness_pct / 100, 6) AS s2, CAST(subject = 'bride' AS DOUBLE) AS s3, CAST(subject = 'groom' AS DOUBLE) AS s4, CAST(subject = 'couple' AS DOUBLE) AS s5, CAST(subject = 'group' AS DOUBLE) AS s6,
   round(ln(n_group / n_all), 6) AS s7, round(idx / greatest(n_all - 1, 1), 6) AS s8, round(n / max(n) OVER (PARTITION BY gallery_id), 6) AS s9, CAST(n > 1 AS DOUBLE) AS s10, (SELECT max(2 * len(embedding)) FROM embeddings) AS dims FROM z""")
 def m1(spark, sf):
-    f = P.features(with_vectors(training_rows(spark, sf), spark, sf))
+    rows = P.scalars(training_rows(spark, sf))
+    f = P.centred(with_vectors(rows, spark, sf), P.gallery_means(with_vectors(photos(spark, sf), spark, sf)))
     return f.select("photo_id", *[F.round(F.get("scalar", F.lit(i)), 6).alias(f"s{i}") for i in range(P.SCALARS)], F.size("emb").alias("dims"))
 
 
