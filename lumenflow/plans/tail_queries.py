@@ -11,7 +11,8 @@ from lumenflow.plans import preference as P
 from lumenflow.operators import scan
 from lumenflow.plans.catalog import query
 from lumenflow.plans.gallery_queries import DEDUP_SQL, NAMES, RANK_SQL
-from lumenflow.operators.windows import burst_ranks, set_percentiles
+from lumenflow.operators.windows import ORDER, burst_ranks, set_percentiles
+from lumenflow.plans.tables import durable
 from lumenflow.sources.adapter import PHOTOS_SQL, photos, read, with_vectors
 from lumenflow.sources.files import result_messages
 
@@ -164,10 +165,12 @@ def m78(spark, sf):
 @query("m3_m9_fused_ranking")
 def m39(spark, sf):
     """Fits on the galleries up to the 15th and ranks the others."""
-    f = P.features(with_vectors(training_rows(spark, sf), spark, sf))
-    rows = P.sample(f.filter("gallery_id <= 15"))
-    model = P.fit(rows)
-    return P.scored(f.filter("gallery_id > 15"), model).select("photo_id", "gallery_id", F.round("prior", 6).alias("prior"), F.round("pref", 4).alias("pref"), F.round("fused", 4).alias("fused"))
+    plain = durable(P.scalars(training_rows(spark, sf)).select("gallery_id", *ORDER, "burst_id", "burst_rank", "selected", "technical_pct", "aesthetic_pct", "scalar"), "scalars")
+    means = durable(P.gallery_means(with_vectors(photos(spark, sf), spark, sf)), "means")
+    add = lambda rows: P.centred(with_vectors(rows, spark, sf), means)
+    sampled = durable(P.sample(plain.filter("gallery_id <= 15")), "sample")
+    model = P.fit(add(sampled).select("gallery_id", "photo_id", "scalar", "emb", "y", "weight"))
+    return P.scored(add(plain.filter("gallery_id > 15")), model).select("photo_id", "gallery_id", F.round("prior", 6).alias("prior"), F.round("pref", 4).alias("pref"), F.round("fused", 4).alias("fused"))
 
 
 @query("n7_deadline", "WITH b AS (SELECT user_id AS run_id, event_id AS batch, value AS seconds, 400.0 - value AS remaining FROM events) SELECT batch, remaining < coalesce(max(seconds) OVER (PARTITION BY run_id ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 10 AS stop FROM b")
