@@ -1,6 +1,7 @@
 """Clustering in rounds over tables gives the groups of the chain in one task."""
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenflow.functions.vectors import concat_space, norm
 from lumenflow.operators import cluster, linkage
-from lumenflow.plans.tables import durable
+from lumenflow.plans.tables import durable, made
 
 
 def blobs(rng, groups, dims=6, centers=8):
@@ -123,3 +124,53 @@ def test_cells_send_a_row_once_for_each_tile(spark):
     cells = linkage._cells(spark.createDataFrame(rows, "grp string, cluster long, size long, open boolean, mean array<double>"), 50)
     n = cells.groupBy("cluster").count().collect()
     assert {r["count"] for r in n if r.cluster % 3 == 0} == {4} and {r["count"] for r in n if r.cluster % 3} == {6}
+
+
+def test_rounds_leave_no_tables_of_clusters(spark):
+    """A round's tables go when the next one has its own: only narrow results are left on disk."""
+    rows = blobs(np.random.default_rng(12), [40, 5])
+    items = spark.createDataFrame(rows, "grp string, item long, vector array<double>")
+    mark = len(made)
+    merges = linkage.linkage_merges(items, durable, "ward", local=12, tile=16)
+    left = {os.path.basename(p).split("-")[0] for p in made[mark:] if os.path.isdir(p)}
+    assert left == {"first", "merges"} and merges.count() == 43
+
+
+def test_passes_send_a_row_a_few_times(spark):
+    """Whatever the number of tiles, a pass sends an open row four times at most; all passes make up all cells."""
+    rows = [("g", i, 1, i % 3 > 0, [float(i)]) for i in range(300)] + [("z", 500 + i, 1, True, [0.0]) for i in range(30)]
+    clusters = spark.createDataFrame(rows, "grp string, cluster long, size long, open boolean, mean array<double>")
+    plain = lambda d: sorted(map(tuple, d.drop("mean").collect()))
+    passes = [plain(linkage._cells(clusters, 20, k)) for k in range(linkage._passes(linkage._tiles(clusters, 20)))]
+    assert len(passes) == 6 and sorted(sum(passes, [])) == plain(linkage._cells(clusters, 20))
+    sent = [np.unique([r[5] for r in p], return_counts=True) for p in passes]
+    assert all(n <= (4 if c % 3 or c >= 500 else 5) for p in sent for c, n in zip(*p))
+
+
+def test_nearest_over_blocks_and_passes(spark):
+    """Tiles of more than a block, and more tiles than a pass takes, give the nearest by brute force."""
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(1200, 5)).astype("float32").astype(float)
+    x[::2] += 1e-12  # not exact in 32 bits
+    size, numbers = rng.integers(1, 5, 1200).astype(float), np.arange(1200)
+    d = linkage._ward_distance(x, x, size, size)
+    np.fill_diagonal(d, np.inf)
+    rows = [("g", int(i), int(size[i]), x[i].tolist()) for i in numbers]
+    clusters = linkage._kept(spark.createDataFrame(rows, "grp string, cluster long, size long, vector array<double>"), F.col("vector"), durable)
+    assert clusters.filter("short is null").count() == 600
+    for tile, open_, n in ((2000, F.lit(True), 1200), (150, F.lit(True), 1200), (150, F.col("cluster") % 3 == 0, 400)):
+        got = linkage._nearest(clusters.withColumn("open", open_), "ward", tile, durable).collect()
+        assert len(got) == n
+        assert all(r.nearest == d[r.cluster].argmin() and math.isclose(r.height, d[r.cluster].min(), rel_tol=1e-6) for r in got)
+
+
+@pytest.mark.parametrize("linkage_", ["average", "ward"])
+def test_means_end_sized_clusters_as_the_matrix_does(linkage_):
+    rng = np.random.default_rng(14)
+    x, size = rng.normal(size=(150, 6)), rng.integers(1, 6, 150).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    distance, update = linkage.RULES[linkage_]
+    matrix = linkage._Matrix(distance(x, x, size, size), update)
+    matrix.size = size.copy()
+    want, got = linkage._merges(matrix, 150), linkage._merges(linkage._Means(x, linkage_, size), 150)
+    assert [m[:2] for m in got] == [m[:2] for m in want] and np.allclose([m[2] for m in got], [m[2] for m in want])
