@@ -137,10 +137,10 @@ def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["u", "v", "linked"])
 
     degrees = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-    dealt = pairs.select("u", "v").join(degrees, "u").select("u", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / PORTION)).alias("portion"), "v")
-    hubs = dealt.select("u", "portion").distinct().join(texts.withColumnRenamed("class_id", "u"), "u").select("u", "portion", F.lit(None).cast("long").alias("v"), "text")
-    members = dealt.join(texts.withColumnRenamed("class_id", "v"), "v").select("u", "portion", "v", "text")
-    rows = hubs.unionByName(members).repartition("u", "portion").sortWithinPartitions("u", "portion", F.asc_nulls_first("v"))
+    dealt = pairs.select("u", "v").join(degrees.hint("merge"), "u").select("u", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / PORTION)).alias("portion"), "v")
+    hubs = dealt.select("u", "portion").distinct().select("u", "portion", F.lit(None).cast("long").alias("v"))
+    rows = hubs.unionByName(dealt).withColumn("class_id", F.coalesce("v", "u")).join(texts.hint("merge"), "class_id")
+    rows = rows.select("u", "portion", "v", "text").repartition("u", "portion").sortWithinPartitions("u", "portion", F.asc_nulls_first("v"))
     return map_arrow(rows, work, "u long, v long, linked boolean").groupBy("u", "v").agg(F.max("linked").alias("linked"))
 
 
@@ -217,7 +217,7 @@ def unresolved_pairs(texts: DataFrame, parts: DataFrame, scratch: Scratch) -> Da
     drawn = [F.min_by("part", F.xxhash64("class_id", F.lit(k))).alias(f"d{k}") for k in range(3)]
     tokens = rows.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b"), *drawn, (F.count(F.lit(1)) > HOT).alias("hot")).filter("a <> b")
     tokens = tokens.select("token", "hot", F.when(F.col("d1") == F.col("d2"), F.col("d1")).otherwise(F.col("d0")).alias("main"))
-    rows = scratch.stored(banded(rows.join(tokens, "token")), "prefixes")
+    rows = scratch.stored(banded(rows.join(tokens.hint("merge"), "token")), "prefixes")
     one = rows.filter("part <> main").select("token", "band", "partner", *[F.col(c).alias(f"{c}_u") for c in ("class_id", "n", "pos", "part")])
     other = rows.select("token", F.col("partner").alias("band"), F.col("band").alias("partner"), "main", *[F.col(c).alias(f"{c}_v") for c in ("class_id", "n", "pos", "part")])
     reach = F.expr("7 * (1 + least(n_u - 1 - pos_u, n_v - 1 - pos_v)) >= 3 * (n_u + n_v)")
@@ -226,11 +226,15 @@ def unresolved_pairs(texts: DataFrame, parts: DataFrame, scratch: Scratch) -> Da
     return pairs.select(F.least("class_id_u", "class_id_v").alias("u"), F.greatest("class_id_u", "class_id_v").alias("v")).distinct()
 
 
-def candidate_links(classes: DataFrame, docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """Verified links (u, v) of the classes (class_id, doc_id and key of one of its rows, bands)."""
+def linked_classes(classes: DataFrame, docs: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+    """class_id, component of the classes (class_id, doc_id and key of one of its rows, bands) that verified links join to others.
+
+    Sides of a join that come from an aggregation are merged, as both are
+    shuffled by then: a broadcast would cost the driver a job, a thread and their rows.
+    """
     rows = classes.select("class_id", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = scratch.stored(rows.join(shared, "key"), "members")
+    members = scratch.stored(rows.join(shared.hint("merge"), "key"), "members")
     weights = scratch.stored(members.groupBy("class_id").agg(F.sum("size").alias("weight")), "weights")
     named = classes.select("class_id", "doc_id", "key").join(weights.select("class_id"), "class_id", "left_semi")
     texts = scratch.stored(keyed(docs).join(named, ["doc_id", "key"]).select("class_id", "text"), "texts")
@@ -238,21 +242,25 @@ def candidate_links(classes: DataFrame, docs: DataFrame, scratch: Scratch, round
     tested = []
     for _ in range(rounds):
         pivots = active.groupBy("key").agg(F.max_by("class_id", F.struct("weight", -F.col("class_id"))).alias("center"))
-        pairs = scratch.stored(active.join(pivots, "key").filter("class_id <> center"), "pairs")
+        pairs = scratch.stored(active.join(pivots.hint("merge"), "key").filter("class_id <> center"), "pairs")
         found = scratch.stored(measured(pairs.select(F.col("center").alias("u"), F.col("class_id").alias("v")).distinct(), texts), "tested")
         tested.append(found)
         active = scratch.stored(pairs.join(found.filter("linked").select(F.col("u").alias("center"), F.col("v").alias("class_id")), ["center", "class_id"], "left_anti").select("key", "class_id", "weight"), "active")
         if active.isEmpty():
             break
     links = scratch.stored(reduce(DataFrame.unionByName, tested).filter("linked").select("u", "v"), "links")
-    named = scratch.stored(connected_components(links, scratch.stored), "named").withColumnRenamed("node", "class_id")
+    named = scratch.stored(connected_components(links, scratch.stored).withColumnRenamed("node", "class_id"), "named")
     parted = members.select("key", "class_id").join(named, "class_id", "left").select("key", "class_id", F.coalesce("component", "class_id").alias("part"))
     mixed = parted.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("key")
-    open_ = scratch.stored(parted.join(mixed, "key").select("class_id", "part").distinct(), "open")
+    open_ = scratch.stored(parted.join(mixed.hint("merge"), "key").select("class_id", "part").distinct(), "open")
     pairs = unresolved_pairs(texts.join(open_.select("class_id"), "class_id", "left_semi"), open_, scratch)
     done = reduce(DataFrame.unionByName, tested).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = measured(scratch.stored(pairs.join(done, ["u", "v"], "left_anti"), "rest"), texts)
-    return links.unionByName(more.filter("linked").select("u", "v"))
+    rest = scratch.stored(pairs.join(done.hint("merge"), ["u", "v"], "left_anti"), "rest")
+    more = scratch.stored(measured(rest, texts).filter("linked").select("u", "v"), "more")
+    if more.isEmpty():
+        return named
+    known = named.select(F.col("class_id").alias("u"), F.col("component").alias("v"))  # these links' components needn't be found again
+    return connected_components(known.unionByName(more), scratch.stored).withColumnRenamed("node", "class_id")
 
 
 def classified(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -270,12 +278,11 @@ def classified(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     # equal sets have equal sizes and buckets
     classes = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.first("bands").alias("bands"))
     classes = kept.stored(classes.select(F.monotonically_increasing_id().alias("class_id"), "least.doc_id", "least.key", "bands", "h1", "h2"), "classes")
-    links = scratch.stored(candidate_links(classes, docs, scratch), "all-links")
-    found = kept.stored(connected_components(links, scratch.stored), "components").withColumnRenamed("node", "class_id")
+    found = kept.stored(linked_classes(classes, docs, scratch), "components")
     scratch.drop()
     placed = classes.select("h1", "h2", "class_id", "doc_id", "key").join(found, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     least = placed.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("least"))
-    components = placed.join(least, "component").select("h1", "h2", "component", "least")
+    components = placed.join(least.hint("merge"), "component").select("h1", "h2", "component", "least")
     linked = full.select("doc_id", "key", "n_shingles", "h1", "h2").join(components, ["h1", "h2"])
     linked = linked.select("doc_id", "key", "n_shingles", "component", F.col("least.doc_id").alias("component_id"), (F.struct("doc_id", "key") == F.col("least")).alias("first"))
     alone = every.filter("n_shingles = 0 or doc_id is null")
