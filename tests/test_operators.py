@@ -143,6 +143,18 @@ def test_components_against_union_find(spark):
     assert {r.node: r.component for r in got} == {x: root(x) for x in parent}
 
 
+def test_rounds_of_components_have_no_union_and_no_broadcast(spark):
+    plans = []
+
+    def keep(df, label):
+        plans.append(df._jdf.queryExecution().toString())
+        return durable(df, label)
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "u long, v long")
+    assert {r.component for r in connected_components(edges, keep).collect()} == {0}
+    assert len(plans) > 2 and not any("Union" in p or "BroadcastExchange" in p for p in plans)
+
+
 def test_components_of_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long"), durable).count() == 0
 
