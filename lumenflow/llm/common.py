@@ -31,10 +31,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.path, self.n = spark, scratch_path(spark, label), 0
 
-    def stored(self, df: DataFrame, label: str) -> DataFrame:
+    def stored(self, df: DataFrame, label: str, group: int | None = None) -> DataFrame:
+        """``group``: rows of a Parquet row group at most, for rows of megabytes. A task holds one whole, as writer and as reader."""
         self.n += 1
         path = f"{self.path}/{self.n:03d}-{label}"
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.write.option("compression", "zstd")
+        (out.option("parquet.block.row.count.limit", group) if group else out).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:

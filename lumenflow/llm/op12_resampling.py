@@ -43,7 +43,9 @@ PERCENT = 25
 #: Bytes of a text that are worked on at a time, up to the end of a word.
 SLICE = 1 << 20
 #: Bytes of texts that make one CSR block, about.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
+#: Blocks of a row group: Parquet looks at the bytes it holds after 100 rows only, and reads a group's arrays at once.
+GROUP = 4
 _CSR = "doc_ids array<long>, words array<long>, indptr array<int>, indices array<int>, counts array<int>"
 #: To lower case (A-Z only), and what is no word byte to a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -185,8 +187,8 @@ def drawn(rows: DataFrame, scratch: Scratch, percent: int, least_words: int) ->
 def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, seed: int = SEED, least_words: int = LEAST_WORDS, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, n_words, n_features, weight, score, rank of all ``docs`` (doc_id, text), drawn towards the texts of ``target``."""
     kept, scratch = Scratch(docs.sparkSession, "op12"), Scratch(docs.sparkSession, "op12-work")
-    matrix = scratch.stored(count_matrix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), buckets), "matrix")
-    wanted = scratch.stored(count_matrix(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), buckets), "target")
+    matrix = scratch.stored(count_matrix(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), buckets), "matrix", GROUP)
+    wanted = scratch.stored(count_matrix(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), buckets), "target", GROUP)
     rows = weighed(matrix, gains(column_sums(matrix, buckets), column_sums(wanted, buckets), buckets))
     name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     h = F.conv(F.substring(F.sha2(name, 256), 1, 8), 16, 10).cast("double")
