@@ -36,8 +36,16 @@ from lumenflow.plans.tables import drop
 
 #: Distances of a group are held as one matrix up to this size; beyond it they are worked out from the clusters' means.
 MATRIX_BYTES = 1 << 25
-#: Clusters of a group that one task ends.
+#: Items of a group that one task clusters.
 LOCAL = 16384
+#: Distinct vectors, or clusters, of a group that one task ends: 64 MB of 64 components.
+ENDED = 1 << 17
+#: Groups that are dealt to a partition each, about.
+SPREAD = 128
+#: Clusters that chains end when rounds in one task have come so far; near clusters that each is given there.
+FEW, LIST = 512, 16
+#: Rows and columns of the distances that a task works out at once in a scan.
+SCAN = 512, 1024
 #: Clusters of a tile, about: a row is sent once for each tile of its group.
 TILE = 32768
 #: Rows of a tile whose distances a task holds at once.
@@ -104,6 +112,151 @@ class _Means:
             self._hold(self.slots[stay], self.mean[stay])
 
 
+class _Lists:
+    """Each cluster's nearest one in rounds: all pairs that are each other's nearest merge at once (see above).
+
+    A scan leaves a cluster ``LIST`` near ones and a bound: what holds none of
+    them is no nearer than that. Merges of nearest pairs bring nothing nearer, so
+    the bound stays true, and a cluster scans again only when no listed one is
+    under it. Scans screen with 32-bit numbers, with a bound on their error;
+    distances that decide have 64 bits and are the same from both sides.
+    """
+
+    def __init__(self, vectors: np.ndarray, linkage: str, size: np.ndarray):
+        self.ward, self.n, dims = linkage == "ward", len(vectors), vectors.shape[1]
+        self.mean, self.size = (vectors - vectors.mean(axis=0) if self.ward else vectors.copy()), size.astype(float)
+        self.alive, self.root = np.ones(self.n, dtype=bool), np.arange(self.n)
+        self.list, self.low = np.empty((self.n, 0), dtype=int), np.empty(self.n)
+        self.nearest, self.order = np.zeros(self.n, dtype=int), np.full(self.n, np.inf)
+        self.slack = (dims + 16) * np.finfo(np.float32).eps
+
+    def height(self, order: np.ndarray) -> np.ndarray:
+        return np.sqrt(2 * np.maximum(order, 0)) if self.ward else np.clip(1 + order, 0, 2)
+
+    def exact(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Numbers that order the distances of ``rows`` to their own row of ``others``; inf to themselves and to repeated ones."""
+        out = np.empty(others.shape)
+        for s in range(0, len(rows), 2048):
+            r, o = rows[s : s + 2048], others[s : s + 2048]
+            a, b = self.mean[r][:, None, :], self.mean[o]
+            if self.ward:
+                b -= a
+                out[s : s + 2048] = np.einsum("ijk,ijk->ij", b, b) / (1 / self.size[r][:, None] + 1 / self.size[o])
+            else:
+                b *= a
+                out[s : s + 2048] = -b.sum(axis=2)
+        out[others == rows[:, None]] = np.inf
+        out[:, 1:][others[:, 1:] == others[:, :-1]] = np.inf
+        return out
+
+    def listed(self, rows: np.ndarray, others: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Sets the lists of ``rows`` from ``others``, clusters with no other one under ``low``; the rows whose nearest one isn't certain."""
+        others = np.sort(others, axis=1)
+        order = self.exact(rows, others)
+        k = self.list.shape[1]
+        if others.shape[1] > k:
+            first = np.argsort(order, axis=1, kind="stable")[:, : k + 1]
+            low = np.minimum(low, np.take_along_axis(order, first[:, k:], axis=1)[:, 0])
+            others, order = (np.take_along_axis(x, first[:, :k], axis=1) for x in (others, order))
+        best = order.min(axis=1)
+        near = np.where(order == best[:, None], others, self.n).min(axis=1)
+        self.list[rows], self.low[rows], self.nearest[rows], self.order[rows] = others, low, near, best
+        return rows[~(best < low)]
+
+    def scan(self, rows: np.ndarray) -> None:
+        """Lists and nearest clusters of ``rows`` from all clusters."""
+        every = np.random.default_rng(0).permutation(np.flatnonzero(self.alive))  # so that few come below a bound once it is found
+        square = (self.mean**2).sum(axis=1)
+        k, m = self.list.shape[1], self.mean.astype(np.float32)
+        right = m[every].T
+        if self.ward:
+            flat = square.astype(np.float32)
+            right = np.vstack([right, np.ones(len(every), dtype=np.float32), flat[every]])
+            part = (1 / self.size).astype(np.float32)
+        right = np.ascontiguousarray(right)
+        far = np.sqrt(square[every].max())
+        for s in range(0, len(rows), SCAN[0]):
+            own = rows[s : s + SCAN[0]]
+            left = -m[own] if not self.ward else np.hstack([-2 * m[own], flat[own, None], np.ones((len(own), 1), dtype=np.float32)])
+            value, at = np.full((len(own), k), np.float32(np.inf)), np.broadcast_to(own[:, None], (len(own), k)).copy()
+            for t in range(0, len(every), SCAN[1]):
+                d = left @ right[:, t : t + SCAN[1]]
+                names = every[t : t + SCAN[1]]
+                if self.ward:
+                    d /= part[own, None] + part[names]
+                if not t:
+                    near = np.argpartition(d, min(k, d.shape[1] - 1), axis=1)[:, : k + 1]
+                    found, column = np.repeat(np.arange(len(own)), near.shape[1]), near.ravel()
+                else:
+                    found, column = np.nonzero(d < value.max(axis=1)[:, None])
+                other = names[column] != own[found]
+                found, column = found[other], column[other]
+                if not len(found):
+                    continue
+                n = np.bincount(found, minlength=len(own))
+                place = k + np.arange(len(found)) - np.repeat(np.cumsum(n) - n, n)
+                value = np.hstack([value, np.full((len(own), n.max()), np.float32(np.inf))])
+                at = np.hstack([at, np.broadcast_to(own[:, None], (len(own), n.max()))])
+                value[found, place], at[found, place] = d[found, column], names[column]
+                best = np.argpartition(value, k - 1, axis=1)[:, :k]
+                value, at = np.take_along_axis(value, best, axis=1), np.take_along_axis(at, best, axis=1)
+            last = value.max(axis=1).astype(float)
+            if self.ward:
+                error = self.slack * (self.size[own] * (np.sqrt(square[own]) + far) ** 2 + np.where(np.isfinite(last), np.abs(last), 0))
+            else:
+                error = self.slack * np.sqrt(square[own]) * far
+            low = np.where(np.isfinite(last), last - error, np.inf)
+            for x in self.listed(own, at, low):  # more equal ones than a list holds: its nearest one alone
+                others = np.sort(every)
+                order = self.exact(np.array([x]), others[None, :])[0]
+                self.nearest[x], self.order[x], self.low[x] = others[order.argmin()], order.min(), -np.inf
+
+    def merges(self, least: int) -> list[tuple[int, int, float]]:
+        """Merges (slot kept, slot gone, height) until ``least`` clusters are left or fewer."""
+        out, todo, left = [], np.arange(self.n), self.n
+        self.list = np.empty((self.n, min(LIST, max(1, self.n - 1))), dtype=int)
+        while left > max(1, least):
+            self.scan(todo)
+            while True:
+                own = np.flatnonzero(self.alive)
+                a = own[(self.nearest[self.nearest[own]] == own) & (own < self.nearest[own])]
+                if not len(a):  # what was found before may tie with new clusters: all scan anew
+                    todo = own
+                    break
+                b = self.nearest[a]
+                out += zip(a.tolist(), b.tolist(), self.height(self.order[a]).tolist())
+                total = self.size[a] + self.size[b]
+                self.mean[a] = (self.size[a] / total)[:, None] * self.mean[a] + (self.size[b] / total)[:, None] * self.mean[b]
+                self.size[a], self.alive[b], self.root[b] = total, False, a
+                left -= len(a)
+                merged = np.zeros(self.n, dtype=bool)
+                merged[a] = merged[b] = True
+                self.root = self.root[self.root]
+                lost = own[~merged[own] & merged[self.nearest[own]]]
+                todo = [self.listed(lost, self.root[self.list[lost]], self.low[lost]), self.listed(a, self.root[np.hstack([self.list[a], self.list[b]])], np.minimum(self.low[a], self.low[b]))]
+                todo = np.concatenate(todo)
+                if len(todo) or left <= max(1, least):
+                    break
+        return out
+
+
+def _agglomerated(mean: np.ndarray, size: np.ndarray, linkage: str, matrix_bytes: int) -> list[tuple[int, int, float]]:
+    """Merges (slot kept, slot gone, height) of sized clusters, by height."""
+    n, before = len(mean), []
+    rest = np.arange(n)
+    if 8 * n**2 > matrix_bytes:
+        rounds = _Lists(mean, linkage, size)
+        before = rounds.merges(FEW)
+        rest = np.flatnonzero(rounds.alive)
+        mean, size = rounds.mean[rest], rounds.size[rest]
+        clusters = _Means(mean, linkage, size)
+    else:
+        distance, update = RULES[linkage]
+        clusters = _Matrix(distance(mean, mean, size, size), update)
+        clusters.size = size.astype(float)
+    return sorted(before + [(int(rest[a]), int(rest[b]), h) for a, b, h in _merges(clusters, len(rest))], key=lambda m: m[2])
+
+
 def _merges(clusters: _Matrix | _Means, n: int) -> list[tuple[int, int, float]]:
     """Agglomerates by nearest-neighbour chains: (slot kept, slot gone, height), by height."""
     alive, chain, out = np.ones(n, dtype=bool), [], []
@@ -144,23 +297,50 @@ def _labels(n: int, merges: list[tuple[int, int, float]]) -> np.ndarray:
 def average_linkage(vectors: np.ndarray, matrix_bytes: int = MATRIX_BYTES) -> list[tuple[int, int, float]]:
     """Average-linkage merges over 1 - cosine, by height. The mean of 1 - a.b over two clusters is 1 less the product of their means."""
     x = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-8)
-    if 8 * len(x) ** 2 > matrix_bytes:
-        return _merges(_Means(x, "average"), len(x))
-    return _merges(_Matrix(_average_distance(x, x, None, None), _average_update), len(x))
+    return _agglomerated(x, np.ones(len(x)), "average", matrix_bytes)
 
 
 def ward_linkage(vectors: np.ndarray, matrix_bytes: int = MATRIX_BYTES) -> list[tuple[int, int, float]]:
     """Ward merges over Euclidean distance, by height."""
-    if 8 * len(vectors) ** 2 > matrix_bytes:
-        return _merges(_Means(vectors, "ward"), len(vectors))
-    one = np.ones(len(vectors))
-    return _merges(_Matrix(_ward_distance(vectors, vectors, one, one), _ward_update), len(vectors))
+    return _agglomerated(vectors, np.ones(len(vectors)), "ward", matrix_bytes)
+
+
+def _hooked(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``root`` with the components of pairs (x, y) joined, each known by its least number."""
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        x, y = x[low < high], y[low < high]
+        if not len(x):
+            return root
+        np.minimum.at(root, high[low < high], low[low < high])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _near_linkage(vectors: np.ndarray, most: float) -> list[tuple[int, int, float]]:
+    """The merges of ``average_linkage`` up to the height ``most`` (under 1), by height: only components of vectors that near are clustered."""
+    x = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-8)
+    _, first, same = np.unique(np.ascontiguousarray(x).view(f"V{x.shape[1] * x.itemsize}").ravel(), return_index=True, return_inverse=True)
+    first = np.where((x**2).sum(axis=1) > 0.5, first[same], np.arange(len(x)))  # of each item the first one of its vector; without a length it is near none
+    out = [(int(first[i]), int(i), 0.0) for i in np.flatnonzero(first != np.arange(len(x)))]
+    slots, size = np.unique(first, return_counts=True)
+    x, short = x[slots], x[slots].astype(np.float32)
+    root = np.arange(len(x))
+    for s in range(0, len(x), ROWS):
+        for t in range(s, len(x), SCAN[1]):
+            a, b = np.nonzero(short[s : s + ROWS] @ short[t : t + SCAN[1]].T >= 1 - most - 1e-4)
+            root = _hooked(root, a + s, b + t)
+    own = np.argsort(root, kind="stable")
+    for part in np.split(own, np.flatnonzero(np.diff(root[own])) + 1) if len(own) else []:
+        if len(part) > 1:
+            out += [(int(slots[part[a]]), int(slots[part[b]]), h) for a, b, h in _agglomerated(x[part], size[part], "average", MATRIX_BYTES) if h <= most]
+    return sorted(out, key=lambda m: m[2])
 
 
 def cut_groups(vectors: np.ndarray, distance: float = 0.2, share: float = 0.35, raise_cap: float = 0.15) -> np.ndarray:
     """Groups at the first of the distances ``distance``, + 0.05, … + ``raise_cap`` that leaves at most max(1, share * n) of them, else at the last."""
-    merges = average_linkage(vectors)
     cuts = np.round(distance + 0.05 * np.arange(round(raise_cap / 0.05) + 1), 2)
+    merges = _near_linkage(vectors, cuts[-1]) if cuts[-1] < 1 and vectors.shape[1] else average_linkage(vectors)
     done = np.searchsorted([height for *_, height in merges], cuts, side="right")  # merges under each cut
     few = np.flatnonzero(len(vectors) - done <= max(1, len(vectors) * share))
     return _labels(len(vectors), merges[: done[few[0] if len(few) else -1]])
@@ -321,15 +501,7 @@ def _linked(vectors: DataFrame, most: float, tile: int) -> DataFrame:
             order, _ = _compared("average", a, b)
             for s in range(0, len(a[0]), ROWS):
                 x, y = np.nonzero(order(s, s + ROWS) <= most - 1 + 1e-9)
-                x, y = x + s, y + off
-                while True:
-                    low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
-                    x, y = x[low < high], y[low < high]
-                    if not len(x):
-                        break
-                    np.minimum.at(root, high[low < high], low[low < high])
-                    while (root[root] != root).any():
-                        root = root[root]
+                root = _hooked(root, x + s, y + off)
         other = root != np.arange(len(root))
         return pd.DataFrame({"u": names[other], "v": names[root[other]]})
 
@@ -337,21 +509,18 @@ def _linked(vectors: DataFrame, most: float, tile: int) -> DataFrame:
     return _cells(rows, tile).groupBy("grp", "i", "j").applyInPandas(meet, "u long, v long")
 
 
-def _ended(clusters: DataFrame, linkage: str) -> DataFrame:
-    """Merges (grp, a, b, height) of groups of few clusters, each in one task."""
-    distance, update = RULES[linkage]
+def _ended(clusters: DataFrame, linkage: str, groups: int) -> DataFrame:
+    """Merges (grp, a, b, height) of ``groups`` groups of few clusters, each in one task."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cluster")
-        names, size, mean = pdf["cluster"].to_numpy(), pdf["size"].to_numpy(dtype=float), _stacked(pdf)
-        if 8 * len(names) ** 2 > MATRIX_BYTES:
-            clusters = _Means(mean, linkage, size)
-        else:
-            clusters = _Matrix(distance(mean, mean, size, size), update)
-            clusters.size = size.copy()
-        merges = _merges(clusters, len(names))
-        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "a": [names[a] for a, _, _ in merges], "b": [names[b] for _, b, _ in merges], "height": [h for *_, h in merges]}).astype({"a": "int64", "b": "int64", "height": float})
+        grp, names, size, mean = pdf["grp"].iloc[0], pdf["cluster"].to_numpy(), pdf["size"].to_numpy(dtype=float), _stacked(pdf)
+        del pdf
+        merges = _agglomerated(mean, size, linkage, MATRIX_BYTES)
+        return pd.DataFrame({"grp": grp, "a": [names[a] for a, _, _ in merges], "b": [names[b] for _, b, _ in merges], "height": [h for *_, h in merges]}).astype({"a": "int64", "b": "int64", "height": float})
 
+    if groups <= SPREAD:  # few bytes, much work: partitions of a given number aren't joined
+        clusters = clusters.repartition(8 * max(1, groups), "grp")
     return clusters.groupBy("grp").applyInPandas(one, "grp string, a long, b long, height double")
 
 
@@ -431,7 +600,7 @@ def _rounds(clusters: DataFrame, keep: Keep, linkage: str, local: int, tile: int
         few, many = large.agg(F.count_if(F.col("n") <= local), F.count_if(F.col("n") > local)).first()
         if few or not many:
             large = keep(large.filter(F.col("n") > local).select("grp"), "large")  # a row for so many clusters at least
-            merges.append(keep(_ended(clusters.join(F.broadcast(large), "grp", "left_anti"), linkage), "merges"))
+            merges.append(keep(_ended(clusters.join(F.broadcast(large), "grp", "left_anti"), linkage, few), "merges"))
             clusters = clusters.join(F.broadcast(large), "grp", "left_semi")
             near = near if near is None else near.join(F.broadcast(large), "grp", "left_semi")
             tables.append(large)  # goes with the clusters, after near
@@ -518,7 +687,7 @@ def average_parts(items: DataFrame, keep: Keep, distance: float = 0.2, share: fl
     return first.join(parts, "cluster").select("grp", "item", "part")
 
 
-def ward_parts(items: DataFrame, keep: Keep, k: int, local: int = LOCAL, tile: int = TILE, vectors: Vectors | None = None) -> DataFrame:
+def ward_parts(items: DataFrame, keep: Keep, k: int, local: int = ENDED, tile: int = TILE, vectors: Vectors | None = None) -> DataFrame:
     """(grp, item, part): each group in min(k, n) parts, by undoing its k - 1 highest Ward merges.
 
     ``vectors`` adds a vector to rows with an item where ``items`` have none; then no step before needs to move any.

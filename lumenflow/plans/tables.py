@@ -14,6 +14,8 @@ made: list[str] = []
 _folders: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 #: Spark's setting (since 4.1) by which a query's shuffle files go when it has ended; else they stay until the driver collects its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that a join may broadcast, by Spark's guess from files, and by what was shuffled.
+_GUESSED, _SHUFFLED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -43,14 +45,20 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """The rows as Parquet in the shared folder: computed once, column-pruned when read, safe when an executor is lost; cuts the lineage.
 
     What was shuffled for them isn't read again, so it goes once they are written.
+    Compressed files are many times smaller than their rows, so joins broadcast by
+    the size of what they shuffle alone, or where they say so: a table of a row for
+    each photo would otherwise go through the driver.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    settings = {_CLEANUP: "true", _GUESSED: "-1", _SHUFFLED: spark.conf.get(_SHUFFLED, None) or spark.conf.get(_GUESSED)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     _folders[out] = path
     return out
