@@ -54,3 +54,12 @@ def test_cuts_cluster_near_vectors_only(monkeypatch):
     assert partition(linkage._labels(len(x), near)) == partition(linkage._labels(len(x), all_[:280]))
     linkage.cut_groups(x)
     assert max(seen) < 10
+
+
+def test_equal_vectors_need_no_lists(monkeypatch):
+    """Each of few vectors occurs more often than a list is long."""
+    seen, scan = [], linkage._Lists.scan
+    monkeypatch.setattr(linkage._Lists, "scan", lambda self, rows: seen.append(self.n) or scan(self, rows))
+    x = np.random.default_rng(24).normal(size=(520, 8))
+    merges = linkage.ward_linkage(np.tile(x, (40, 1))[:3000], matrix_bytes=0)
+    assert set(seen) == {520} and len(merges) == 2999 and sum(h == 0 for *_, h in merges) == 2480
